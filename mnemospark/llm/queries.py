@@ -1,0 +1,48 @@
+"""Queries of the training-data problems on text and vectors."""
+
+from __future__ import annotations
+
+from mnemospark.llm import survivorship
+from mnemospark.registry import Registry
+
+registry = Registry()
+
+_GROUPS = """
+WITH RECURSIVE ids AS (SELECT DISTINCT memory_id FROM memory_record),
+link AS (
+  SELECT memory_id AS a, unnest(consolidates) AS b FROM memory_record),
+ok AS (SELECT DISTINCT a, b FROM link WHERE a <> b AND b IN (SELECT memory_id FROM ids)),
+both_ways AS (SELECT a, b FROM ok UNION SELECT b, a FROM ok),
+reach AS (SELECT a AS start, b AS node FROM both_ways UNION SELECT r.start, w.b FROM reach r JOIN both_ways w ON w.a = r.node),
+member AS (SELECT start AS memory_id, min(node) AS group_id FROM reach GROUP BY start),
+rec AS (
+  SELECT DISTINCT group_id, memory_id, status, content, occurred_at, source_session_id, valid_until, updated_at,
+    CASE lower(trim(source_type)) WHEN 'explicit' THEN 0 WHEN 'composite' THEN 1 WHEN 'inferred' THEN 2 ELSE 3 END AS trust,
+    CASE WHEN confidence BETWEEN 0 AND 1 AND NOT isnan(confidence) THEN confidence END AS sure
+  FROM memory_record JOIN member USING (memory_id) WHERE status IS DISTINCT FROM 'deleted'),
+slot AS (
+  SELECT group_id, memory_id, trust, sure, updated_at, 'content' AS field_name, content AS value FROM rec
+  UNION ALL SELECT group_id, memory_id, trust, sure, updated_at, 'occurred_at', strftime(occurred_at, '%Y') FROM rec
+  UNION ALL SELECT group_id, memory_id, trust, sure, updated_at, 'source_session_id', source_session_id FROM rec
+  UNION ALL SELECT group_id, memory_id, trust, sure, updated_at, 'valid_until', strftime(valid_until, '%Y') FROM rec),
+won AS (
+  SELECT group_id, field_name, memory_id AS from_id, value FROM slot WHERE value IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY group_id, field_name ORDER BY trust, sure DESC NULLS LAST, updated_at DESC NULLS LAST, memory_id) = 1)
+"""
+
+
+@registry.add("p5_found", _GROUPS + "SELECT group_id, field_name, from_id FROM won")
+def p5_found(t):
+    return survivorship.field_survivors(t.memory_record)
+
+
+@registry.add(
+    "p5_survivors",
+    _GROUPS
+    + """SELECT group_id, max(value) FILTER (field_name = 'content') AS content, max(from_id) FILTER (field_name = 'content') AS content_from,
+  max(from_id) FILTER (field_name = 'source_session_id') AS source_session_id_from,
+  max(value) FILTER (field_name = 'source_session_id') AS source_session_id FROM won
+  WHERE field_name IN ('content', 'source_session_id') GROUP BY group_id""",
+)
+def p5_survivors(t):
+    return survivorship.surviving_records(t.memory_record, ["content", "source_session_id"])
