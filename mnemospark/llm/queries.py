@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from mnemospark.llm import survivorship
+from pyspark.sql import functions as F
+
+from mnemospark.llm import near_duplicates, survivorship
 from mnemospark.registry import Registry
 
 registry = Registry()
@@ -46,3 +48,37 @@ def p5_found(t):
 )
 def p5_survivors(t):
     return survivorship.surviving_records(t.memory_record, ["content", "source_session_id"])
+
+
+_NEAR = r"""
+WITH raw AS (
+  SELECT memory_id AS row_id, content FROM memory_record UNION ALL SELECT extract_id, content FROM extracted_memory),
+one AS (SELECT DISTINCT row_id, content FROM raw WHERE content IS NOT NULL AND row_id IS NOT NULL),
+word AS (
+  SELECT DISTINCT row_id, unnest(regexp_extract_all(regexp_replace(lower(content), '([㐀-鿿])', ' \1 ', 'g'), '[\p{L}\p{N}]+')) AS w FROM one),
+size AS (SELECT row_id, count(*) AS n FROM word GROUP BY 1),
+common AS (
+  SELECT a.row_id AS x, b.row_id AS y, count(*) AS k FROM word a JOIN word b ON a.w = b.w AND a.row_id < b.row_id GROUP BY 1, 2),
+pair AS (
+  SELECT x AS row_id_a, y AS row_id_b FROM common JOIN size s ON s.row_id = x JOIN size t ON t.row_id = y WHERE k >= 0.6 * (s.n + t.n - k))
+"""
+
+
+def _contents(t):
+    return t.memory_record.select(F.col("memory_id").alias("row_id"), "content").unionByName(t.extracted_memory.select(F.col("extract_id").alias("row_id"), "content"))
+
+
+@registry.add("p1_found", _NEAR + "SELECT row_id_a, row_id_b FROM pair")
+def p1_found(t):
+    return near_duplicates.near_duplicate_pairs(_contents(t))
+
+
+@registry.add(
+    "p1_classes",
+    _NEAR.replace("WITH raw", "WITH RECURSIVE raw")
+    + """, link AS (SELECT row_id_a AS a, row_id_b AS b FROM pair UNION SELECT row_id_b, row_id_a FROM pair),
+reach AS (SELECT row_id AS start, row_id AS node FROM size UNION SELECT r.start, l.b FROM reach r JOIN link l ON l.a = r.node)
+SELECT start AS row_id, min(node) AS class_id, (SELECT count(*) FROM link WHERE a = start) AS n_links FROM reach GROUP BY start""",
+)
+def p1_classes(t):
+    return near_duplicates.near_duplicate_classes(_contents(t))
