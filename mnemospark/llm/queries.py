@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mnemospark.llm import near_duplicates, survivorship
+from mnemospark.llm import near_duplicates, neighbours, survivorship, unify
 from mnemospark.registry import Registry
 
 registry = Registry()
@@ -82,3 +82,56 @@ SELECT start AS row_id, min(node) AS class_id, (SELECT count(*) FROM link WHERE
 )
 def p1_classes(t):
     return near_duplicates.near_duplicate_classes(_contents(t))
+
+
+@registry.add(
+    "p4_found",
+    """
+WITH one AS (
+  SELECT space_id, memory_id, CAST(vector AS DOUBLE[]) AS v FROM memory_embedding
+  WHERE vector IS NOT NULL AND len(vector) = dimensions AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(vector, lambda x: x <> 0)) > 0
+  QUALIFY row_number() OVER (PARTITION BY space_id, memory_id ORDER BY ingested_at) = 1),
+near AS (
+  SELECT a.space_id, a.memory_id AS x, b.memory_id AS y, list_cosine_similarity(a.v, b.v) AS s
+  FROM one a JOIN one b ON a.space_id = b.space_id AND a.memory_id <> b.memory_id AND len(a.v) = len(b.v)
+  QUALIFY row_number() OVER (PARTITION BY a.space_id, a.memory_id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.memory_id) <= 10)
+SELECT DISTINCT space_id, least(x, y) AS memory_id_a, greatest(x, y) AS memory_id_b FROM near WHERE s >= 0.90""",
+)
+def p4_found(t):
+    return neighbours.similar_pairs(t.memory_embedding)
+
+
+@registry.add("p4_neighbours")
+def p4_neighbours(t):
+    vectors = neighbours.usable_vectors(t.memory_embedding).select("space_id", F.col("memory_id").alias("key"), "vector")
+    return neighbours.nearest(vectors).withColumn("similarity", F.round("similarity", 6))
+
+
+@registry.add("p4_search")
+def p4_search(t):
+    vectors = t.embeddings.select(F.lit("embeddings").alias("space_id"), F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
+    asked = vectors.filter("key % 50 = 0").select(F.col("key").alias("query"), "space_id", "vector")
+    return neighbours.graph_search(vectors, asked).withColumn("similarity", F.round("similarity", 6))
+
+
+def _bodies(t):
+    return t.documents.select(F.col("doc_id").alias("key"), F.col("text").alias("body"))
+
+
+_FORM = f"WITH form AS (SELECT doc_id, md5({unify.form_sql('text')}) AS digest FROM documents WHERE text IS NOT NULL)"
+
+
+@registry.add("p9_found", _FORM + " SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM form a JOIN form b ON a.digest = b.digest AND a.doc_id < b.doc_id")
+def p9_found(t):
+    return unify.same_look_pairs(_bodies(t)).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+
+
+@registry.add("p9_classes", _FORM + " SELECT doc_id, min(doc_id) OVER (PARTITION BY digest) AS class_id, count(*) OVER (PARTITION BY digest) AS n_same FROM form")
+def p9_classes(t):
+    return unify.look_classes(_bodies(t)).withColumnRenamed("key", "doc_id")
+
+
+@registry.add("p9_forms", f"SELECT doc_id, {unify.form_sql('text')} AS form FROM documents")
+def p9_forms(t):
+    return unify.consistent_forms(_bodies(t)).select(F.col("key").alias("doc_id"), "form")
