@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mnemospark.llm import near_duplicates, neighbours, survivorship, unify
+from mnemospark.llm import near_duplicates, neighbours, personal_information, survivorship, unify
 from mnemospark.registry import Registry
 
 registry = Registry()
@@ -135,3 +135,14 @@ def p9_classes(t):
 @registry.add("p9_forms", f"SELECT doc_id, {unify.form_sql('text')} AS form FROM documents")
 def p9_forms(t):
     return unify.consistent_forms(_bodies(t)).select(F.col("key").alias("doc_id"), "form")
+
+
+@registry.add("p6_found")
+def p6_found(t):
+    found = personal_information.find_spans(_contents(t), t.name_lexicon)
+    return found.select("row_id", "pii_type", "start_pos").distinct()
+
+
+@registry.add("p6_redacted")
+def p6_redacted(t):
+    return personal_information.redact(_contents(t), t.name_lexicon)
