@@ -7,6 +7,7 @@ read it back: a lost executor then costs a task, never the loop.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -62,3 +63,8 @@ class Staging:
             jvm = self.spark._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
+    def release(self) -> None:
+        """Let the driver give up plans that are out of scope, so that their shuffle files are deleted now."""
+        gc.collect()
+        self.spark._jvm.System.gc()
