@@ -168,9 +168,8 @@ def candidates(text: str, names: Gazetteer) -> list[tuple[str, int, int, tuple[i
                 continue
             left = bool(_LEFT_ZH.search(flat[max(0, i - 3) : i]))
             known = c in names.surname_zh
-            if not known and not left:
-                continue
-            if i and not left and not _EDGE_ZH.search(flat[i - 1]) and not known:
+            edge = left or i == 0 or bool(_EDGE_ZH.search(flat[i - 1]))
+            if not (known or edge):
                 continue
             for n in (2, 3):
                 j = i + n
@@ -180,9 +179,8 @@ def candidates(text: str, names: Gazetteer) -> list[tuple[str, int, int, tuple[i
                 rest, after = span[1:], flat[j : j + 4]
                 right = bool(_RIGHT_ZH.match(after)) or (left and (not after or bool(re.match(r"[，。；、！？）)\s,.;]", after))))
                 given = rest in names.given and (len(rest) > 1 or right)
-                if not (right or given):
+                if not (right or given) or not (known or left or right and given):
                     continue
-                edge = left or i == 0 or bool(_EDGE_ZH.search(flat[i - 1]))
                 add("name", i, j, _vote(given), _vote(known), _vote(right, not given), _vote(False, not edge and not given), _vote(right and edge, not right and not given))
     return out
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mnemospark.llm import near_duplicates, neighbours, personal_information, survivorship, unify
+from mnemospark.llm import mixing, near_duplicates, neighbours, packing, personal_information, survivorship, unify
 from mnemospark.registry import Registry
 
 registry = Registry()
@@ -146,3 +146,31 @@ def p6_found(t):
 @registry.add("p6_redacted")
 def p6_redacted(t):
     return personal_information.redact(_contents(t), t.name_lexicon)
+
+
+def _items(t):
+    return t.documents.select(F.col("doc_id").alias("item"), F.col("text").alias("body"))
+
+
+@registry.add("p7_containers")
+def p7_containers(t):
+    return packing.fill_containers(_items(t), t.container_spec).withColumnRenamed("item", "doc_id")
+
+
+@registry.add("p7_report")
+def p7_report(t):
+    return packing.container_report(packing.fill_containers(_items(t), t.container_spec))
+
+
+def _sourced(t):
+    return t.documents.select(F.col("doc_id").alias("item"), "source", F.col("text").alias("body"))
+
+
+@registry.add("p8_mixture")
+def p8_mixture(t):
+    return mixing.mix_sources(_sourced(t), t.source_mix).withColumnRenamed("item", "doc_id")
+
+
+@registry.add("p8_report")
+def p8_report(t):
+    return mixing.mixture_report(mixing.mix_sources(_sourced(t), t.source_mix), t.source_mix)
