@@ -7,13 +7,13 @@ read it back: a lost executor then costs a task, never the loop.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local_folder: list[str] = []
 
 
@@ -44,14 +44,22 @@ class Staging:
         self._n = 0
 
     def cut(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-        """Write ``df`` once and return the table read back, with ``staged_path`` naming its place."""
+        """Write ``df`` once and return the table read back, with ``staged_path`` naming its place.
+
+        The shuffle files of the written plan are of no use afterwards and are deleted at once.
+        """
         self._n += 1
         path = f"{self.root}/{self._n:04d}"
         schema = df.schema
         writer = df.write.mode("overwrite").option("compression", "zstd")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            writer.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(schema).parquet(path)
         out.staged_path = path
         return out
@@ -63,8 +71,3 @@ class Staging:
             jvm = self.spark._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
-
-    def release(self) -> None:
-        """Let the driver give up plans that are out of scope, so that their shuffle files are deleted now."""
-        gc.collect()
-        self.spark._jvm.System.gc()
