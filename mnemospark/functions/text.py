@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Token runs, intent patterns and terms, hash parameters.
-RUNS = r"([a-zA-Z0-9]+|[㐀-鿿]+)"
+RUNS = r"([a-zA-Z0-9]+|[\u3400-\u9fff]+)"
 NAVIGATIONAL = [
     r"`[^`]+`|\"[^\"]{2,}\"|'[^']{2,}'",
     r"[/\\][A-Za-z0-9_.-]+[/\\]|https?://\S+",
@@ -17,7 +17,7 @@ NAVIGATIONAL = [
 ]
 CONCEPTUAL = ["how", "why", "explain", "approach", "strategy", "tend", "overall", "pattern", "怎么", "为什么", "如何", "倾向", "风格", "整体", "通常", "模式"]
 FNV_OFFSET, FNV_PRIME, HASH_DIMENSIONS = 2166136261, 16777619, 256
-BLANK = r"[\s   -     　﻿]"
+BLANK = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 Tokenizer = Callable[[Column], Column]
 
@@ -103,6 +103,19 @@ def fnv1a(text: Column) -> Column:
     return F.aggregate(points, F.lit(FNV_OFFSET).cast("long"), lambda h, p: (h.bitwiseXOR(p) * F.lit(FNV_PRIME)).bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
+def features_of(token: str) -> list[str]:
+    """The features of one run in lower case."""
+    return ["t:" + token, *("b:" + token[i : i + 2] for i in range(len(token) - 1))]
+
+
+def fnv1a_of(feature: str) -> int:
+    """``fnv1a`` of a Python string."""
+    h = FNV_OFFSET
+    for c in feature:
+        h = ((h ^ ord(c)) * FNV_PRIME) & 0xFFFFFFFF
+    return h
+
+
 def hash_cells(text: Column) -> Column:
     """array<struct<dim, sign>>: one signed cell per feature."""
     return F.transform(F.transform(features(text), fnv1a), lambda h: F.struct((h % HASH_DIMENSIONS).cast("int").alias("dim"), F.when(h % 2 == 0, F.lit(1)).otherwise(F.lit(-1)).alias("sign")))
