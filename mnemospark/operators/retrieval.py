@@ -218,7 +218,7 @@ def diagnostics(hits: DataFrame, queries: DataFrame, rrf_k: float) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.when(F.col("channel") == "profile", 0).otherwise(1), "fused_rank")
     top = hits.withColumn("place", F.row_number().over(order)).filter("place <= 3").groupBy("query_id").agg(F.avg("score").alias("mean"))
     rows = queries.select("query_id", text.intent(F.col("query_text")).alias("intent")).join(top, "query_id", "left")
-    confidence = F.round(F.coalesce(F.least(F.lit(1.0), F.col("mean") * rrf_k), F.lit(0.0)), 6)
+    confidence = F.round(F.when(F.col("mean").isNotNull(), F.least(F.lit(1.0), F.col("mean") * rrf_k)).otherwise(F.lit(0.0)), 6)
     return rows.select("query_id", "intent", confidence.alias("confidence"), F.lit("semantic:portable-hash,tag:unavailable").alias("degraded"))
 
 

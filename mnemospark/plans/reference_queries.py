@@ -300,7 +300,7 @@ def _(t):
 
 @add("r11_diagnostics", q.search() + f""", top AS (
   SELECT query_id, avg(score) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY channel <> 'profile', fused_rank) AS k FROM hits) WHERE k <= 3 GROUP BY 1)
-SELECT ask.query_id, ask.intent, round(coalesce(least(1.0, mean * 60), 0.0), 6)::DOUBLE AS confidence, 'semantic:portable-hash,tag:unavailable' AS degraded FROM ask LEFT JOIN top USING (query_id)""")
+SELECT ask.query_id, ask.intent, round(CASE WHEN mean IS NULL THEN 0.0 ELSE least(1.0, mean * 60) END, 6)::DOUBLE AS confidence, 'semantic:portable-hash,tag:unavailable' AS degraded FROM ask LEFT JOIN top USING (query_id)""")
 def _(t):
     return retrieval.diagnostics(_hits(t), qry(t), 60.0)
 
