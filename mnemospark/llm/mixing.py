@@ -149,7 +149,8 @@ def mix_sources(documents: DataFrame, mix: DataFrame, block_tokens: int = BLOCK_
                     yield table
 
         slots = spark.range(0, len(counts), 1, min(len(counts), 1024)).mapInPandas(draw, schema)
-    return slots.join(pieces, ["source", "block"]).select("shard", "slot", "source", "block", "pass", "item", "from_token", "to_token")
+    # the planner can't know how many slots a shard yields and would broadcast them
+    return slots.join(pieces.hint("merge"), ["source", "block"]).select("shard", "slot", "source", "block", "pass", "item", "from_token", "to_token")
 
 
 def mixture_report(mixture: DataFrame, mix: DataFrame) -> DataFrame:
