@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.operators import evolution, graph_checks
 from mnemospark.plans import common_sql as q
-from mnemospark.plans.reference_queries import AS_OF, SCOPE, emb, ext, job, rec
+from mnemospark.plans.reference_queries import SCOPE, as_of, emb, ext, job, rec
 from mnemospark.registry import Registry
 
 registry = Registry()
@@ -88,7 +88,7 @@ r AS (SELECT rec.*, g.memory_id IS NOT NULL AS target, l.lost, CASE WHEN l.lost
   FROM rec LEFT JOIN gone g ON g.memory_id = rec.memory_id LEFT JOIN lost l ON l.memory_id = rec.memory_id WHERE g.memory_id IS NOT NULL OR l.lost IS NOT NULL)
 SELECT memory_id, CASE WHEN target OR len(kept) = 0 THEN 'deleted' ELSE status END AS status, CASE WHEN target OR len(kept) = 0 THEN 'source_only' ELSE visibility END AS visibility, array_to_string(list_sort(list_distinct(kept)), ',') AS evidence FROM r""")
 def _(t):
-    rows = evolution.forget(rec(t), rec(t).filter("status = 'archived'").select("memory_id"), AS_OF)
+    rows = evolution.forget(rec(t), rec(t).filter("status = 'archived'").select("memory_id"), as_of())
     return rows.select("memory_id", "status", "visibility", F.array_join(F.sort_array(F.array_distinct("source_memory_ids")), ",").alias("evidence"))
 
 
@@ -102,7 +102,7 @@ SELECT rec.memory_id, CASE WHEN g.c IS NULL THEN rec.confidence ELSE greatest(re
   array_to_string(list_sort(list_distinct(list_concat(coalesce(source_memory_ids, []), raws))), ',') AS evidence FROM rec JOIN g USING (memory_id)""")
 def _(t):
     hit = ext(t).select(F.col("raw_memory_id").alias("memory_id")).distinct()
-    rows = evolution.attach_evidence(rec(t), _plan(t), AS_OF).join(hit, "memory_id", "left_semi")
+    rows = evolution.attach_evidence(rec(t), _plan(t), as_of()).join(hit, "memory_id", "left_semi")
     return rows.select("memory_id", "confidence", F.array_join(F.sort_array("source_memory_ids"), ",").alias("evidence"))
 
 
@@ -116,14 +116,14 @@ def _operations(t):
 
 @add("t5_heads", _OPS + """SELECT 'mem-' || sha256(op_id)[1:16] AS memory_id, revision + 1 AS revision, coalesce(chain_id, 'chain-' || sha256(op_id)[1:16]) AS chain_id, target AS superseded FROM op JOIN rec ON rec.memory_id = op.target""")
 def _(t):
-    heads, _ = evolution.new_heads(rec(t), _operations(t), AS_OF)
+    heads, _ = evolution.new_heads(rec(t), _operations(t), as_of())
     return heads.select("memory_id", "revision", "chain_id", F.array_join("supersedes", ",").alias("superseded"))
 
 
 @add("t5_targets", _OPS + """, h AS (SELECT target, list('mem-' || sha256(op_id)[1:16]) AS heads FROM op GROUP BY 1)
 SELECT memory_id, 'superseded' AS status, array_to_string(list_sort(list_distinct(list_concat(coalesce(superseded_by, []), heads))), ',') AS superseded_by FROM rec JOIN h ON h.target = rec.memory_id""")
 def _(t):
-    _, targets = evolution.new_heads(rec(t), _operations(t), AS_OF)
+    _, targets = evolution.new_heads(rec(t), _operations(t), as_of())
     return targets.select("memory_id", "status", F.array_join(F.sort_array("superseded_by"), ",").alias("superseded_by"))
 
 
@@ -152,4 +152,4 @@ def _(t):
 SELECT memory_id, CASE WHEN len(supersedes) > 0 THEN 'SUPERSEDE' WHEN len(consolidates) >= 2 THEN 'CONSOLIDATE' WHEN coalesce(len(consolidates), 0) = 0 THEN 'ADD' ELSE 'AMBIGUOUS' END AS operation FROM rec WHERE layer <> 'l1_raw' AND memory_id NOT IN (SELECT memory_id FROM b)""")
 def _(t):
     rows = rec(t).withColumn("consolidates", F.coalesce("consolidates", F.array().cast("array<string>")))
-    return evolution.observe_operation(rows.filter(F.col("created_at") < AS_OF), rows).filter("operation <> 'NOOP'")
+    return evolution.observe_operation(rows.filter(F.col("created_at") < as_of()), rows).filter("operation <> 'NOOP'")

@@ -15,10 +15,13 @@ from mnemospark.registry import Registry
 
 registry = Registry()
 add = registry.add
-AS_OF = F.lit(q.AS_OF).cast("timestamp")
 SCOPE = retrieval.scope_key
 
 
+def as_of():
+    return F.lit(q.AS_OF).cast("timestamp")
+
+
 def rec(t):
     """Each record once: redelivered copies differ in ingested_at alone."""
     return t.memory_record.drop("ingested_at").dropDuplicates(["memory_id"])
@@ -77,8 +80,8 @@ def _(t):
 
     rows = t.memory_record.select("memory_id", "content", "ingested_at")
     first = F.min("ingested_at").alias("first_seen")
-    held = rows.filter(F.col("ingested_at") < AS_OF).groupBy("memory_id").agg(first, F.min_by("content", "ingested_at").alias("content")).drop("first_seen")
-    return import_outcome(held, rows.filter(F.col("ingested_at") >= AS_OF).drop("ingested_at")).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    held = rows.filter(F.col("ingested_at") < as_of()).groupBy("memory_id").agg(first, F.min_by("content", "ingested_at").alias("content")).drop("first_seen")
+    return import_outcome(held, rows.filter(F.col("ingested_at") >= as_of()).drop("ingested_at")).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 @add("s8_materialize", _W + f"""SELECT memory_id, count(*) AS n_dims, round(sqrt(sum(v * v)), 6) AS norm
@@ -108,17 +111,17 @@ def _(t):
 
 @add("pr1_prefilter", _W + f"SELECT memory_id FROM rec WHERE {q.RECALLABLE} AND layer IN ('l1_raw', 'l2_fact')")
 def _(t):
-    return retrieval.recallable(rec(t), AS_OF).filter(F.col("layer").isin("l1_raw", "l2_fact")).select("memory_id")
+    return retrieval.recallable(rec(t), as_of()).filter(F.col("layer").isin("l1_raw", "l2_fact")).select("memory_id")
 
 
 @add("pr2_validity", _W + f"SELECT memory_id, {q.VALID} AS valid_now FROM rec")
 def _(t):
-    return rec(t).select("memory_id", retrieval.valid_at(AS_OF).alias("valid_now"))
+    return rec(t).select("memory_id", retrieval.valid_at(as_of()).alias("valid_now"))
 
 
 @add("pr3_active_at", _W + f"SELECT memory_id FROM rec WHERE status = 'active' AND {q.VALID}")
 def _(t):
-    return rec(t).filter((F.col("status") == "active") & retrieval.valid_at(AS_OF)).select("memory_id")
+    return rec(t).filter((F.col("status") == "active") & retrieval.valid_at(as_of())).select("memory_id")
 
 
 @add("pr4_channel", _W + f"SELECT {q.CHANNEL} AS channel, count(*) AS n FROM rec GROUP BY 1")
@@ -134,7 +137,7 @@ def _(t):
 
 @add("pr6_reconcile_pool", _W + f"SELECT scope, layer, count(*) AS n FROM rec WHERE {q.RECALLABLE} AND layer IN ('l2_fact', 'l4_identity') GROUP BY 1, 2")
 def _(t):
-    return retrieval.recallable(rec(t), AS_OF).filter(F.col("layer").isin("l2_fact", "l4_identity")).groupBy(SCOPE().alias("scope"), "layer").agg(F.count(F.lit(1)).alias("n"))
+    return retrieval.recallable(rec(t), as_of()).filter(F.col("layer").isin("l2_fact", "l4_identity")).groupBy(SCOPE().alias("scope"), "layer").agg(F.count(F.lit(1)).alias("n"))
 
 
 @add("pr8_manage_filter", _W + r"""SELECT memory_id FROM rec WHERE status = 'active' AND contains(lower(coalesce(content, '') || chr(10) || array_to_string(coalesce(tags, []), ' ')), 'ginger')""")
@@ -253,7 +256,7 @@ def _asked(t):
 
 
 def _documents(t, asked):
-    rows = retrieval.document_pools(retrieval.recallable(rec(t), AS_OF), asked)
+    rows = retrieval.document_pools(retrieval.recallable(rec(t), as_of()), asked)
     return rows.select("pool", "channel", "memory_id", retrieval.search_text().alias("body"), F.coalesce("content", F.lit("")).alias("content"))
 
 
@@ -287,7 +290,7 @@ def _(t):
 
 
 def _hits(t, **limits):
-    return retrieval.search(rec(t), qry(t), AS_OF, retrieval.SearchConfig(**limits))
+    return retrieval.search(rec(t), qry(t), as_of(), retrieval.SearchConfig(**limits))
 
 
 _MATCHED = "concat_ws(',', CASE WHEN sr IS NOT NULL THEN 'semantic' END, CASE WHEN lr IS NOT NULL THEN 'lexical' END, CASE WHEN channel = 'profile' THEN 'profile' END)"
@@ -325,12 +328,12 @@ def _sources(t):
 
 @add("r14_shortlist", q.shortlist() + "SELECT query_id AS source_id, memory_id, round(score, 9) AS score, fused_rank AS shortlist_rank FROM hits")
 def _(t):
-    return retrieval.shortlist(_sources(t), rec(t), AS_OF).withColumn("score", F.round("score", 9))
+    return retrieval.shortlist(_sources(t), rec(t), as_of()).withColumn("score", F.round("score", 9))
 
 
 @add("r15_catalog", q.shortlist() + "SELECT memory_id, min(query_id) AS first_source, count(*) AS n_sources FROM hits GROUP BY 1")
 def _(t):
-    return retrieval.shortlist(_sources(t), rec(t), AS_OF).groupBy("memory_id").agg(F.min("source_id").alias("first_source"), F.count(F.lit(1)).alias("n_sources"))
+    return retrieval.shortlist(_sources(t), rec(t), as_of()).groupBy("memory_id").agg(F.min("source_id").alias("first_source"), F.count(F.lit(1)).alias("n_sources"))
 
 
 # ---------------------------------------------------------------- joins and sets
@@ -372,7 +375,7 @@ def _(t):
 
 @add("u4_new_records", _W + "SELECT memory_id FROM rec WHERE memory_id NOT IN (SELECT memory_id FROM memory_record WHERE ingested_at < TIMESTAMPTZ '2025-06-01 00:00:00+00')")
 def _(t):
-    held = t.memory_record.filter(F.col("ingested_at") < AS_OF).select("memory_id")
+    held = t.memory_record.filter(F.col("ingested_at") < as_of()).select("memory_id")
     return rec(t).select("memory_id").join(held, "memory_id", "left_anti")
 
 
@@ -387,7 +390,7 @@ def _(t):
 
 @add("a1_summary", _W + f"SELECT scope, status, layer, count(*) AS n, count(*) FILTER ({q.RECALLABLE}) AS n_recallable FROM rec GROUP BY 1, 2, 3")
 def _(t):
-    return listing.summary(rec(t), AS_OF)
+    return listing.summary(rec(t), as_of())
 
 
 @add("a2_jobs", f"WITH {q.JOB} SELECT status, count(*) AS n FROM job GROUP BY 1")
@@ -504,7 +507,7 @@ def _(t):
 
 @add("a16_scope_leaks", q.search() + f"SELECT count(*) AS n_hits, count(*) FILTER (rec.scope <> qry.scope OR NOT ({q.RECALLABLE.replace('status', 'rec.status')})) AS n_leaks FROM hits JOIN qry USING (query_id) JOIN rec USING (memory_id)")
 def _(t):
-    owner = rec(t).select("memory_id", SCOPE().alias("owner"), ((F.col("status") == "active") & (F.col("visibility") == "recallable") & retrieval.valid_at(AS_OF)).alias("ok"))
+    owner = rec(t).select("memory_id", SCOPE().alias("owner"), ((F.col("status") == "active") & (F.col("visibility") == "recallable") & retrieval.valid_at(as_of())).alias("ok"))
     joined = _hits(t).join(qry(t).select("query_id", SCOPE().alias("asked")), "query_id").join(owner, "memory_id")
     return joined.agg(F.count(F.lit(1)).alias("n_hits"), F.count_if((F.col("owner") != F.col("asked")) | ~F.col("ok")).alias("n_leaks"))
 
