@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,30 +95,51 @@ def bm25(queries: DataFrame, documents: DataFrame, k1: float, b: float, tokenize
     return met.groupBy("query_id", "pool", "channel", "memory_id").agg(F.round(F.sum("gain"), DIGITS).alias("lexical")).filter("lexical > 0")
 
 
+class _Hasher:
+    """Signed cells of texts, the features of each token hashed once a task."""
+
+    def __init__(self) -> None:
+        self.find, self.known = re.compile(text.RUNS).findall, {}
+
+    def __call__(self, body: str | None) -> dict[int, int]:
+        total: dict[int, int] = {}
+        for token in self.find(body) if body else ():
+            token = token.lower()
+            own = self.known.get(token)
+            if own is None:
+                if len(self.known) > 500_000:
+                    self.known.clear()
+                own = self.known[token] = [(h % text.HASH_DIMENSIONS, 1 - 2 * (h & 1)) for h in map(text.fnv1a_of, text.features_of(token))]
+            for dim, sign in own:
+                total[dim] = total.get(dim, 0) + sign
+        return total
+
+
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, body) to (key, dim, cell): the signed cells of a text, each token's features hashed once a task."""
-    find = re.compile(text.RUNS).findall
-    known: dict[str, list[tuple[int, int]]] = {}
+    """(key, body) to (key, dim, cell)."""
+    hasher = _Hasher()
     for batch in batches:
-        rows: list[int] = []
-        dims: list[int] = []
-        cells: list[int] = []
-        for i, body in enumerate(batch.column(1).to_pylist()):
-            total: dict[int, int] = {}
-            for token in find(body) if body else ():
-                token = token.lower()
-                own = known.get(token)
-                if own is None:
-                    if len(known) > 500_000:
-                        known.clear()
-                    own = known[token] = [(h % text.HASH_DIMENSIONS, 1 - 2 * (h & 1)) for h in map(text.fnv1a_of, text.features_of(token))]
-                for dim, sign in own:
-                    total[dim] = total.get(dim, 0) + sign
-            rows += [i] * len(total)
-            dims += total.keys()
-            cells += total.values()
-        key = batch.column(0).take(pa.array(rows, pa.int64()))
-        yield pa.RecordBatch.from_arrays([key, pa.array(dims, pa.int32()), pa.array(cells, pa.int64())], names=["key", "dim", "cell"])
+        found = [hasher(body) for body in batch.column(1).to_pylist()]
+        key = batch.column(0).take(pa.array([i for i, c in enumerate(found) for _ in c], pa.int64()))
+        dims, cells = pa.array([d for c in found for d in c], pa.int32()), pa.array([v for c in found for v in c.values()], pa.int64())
+        yield pa.RecordBatch.from_arrays([key, dims, cells], names=["key", "dim", "cell"])
+
+
+def _cell_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with body last to rows with dims and cells in its place."""
+    hasher = _Hasher()
+    for batch in batches:
+        found = [hasher(body) for body in batch.column(batch.num_columns - 1).to_pylist()]
+        lists = [pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(batch.columns[:-1] + lists, names=batch.schema.names[:-1] + ["dims", "cells"])
+
+
+def _unit_matrix(table: pa.Table) -> np.ndarray:
+    out = np.zeros((table.num_rows, text.HASH_DIMENSIONS))
+    dims, cells = table.column("dims").combine_chunks(), table.column("cells").combine_chunks()
+    row = np.repeat(np.arange(table.num_rows), dims.value_lengths().to_numpy(zero_copy_only=False))
+    out[row, dims.flatten().to_numpy(zero_copy_only=False)] = cells.flatten().to_numpy(zero_copy_only=False)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)
 
 
 def hash_table(rows: DataFrame, key: str) -> DataFrame:
@@ -146,16 +168,42 @@ def hash_embedding(rows: DataFrame, key: str) -> DataFrame:
     return cells.select(key, F.when(length > 0, F.transform("raw", lambda x: x / length)).otherwise(F.transform("raw", lambda x: x.cast("double"))).alias("vector"))
 
 
+#: Documents, and queries, of a pool that are scored in one matrix product.
+POOL_BLOCK = 2048
+
+
 def semantic(queries: DataFrame, documents: DataFrame, least: float) -> DataFrame:
     """(query_id, pool, channel, memory_id, semantic): cosine of hash vectors, at least ``least``.
 
-    Sparse vectors meet by pool and dimension, so texts without a common feature are never paired.
+    Queries and documents of a pool meet in blocks of about ``POOL_BLOCK`` each, and a block pair is one
+    matrix product; a hot owner is many block pairs, not one task.
     """
-    doc = hash_vectors(documents.select("memory_id", "body").dropDuplicates(["memory_id"]), "memory_id")
-    doc = documents.select("pool", "channel", "memory_id").join(doc, "memory_id")
-    ask = queries.select("query_id", "pool").join(hash_vectors(queries.select("query_id", "body"), "query_id").withColumnRenamed("value", "asked"), "query_id")
-    met = ask.join(doc, ["pool", "dim"]).groupBy("query_id", "pool", "channel", "memory_id").agg(F.round(F.sum(F.col("asked") * F.col("value")), DIGITS).alias("semantic"))
-    return met.filter(F.col("semantic") >= least)
+    blocks = lambda n: F.ceil(F.col(n) / POOL_BLOCK).cast("int")
+    n_docs = documents.groupBy("pool", "channel").agg(F.count(F.lit(1)).alias("n")).select("pool", "channel", blocks("n").alias("doc_blocks"))
+    n_asks = queries.groupBy("pool").agg(F.count(F.lit(1)).alias("n")).select("pool", blocks("n").alias("ask_blocks"))
+    grid = n_docs.join(n_asks, "pool")
+    part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    lists = "dims array<int>, cells array<int>"
+    docs = documents.select("pool", "channel", "memory_id", "body").mapInArrow(_cell_lists, f"pool string, channel string, memory_id string, {lists}").filter("size(dims) > 0")
+    docs = docs.join(grid, ["pool", "channel"]).withColumn("doc_block", part("memory_id", "doc_blocks")).withColumn("ask_block", each("ask_blocks"))
+    asks = queries.select("pool", "query_id", "body").mapInArrow(_cell_lists, f"pool string, query_id string, {lists}").filter("size(dims) > 0")
+    asks = asks.join(grid, "pool").withColumn("ask_block", part("query_id", "ask_blocks")).withColumn("doc_block", each("doc_blocks"))
+    keys = ["pool", "channel", "doc_block", "ask_block"]
+    left, right = asks.select(*keys, "query_id", "dims", "cells"), docs.select(*keys, "memory_id", "dims", "cells")
+
+    def score(key: tuple, a: pa.Table, d: pa.Table) -> pa.Table:
+        kinds = pa.schema([("query_id", pa.string()), ("pool", pa.string()), ("channel", pa.string()), ("memory_id", pa.string()), ("semantic", pa.float64())])
+        if not a.num_rows or not d.num_rows:
+            return kinds.empty_table()
+        s = np.round(_unit_matrix(a) @ _unit_matrix(d).T, DIGITS)
+        i, j = np.nonzero(s >= least)
+        pool, channel_name = key[0].as_py(), key[1].as_py()
+        ids, docs_of = a.column("query_id").combine_chunks(), d.column("memory_id").combine_chunks()
+        cols = [ids.take(pa.array(i)), pa.array([pool] * len(i), pa.string()), pa.array([channel_name] * len(i), pa.string()), docs_of.take(pa.array(j)), pa.array(s[i, j])]
+        return pa.Table.from_arrays(cols, schema=kinds)
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, "query_id string, pool string, channel string, memory_id string, semantic double")
 
 
 def _rank(*order: Column) -> Column:
