@@ -51,6 +51,28 @@ def attach_evidence(records: DataFrame, plan: DataFrame, as_of: Column) -> DataF
     return joined.select(*[F.when(hit, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in records.columns])
 
 
+def added(plan: DataFrame, as_of: Column) -> DataFrame:
+    """New records of ADD operations: explicit, or inferred where the source speculates.
+
+    ``plan(op_id, raw_id, content, layer, confidence, tags, speculate)``.
+    """
+    kind = F.when(F.col("speculate").isNotNull(), "inferred").otherwise("explicit")
+    return plan.select(
+        stable_id("mem-", "op_id").alias("memory_id"), "layer", "content", kind.alias("source_type"), "confidence", text.normalize_tags(F.col("tags")).alias("tags"),
+        F.array("raw_id").alias("source_memory_ids"), F.lit(1).cast("long").alias("revision"), F.lit("active").alias("status"), F.lit("recallable").alias("visibility"), as_of.alias("updated_at"),
+    )
+
+
+def hide_raw(records: DataFrame, used: DataFrame) -> DataFrame:
+    """(memory_id, visibility): raw records whose extraction came to something are kept as sources only.
+
+    ``used(raw_id)``: raw records with a created record or attached evidence; the others stay as they are.
+    """
+    hit = used.select(F.col("raw_id").alias("memory_id")).distinct().withColumn("used", F.lit(True))
+    rows = records.filter("layer = 'l1_raw'").join(hit, "memory_id", "left")
+    return rows.select("memory_id", F.when(F.col("used"), F.lit("source_only")).otherwise(F.col("visibility")).alias("visibility"))
+
+
 def new_heads(records: DataFrame, plan: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
     """(heads, targets): the new records of SUPERSEDE and CONSOLIDATE operations, and their changed predecessors.
 

@@ -153,3 +153,14 @@ SELECT memory_id, CASE WHEN len(supersedes) > 0 THEN 'SUPERSEDE' WHEN len(consol
 def _(t):
     rows = rec(t).withColumn("consolidates", F.coalesce("consolidates", F.array().cast("array<string>")))
     return evolution.observe_operation(rows.filter(F.col("created_at") < as_of()), rows).filter("operation <> 'NOOP'")
+
+
+@add("t3_add", f"""WITH {q.EXT} SELECT 'mem-' || sha256(extract_id)[1:16] AS memory_id, CASE WHEN speculate IS NULL THEN 'explicit' ELSE 'inferred' END AS source_type, array_to_string({q.tags('tags')}, '|') AS tags, raw_memory_id AS evidence FROM ext""")
+def _(t):
+    plan = ext(t).select(F.col("extract_id").alias("op_id"), F.col("raw_memory_id").alias("raw_id"), "content", "layer", "confidence", "tags", "speculate")
+    return evolution.added(plan, as_of()).select("memory_id", "source_type", F.array_join("tags", "|").alias("tags"), F.get("source_memory_ids", 0).alias("evidence"))
+
+
+@add("t8_hide_raw", f"""WITH {q.REC}, {q.EXT} SELECT memory_id, CASE WHEN memory_id IN (SELECT raw_memory_id FROM ext WHERE raw_memory_id IS NOT NULL) THEN 'source_only' ELSE visibility END AS visibility FROM rec WHERE layer = 'l1_raw'""")
+def _(t):
+    return evolution.hide_raw(rec(t), ext(t).filter("raw_memory_id IS NOT NULL").select(F.col("raw_memory_id").alias("raw_id")))

@@ -569,3 +569,41 @@ def _(t):
 def _(t):
     order = Window.partitionBy("request_id").orderBy(F.asc_nulls_last(F.array_min("evidence_turn_indexes")), F.asc_nulls_last("client_ref"), "extract_id")
     return ext(t).select("request_id", "extract_id", F.row_number().over(order).alias("place"))
+
+
+# ---------------------------------------------------------------- gates and totals
+
+
+@add("a15_hard_totals", _RANKED + """, bad AS (SELECT DISTINCT query_id, memory_id FROM (SELECT query_id, unnest(forbidden_ids) AS memory_id FROM qry) WHERE memory_id <> '')
+SELECT count(b.memory_id) AS forbidden_hits, count(*) - count(DISTINCT (r.query_id, r.memory_id)) AS duplicate_ids FROM ranking r LEFT JOIN bad b USING (query_id, memory_id)""")
+def _(t):
+    return metrics.hard_checks(_rankings(t), _labels(t, "forbidden_ids")).agg(F.coalesce(F.sum("forbidden_hits"), F.lit(0)).alias("forbidden_hits"), F.coalesce(F.sum("duplicate_ids"), F.lit(0)).alias("duplicate_ids"))
+
+
+_GATES = [("current_head", 0.1), ("exact_id", 0.9), ("no_such_bucket", 0.0)]
+
+
+@add("j14_gates", _RANKED + """, gate(bucket, least) AS (VALUES ('current_head', 0.1::DOUBLE), ('exact_id', 0.9::DOUBLE), ('no_such_bucket', 0.0::DOUBLE)),
+cell AS (SELECT bucket, round(avg(recall10), 6) AS value FROM cse JOIN qry USING (query_id) GROUP BY bucket)
+SELECT gate.bucket, least, value, coalesce(value + 2.220446049250313e-16 >= least, false) AS passed FROM gate LEFT JOIN cell USING (bucket)""")
+def _(t):
+    cells = metrics.cases(_rankings(t), _labels(t)).join(qry(t).select("query_id", "bucket"), "query_id").groupBy("bucket").agg(F.round(F.avg("recall10"), 6).alias("value"))
+    gates = t.spark.createDataFrame(_GATES, "bucket string, least double")
+    return metrics.gate(cells, gates, ["bucket"]).select("bucket", "least", "value", "passed")
+
+
+@add("f12_relative_gain", "WITH m AS (SELECT * FROM (" + _mode_sql(q.tokens, "cjk_bigram") + ") UNION ALL SELECT * FROM (" + _mode_sql(q.runs, "legacy") + """)),
+p AS (SELECT max(recall10) FILTER (mode = 'legacy') AS b, max(recall10) FILTER (mode = 'cjk_bigram') AS v FROM m)
+SELECT round(CASE WHEN b <> 0 THEN (v - b) / b WHEN v > 0 THEN 'inf'::DOUBLE ELSE 0 END, 6) AS gain FROM p""")
+def _(t):
+    values = []
+    for name, tokenizer in (("b", text.tokenize_runs), ("v", text.tokenize)):
+        values.append(metrics.cases(_mode(t, tokenizer), _labels(t)).agg(F.round(F.avg("recall10"), 6).alias(name)).withColumn("k", F.lit(1)))
+    return values[0].join(values[1], "k").select(F.round(metrics.relative_gain(F.col("b"), F.col("v")), 6).alias("gain"))
+
+
+@add("j1_get", _W + "SELECT memory_id, content FROM rec WHERE scope = 'tenant-alder|user-00hub|agent-concierge' AND memory_id = (SELECT min(memory_id) FROM rec WHERE scope = 'tenant-alder|user-00hub|agent-concierge')")
+def _(t):
+    owner = listing.same_owner("tenant-alder", "user-00hub", "agent-concierge")
+    first = rec(t).filter(owner).agg(F.min("memory_id").alias("memory_id"))
+    return rec(t).filter(owner).select("memory_id", "content").join(first, "memory_id")
