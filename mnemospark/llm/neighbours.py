@@ -6,7 +6,7 @@ vector sends itself to the vectors it lists, and all vectors that meet at one (t
 neighbour) are scored against each other; what beats a vector's present k-th similarity is sent to it
 and merged.  Queries from outside walk the graph greedily.
 
-Scale: an iteration is two shuffles, of n*k eight-bit quantized vectors and of the improvements.  No
+Scale: an iteration is three shuffles, of edges, of 2*n*k eight-bit quantized vectors and of the improvements.  No
 step compares all vectors.  A leaf or a meeting point that is larger than its bound (one vector
 repeated in a third of all rows, a hub) is split at random into groups of bounded size, so no group is
 unbounded; iterations mend what a split separates.  Similarities are computed on quantized vectors
@@ -36,7 +36,9 @@ TABLES = 8
 LEAF = 400
 LEAF_MOST = 1600
 MEET_MOST = 96
-ITERATIONS = 4
+MOST_ITERATIONS = 10
+#: NN-descent ends when this share of all listed neighbours, or less, came in the last iteration.
+SETTLED = 0.003
 SEED = 20240229
 
 _LISTS = "id long, nbr array<long>, sim array<float>, fresh array<boolean>"
@@ -157,9 +159,11 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if hi - lo < 2:
                 continue
             own, new = flat_ids[lo:hi], flat_fresh[lo:hi]
-            x = _matrix(flat_codes.slice(lo, hi - lo))
+            once = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])  # sorted by id; an edge both ways brings a member twice
+            new = np.maximum.reduceat(new, once)
+            own, x = own[once], _matrix(flat_codes.slice(lo, hi - lo))[once]
             s = x @ x.T
-            good = (s > flat_least[lo:hi, None]) & (new[:, None] | new[None, :])
+            good = (s > flat_least[lo:hi][once, None]) & (new[:, None] | new[None, :])
             np.fill_diagonal(good, False)
             good &= own[:, None] != own[None, :]
             a, b = np.nonzero(good)
@@ -185,17 +189,20 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _joined(graph: DataFrame, codes: DataFrame) -> DataFrame:
     """One NN-descent iteration's improvements, as lists to merge."""
     least = F.when(F.size("nbr") >= LISTED, F.element_at("sim", -1)).otherwise(F.lit(-2.0).cast("float"))
-    sent = graph.join(codes.select("id", "code"), "id").select("id", "code", least.alias("least"), "nbr", "fresh")
-    meet = sent.select(F.explode(F.arrays_zip("nbr", "fresh")).alias("to"), "id", "code", "least").select(F.col("to.nbr").alias("at"), "id", "code", "least", F.col("to.fresh").alias("fresh"))
-    meet = meet.unionByName(sent.select(F.col("id").alias("at"), "id", "code", "least", F.lit(True).alias("fresh")))
-    degree = graph.select(F.explode("nbr").alias("at")).groupBy("at").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MEET_MOST).select("at", F.ceil(F.col("n") / MEET_MOST).cast("int").alias("parts"))
+    edges = graph.select(F.col("id").alias("from_id"), F.explode(F.arrays_zip("nbr", "fresh")).alias("to")).select("from_id", F.col("to.nbr").alias("to_id"), F.col("to.fresh").alias("fresh"))
+    # both ends of an edge meet at either: neighbours of neighbours along and against the edges
+    along = edges.select(F.col("from_id").alias("id"), F.col("to_id").alias("at"), "fresh")
+    against = edges.select(F.col("to_id").alias("id"), F.col("from_id").alias("at"), "fresh")
+    itself = graph.select("id", F.col("id").alias("at"), F.lit(True).alias("fresh"))
+    degree = edges.groupBy(F.col("to_id").alias("at")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MEET_MOST).select("at", F.ceil((F.col("n") + LISTED) / MEET_MOST).cast("int").alias("parts"))
+    meet = along.unionByName(against).unionByName(itself).join(codes.select("id", "code").join(graph.select("id", least.alias("least")), "id"), "id")
     split = meet.join(degree, "at", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("at", "id"), "parts")).otherwise(F.lit(0)))
     rows = F.sort_array(F.collect_list(F.struct("id", "code", "least", "fresh")))
     groups = split.groupBy("at", "part").agg(rows.alias("m")).select(F.col("m.id").alias("ids"), F.col("m.code").alias("codes"), F.col("m.least").alias("least"), F.col("m.fresh").alias("fresh"))
     return groups.mapInArrow(_meetings, _LISTS)
 
 
-def neighbour_graph(vectors: DataFrame, stage: Staging, iterations: int = ITERATIONS) -> tuple[DataFrame, DataFrame]:
+def neighbour_graph(vectors: DataFrame, stage: Staging, most_iterations: int = MOST_ITERATIONS) -> tuple[DataFrame, DataFrame]:
     """(numbered vectors with id, graph of lists) of ``vectors(space_id, key, vector)``."""
     numbered = stage.cut(vectors.withColumn("id", F.monotonically_increasing_id()).withColumn("space", F.concat_ws("\x01", "space_id", F.size("vector").cast("string"))))
     sizes = {r["space"]: r["n"] for r in numbered.groupBy("space").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -206,11 +213,14 @@ def neighbour_graph(vectors: DataFrame, stage: Staging, iterations: int = ITERAT
     placed = leaves.join(crowded, "leaf", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("leaf", "id"), "parts")).otherwise(F.lit(0)))
     begun = placed.select("leaf", "part", "id", "code").groupBy("leaf", "part").applyInArrow(_leaf_best, _LISTS)
     graph = stage.cut(_merge(begun))
-    for _ in range(iterations):
+    for _ in range(most_iterations):
         old = graph.select("id", "nbr", "sim", F.transform("fresh", lambda x: F.lit(False)).alias("fresh"))
         after = stage.cut(_merge(old.unionByName(_joined(graph, codes))))
         stage.drop(graph)
         graph = after
+        came = graph.agg(F.sum(F.size(F.filter("fresh", lambda x: x))).alias("new"), F.sum(F.size("nbr")).alias("listed")).first()
+        if (came["new"] or 0) <= SETTLED * (came["listed"] or 0):
+            break
     return numbered, graph
 
 
