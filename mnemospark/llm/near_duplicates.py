@@ -1,20 +1,19 @@
 """Near-duplicate records with small edits (problem 1).
 
 Similarity is the Jaccard index of the distinct words of two contents; ``threshold`` 0.6 by the data
-statement.  Method: pigeonhole blocks.  A content's fingerprint is its set of word codes, a bit vector
-over all words; at Jaccard t two fingerprints of n and m bits differ in at most (1-t)/(1+t)*(n+m) bits.
-The word space is cut into slots by hash, at several widths; the part of a fingerprint that falls into
-a slot is a block.  Close fingerprints leave most slots untouched, so they share blocks; fingerprints
-are joined on equal blocks and the Hamming distance of the pairs is verified, first on a 128-bit
-sketch that travels with the block and then on the full word sets.
-
-A block is used where it says enough: the information of its words (from document frequencies over
-all contents, kept in a table of ``FREQUENCY_BUCKETS`` hashed counters, which bounds its size) must
-exceed what leaves about ``COINCIDENCES`` accidental partners in the whole collection.  Blocks below
-that are not needed alone, because the same words also fall, with others, into the wider slots of the
-other widths.  Blocks that are shared by more than ``HOT_BLOCK`` contents nevertheless (a template of
-a third of all rows) are not joined alone: their members join on that block together with each other
-block they have of the same width, so a hot block splits by what else its members share.
+statement.  Method: an exact prefix join.  The words of a content are put in one order for all contents, from the rarest on
+(document frequencies in a table of ``FREQUENCY_BUCKETS`` hashed counters, which bounds its size; the
+order is the same everywhere, so a shared counter costs time and no pair).  Contents of n and m words
+at Jaccard t share at least k = t/(1+t)*(n+m) words, and their first l shared words lie, for every
+l <= k, among the first n-k+l words of the one and the first m-k+l of the other.  A content therefore
+emits a block for each path of words in those prefixes.  A path ends where the information of its words
+leaves about ``COINCIDENCES`` accidental partners in the whole collection, or at the depth that the size
+of the larger content allows; the ends depend only on the path and on that size, so both contents of a
+pair emit the same block, whatever the words say and however short the contents are.
+
+Members of a block are compared by size and by the distance of 112-bit parity sketches, which is at
+most the Hamming distance of the sets, so nothing is lost here either; then on the full word sets.
+Blocks of more than ``HOT_BLOCK`` members are compared in a grid of parts, each pair of parts by a task.
 
 Equal word sets are one class before anything is joined: a content copied into a third of all rows is
 one fingerprint.  Class membership is a table; pairs of row ids are expanded only where asked for.
@@ -41,20 +40,18 @@ from mnemospark.plans.staging import Staging
 
 THRESHOLD = 0.6
 FREQUENCY_BUCKETS = 1 << 17
-COINCIDENCES = 16.0
+COINCIDENCES = 1024.0
 HOT_BLOCK = 4096
 
-#: Slots of each width, a rule: the Fibonacci numbers up to 65,536.  A content uses the widths that
-#: give it between 1.2 and 5.6 words a slot: three or four of them.
-WIDTHS = [1, 2]
-while WIDTHS[-1] < 65_536:
-    WIDTHS.append(WIDTHS[-1] + WIDTHS[-2])
-WORDS_PER_SLOT = (1.2, 5.6)
+#: Paths a content may emit for partners of one size, a bound that sets the depth of the paths.
+MOST_PATHS = 256
 
-#: Bits of 128 in which sketches may differ: mean (1-t)/2*128 = 25.6 at t 0.6, plus four deviations.
-SKETCH_BITS = 44
+#: Sizes from here on are kept as this one in a block row, and such contents are compared on their full sets only.
+LONG = 0x7FFF
+
+#: Blocks above this are compared by matrices, smaller ones many at a time.
+SMALL_BLOCK = 48
 
-_ODD = np.random.default_rng(20240229).integers(1, 1 << 62, size=128, dtype=np.uint64)
 _WORD = re.compile(r"[㐀-鿿]|[^\W_㐀-鿿]+")
 
 
@@ -147,105 +144,214 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sketch(code: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """128 one-bit minwise hashes of each set, two words: the low bit of the least value of each permutation."""
+    """Two words a set: the parities of 112 cells that its words fall into, then 15 bits of size (the last bit is free)."""
     out = np.zeros((2, len(sizes)), dtype=np.uint64)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-    for j in range(128):
-        least = np.minimum.reduceat((code * (_ODD[j] * np.uint64(2) + np.uint64(1))) >> np.uint64(20), starts)
-        out[j >> 6] |= (least & np.uint64(1)) << np.uint64(j & 63)
-    return out.view(np.int64)
-
-
-def _block_rows(idf: np.ndarray, need: float, with_width: bool = False):
-    """Function from (set_id, codes) batches to block rows (block, set_id, sketch_a, sketch_b[, width])."""
-    low, high = WORDS_PER_SLOT
+    cell = _mix(code + np.uint64(0x51ED27)) % np.uint64(112)
+    for j in range(2):
+        bit = np.where(cell >> np.uint64(6) == j, np.uint64(1) << (cell & np.uint64(63)), np.uint64(0))
+        out[j] = np.bitwise_xor.reduceat(bit, starts)
+    out[1] |= np.minimum(sizes, LONG).astype(np.uint64) << np.uint64(48)
+    return out
+
+
+def _shared_least(n: int, m: int, threshold: float) -> int:
+    """Words that sets of n and m words share at least, if their Jaccard index reaches the threshold."""
+    return max(1, math.ceil(threshold / (1 + threshold) * (n + m) - 1e-9))
+
+
+def _depth(m: int, threshold: float) -> int:
+    """Words a path has at most in pairs whose larger set has m words; every such pair shares that many."""
+    least = max(1, math.ceil(threshold * m - 1e-9))
+    depth = 1
+    while depth < least and math.comb(m - least + depth + 1, depth + 1) <= MOST_PATHS:
+        depth += 1
+    return depth
+
+
+def _depths(n: int, threshold: float) -> list[tuple[int, int]]:
+    """(depth, least number of shared words) for all sizes a partner of n words can make the larger one."""
+    out: dict[int, int] = {_depth(n, threshold): max(1, math.ceil(threshold * n - 1e-9))}
+    if n >= LONG:
+        return list(out.items()) if 1 in out else [*out.items(), (1, min(out.values()))]
+    for m in range(n + 1, math.floor(n / threshold + 1e-9) + 1):
+        depth = _depth(m, threshold)
+        if depth not in out:
+            out[depth] = _shared_least(n, m, threshold)
+        if depth == 1:
+            break
+    return list(out.items())
+
+
+def _paths(first: np.ndarray, sizes: np.ndarray, depth: np.ndarray, least: np.ndarray, code: np.ndarray, weight: np.ndarray, need: float) -> tuple[np.ndarray, np.ndarray]:
+    """(set, block) of every path: words at ``first + i`` of each set, in the common order."""
+    doc = np.arange(len(sizes))
+    at = np.full(len(sizes), -1, dtype=np.int64)
+    block = np.full(len(sizes), 0xABCDEF, dtype=np.uint64)
+    info = np.zeros(len(sizes))
+    docs, blocks = [], []
+    level = 0
+    while len(doc):
+        level += 1
+        end = np.minimum(sizes, sizes - least + level)[doc]
+        more = np.maximum(end - at - 1, 0)
+        parent = np.repeat(np.arange(len(doc)), more)
+        at = at[parent] + 1 + np.arange(len(parent)) - np.repeat(np.cumsum(more) - more, more)
+        doc, word = doc[parent], first[doc[parent]] + at
+        block = _mix(block[parent] * np.uint64(3) + code[word])
+        info = info[parent] + weight[word]
+        done = (info >= need) | (depth[doc] <= level)
+        docs.append(doc[done])
+        blocks.append(block[done])
+        doc, at, block, info = doc[~done], at[~done], block[~done], info[~done]
+    return np.concatenate(docs), np.concatenate(blocks)
+
+
+def _block_rows(idf: np.ndarray, need: float, threshold: float):
+    """Function from (set_id, codes) batches to block rows (block, set_id, sketch_a, sketch_b).
+
+    The last bit of a sketch marks a guest: a block that the set has only for partners larger than itself,
+    so that two guests need not be compared.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, list[tuple[int, int]]] = {}
         for ids, flat, sizes in _once_a_task(batches):
             owner = _segments(sizes)
-            weight = idf[_buckets(flat)]
+            weight = idf[_buckets(flat)].astype(np.float64)
             code = _mix(flat.view(np.uint32).astype(np.uint64) + np.uint64(0x1234567))
             sketch = _sketch(code, sizes)
-            out: list[list[np.ndarray]] = []
-            for w, slots in enumerate(WIDTHS):
-                per = sizes / slots
-                use = (per >= low) & (per < high) if w else per < high
-                pick = use[owner]
-                if not pick.any():
-                    continue
-                own, c, g = owner[pick], code[pick], weight[pick]
-                slot = (_mix(c + np.uint64(w * 7919 + 1)) % np.uint64(slots)).astype(np.int64)
-                cell, inverse = np.unique(own * slots + slot, return_inverse=True)
-                info = np.bincount(inverse, weights=g, minlength=len(cell))
-                block = np.zeros(len(cell), dtype=np.uint64)
-                np.add.at(block, inverse, _mix(c + np.uint64(0xABCDEF)))
-                good = info >= need
-                cell, block = cell[good], block[good]
-                block = _mix(block ^ _mix((cell % slots).astype(np.uint64) + np.uint64(w << 32)))
-                doc = cell // slots
-                out.append([block.view(np.int64), ids[doc], sketch[0, doc], sketch[1, doc]] + ([np.full(len(cell), w, dtype=np.int32)] if with_width else []))
-            names = ["block", "set_id", "sketch_a", "sketch_b"] + (["width"] if with_width else [])
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=names)
+            order = np.lexsort((code, -weight, owner))
+            code, weight = code[order], weight[order]
+            first = np.cumsum(sizes) - sizes
+            which, depth, least, guest = [], [], [], []
+            for i, n in enumerate(sizes.tolist()):
+                if n not in known:
+                    known[n] = _depths(n, threshold)
+                for j, (d, k) in enumerate(known[n]):
+                    which.append(i)
+                    depth.append(d)
+                    least.append(k)
+                    guest.append(j > 0)
+            which, depth, least, guest = np.array(which), np.array(depth), np.array(least), np.array(guest, dtype=np.uint64)
+            for lo in range(0, len(which), 2000):
+                part = slice(lo, lo + 2000)
+                own, block = _paths(first[which[part]], sizes[which[part]], depth[part], least[part], code, weight, need)
+                doc, as_guest = which[part][own], guest[part][own]
+                order = np.lexsort((as_guest, block, doc))
+                doc, block, as_guest = doc[order], block[order], as_guest[order]
+                keep = np.r_[True, (doc[1:] != doc[:-1]) | (block[1:] != block[:-1])]
+                doc, block, as_guest = doc[keep], block[keep], as_guest[keep]
+                last = (sketch[1, doc] | as_guest << np.uint64(63)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (block.view(np.int64), ids[doc], sketch[0, doc].view(np.int64), last)], names=["block", "set_id", "sketch_a", "sketch_b"])
 
     return run
 
 
 _BLOCK = "block long, set_id long, sketch_a long, sketch_b long"
-_FOUND = "a long, b long, hot_block long"
+_FOUND = "a long, b long, hot_block long, sketch_a long, sketch_b long"
+_BITS = np.uint64((1 << 48) - 1)
+_GUEST = np.uint64(1 << 63)
 
 
-def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks in sorted order to (a, b, null) pairs with close sketches, and (member, null, block) rows of hot blocks."""
+def _size(y: np.ndarray) -> np.ndarray:
+    return ((y >> np.uint64(48)) & np.uint64(LONG)).astype(np.int32)
 
-    def table(a: np.ndarray, b: np.ndarray | None, hot: np.ndarray | None) -> pa.RecordBatch:
-        none = pa.nulls(len(a), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(a), none if b is None else pa.array(b), none if hot is None else pa.array(hot)], names=["a", "b", "hot_block"])
 
-    def pairs(block: np.ndarray, ids: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _found(a: np.ndarray, b: np.ndarray | None, hot: tuple[np.ndarray, np.ndarray, np.ndarray] | None) -> pa.RecordBatch:
+    none = pa.nulls(len(a), pa.int64())
+    more = [none] * 3 if hot is None else [pa.array(hot[0]), pa.array(hot[1].view(np.int64)), pa.array(hot[2].view(np.int64))]
+    return pa.RecordBatch.from_arrays([pa.array(a), none if b is None else pa.array(b), *more], names=["a", "b", "hot_block", "sketch_a", "sketch_b"])
+
+
+def _close_pairs(threshold: float, most: int | None):
+    """Function from blocks in sorted order to (a, b, nulls) pairs that sketches allow, and (member, null, block, sketch) rows of blocks above ``most``.
+
+    Of rows with a ``side`` above 0 only those of different sides are compared.
+    """
+    share = (1 - threshold) / (1 + threshold)
+
+    def sweep(large: list[np.ndarray], small: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Pairs of an owner and a member that is not larger, of lists sorted by size."""
+        n = _size(small[2])
+        owners = (large[2] & _GUEST) == 0
+        ids, x, y = (z[owners] for z in large)
+        m = _size(y)
+        bits, bound = small[2] & _BITS, (share * n + 1e-3).astype(np.float32)
+        for lo in range(0, len(ids), 128):
+            hi = min(lo + 128, len(ids))
+            i, j = np.searchsorted(n, threshold * m[lo] - 1e-6), np.searchsorted(n, m[hi - 1], "right")
+            if i >= j:
+                continue
+            differ = np.bitwise_count(x[lo:hi, None] ^ small[1][None, i:j]) + np.bitwise_count((y[lo:hi, None] & _BITS) ^ bits[None, i:j])
+            limit = np.where(m[lo:hi] >= LONG, 1e9, share * m[lo:hi]).astype(np.float32)
+            p, q = np.nonzero(differ <= limit[:, None] + bound[None, i:j])
+            a, b = ids[lo:hi][p], small[0][i:j][q]
+            good = (a != b) & (n[i:j][q] >= threshold * m[lo:hi][p] - 1e-6)
+            if good.any():
+                a, b = a[good], b[good]
+                pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                yield _found(pair[0], pair[1], None)
+
+    def pairs(block: np.ndarray, ids: np.ndarray, x: np.ndarray, y: np.ndarray, side: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
         size = np.diff(np.r_[starts, len(block)])
         per = np.repeat(size, size)
-        crowded = per > HOT_BLOCK
+        crowded = per > most if most else np.zeros(len(per), dtype=bool)
         if crowded.any():
-            yield table(ids[crowded], None, block[crowded])
-        keep = (per > 1) & ~crowded
-        block, ids, x, y = block[keep], ids[keep], x[keep], y[keep]
-        at = np.arange(len(block))
-        step = 1
+            yield _found(ids[crowded], None, (block[crowded], x[crowded], y[crowded]))
+        for at, k in zip(starts, size):
+            if k > SMALL_BLOCK and not crowded[at]:
+                order = at + np.argsort(_size(y[at : at + k]), kind="stable")
+                parts = [order] if side[at] == 0 else [order[side[order] == 1], order[side[order] == 2]]
+                one, two = ([z[i] for z in (ids, x, y)] for i in (parts[0], parts[-1]))
+                yield from sweep(one, two)
+                if len(parts) > 1:
+                    yield from sweep(two, one)
+        keep = (per > 1) & (per <= SMALL_BLOCK) & ~crowded
+        block, ids, x, y, side = block[keep], ids[keep], x[keep], y[keep], side[keep]
+        n, at, step = _size(y), np.arange(len(block)), 1
         while True:
             at = at[at < len(block) - step]
             at = at[block[at] == block[at + step]]
             if not len(at):
                 return
-            differ = np.bitwise_count(x[at] ^ x[at + step]) + np.bitwise_count(y[at] ^ y[at + step])
-            close = at[(differ <= SKETCH_BITS) & (ids[at] != ids[at + step])]
-            if len(close):
-                yield table(np.minimum(ids[close], ids[close + step]), np.maximum(ids[close], ids[close + step]), None)
+            to = at + step
+            differ = np.bitwise_count(x[at] ^ x[to]) + np.bitwise_count((y[at] ^ y[to]) & _BITS)
+            small, large = np.minimum(n[at], n[to]), np.maximum(n[at], n[to])
+            close = ((differ <= share * (small + large) + 1e-3) | (large >= LONG)) & (small >= threshold * large - 1e-6)
+            close &= (ids[at] != ids[to]) & ((y[at] & y[to] & _GUEST) == 0) & ((side[at] == 0) | (side[at] != side[to]))
+            near, far = ids[at[close]], ids[to[close]]
+            if len(near):
+                yield _found(np.minimum(near, far), np.maximum(near, far), None)
             step += 1
 
-    rest: list[np.ndarray] | None = None
-    for batch in batches:
-        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-        now = [now[0], now[1], now[2].view(np.uint64), now[3].view(np.uint64)]
-        if rest is not None:
-            now = [np.concatenate(z) for z in zip(rest, now)]
-        cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
-        if len(now[0]) - cut > 8 * HOT_BLOCK:  # the last block is hot whatever follows: pass on what is here
-            yield table(now[1][cut:], None, now[0][cut:])
-            last = slice(len(now[0]) - HOT_BLOCK - 1, None)  # enough stays to know it as hot
-            rest = [z[last] for z in now]
-        else:
-            rest = [z[cut:] for z in now]
-        yield from pairs(*[z[:cut] for z in now])
-    if rest is not None and len(rest[0]):
-        yield from pairs(*rest)
-
-
-def _candidates(blocks: DataFrame) -> DataFrame:
-    """(a, b, hot_block): set ids a < b that share a block and have close sketches; or a member of a hot block."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None
+        for batch in batches:
+            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+            now = [now[0], now[1], now[2].view(np.uint64), now[3].view(np.uint64), now[4] if len(now) > 4 else np.zeros(len(now[0]), dtype=np.int32)]
+            if rest is not None:
+                now = [np.concatenate(z) for z in zip(rest, now)]
+            cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
+            if most and len(now[0]) - cut > 8 * most:  # the last block is hot whatever follows: pass on what is here
+                last = slice(len(now[0]) - most - 1, None)  # enough stays to know it as hot
+                gone = slice(cut, last.start)
+                yield _found(now[1][gone], None, (now[0][gone], now[2][gone], now[3][gone]))
+                rest = [z[last] for z in now]
+            else:
+                rest = [z[cut:] for z in now]
+            yield from pairs(*[z[:cut] for z in now])
+        if rest is not None and len(rest[0]):
+            yield from pairs(*rest)
+
+    return run
+
+
+def _candidates(blocks: DataFrame, threshold: float, most: int | None) -> DataFrame:
+    """Set ids a < b that share a block and have close sketches; or a member of a hot block, with its sketch."""
     placed = blocks.repartition(F.col("block")).sortWithinPartitions("block")
-    return placed.select("block", "set_id", "sketch_a", "sketch_b").mapInArrow(_close_pairs, _FOUND)
+    return placed.mapInArrow(_close_pairs(threshold, most), _FOUND)
 
 
 def _pairs_of(found: DataFrame) -> DataFrame:
@@ -267,11 +373,11 @@ def similar_sets(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     counts[table["bucket"].to_numpy(dtype=np.int64)] = table["n"].to_numpy(dtype=np.float64)
     idf = np.maximum(np.log(max(total, 2.0) / counts), 0.05).astype(np.float32)
     need = math.log(max(total / COINCIDENCES, 3.0))
-    found = stage.cut(_candidates(sets.mapInArrow(_block_rows(idf, need), _BLOCK)))
+    found = stage.cut(_candidates(sets.mapInArrow(_block_rows(idf, need, threshold), _BLOCK), threshold, HOT_BLOCK))
     near = _pairs_of(found)
-    hot = found.filter("hot_block IS NOT NULL").select(F.col("hot_block").alias("block"), F.col("a").alias("set_id"))
+    hot = found.filter("hot_block IS NOT NULL").select(F.col("hot_block").alias("block"), F.col("a").alias("set_id"), "sketch_a", "sketch_b")
     if not hot.isEmpty():
-        near = near.unionByName(_split_hot(sets, hot, idf, stage))
+        near = near.unionByName(_hot_pairs(hot.dropDuplicates(["block", "set_id"]), threshold))
     pairs = stage.cut(near.distinct())
     one = sets.repartition(F.col("set_id")).dropDuplicates(["set_id"])
     left = one.select(F.col("set_id").alias("a"), F.col("codes").alias("codes_a"))
@@ -284,25 +390,14 @@ def similar_sets(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return stage.cut(checked)
 
 
-def _split_hot(sets: DataFrame, hot: DataFrame, idf: np.ndarray, stage: Staging) -> DataFrame:
-    """Candidates within hot blocks: members join on the block and another block of the same width.
-
-    All blocks of a width are used here, however little they say, so close members still share some; what
-    is hot again is split once more by a third block, and there joined whatever its size.  Only members of
-    hot blocks are cut anew.
-    """
-    inside = sets.join(hot.select("set_id").distinct(), "set_id", "left_semi")
-    wide = stage.cut(inside.mapInArrow(_block_rows(idf, 0.0, True), _BLOCK + ", width int").dropDuplicates(["block", "set_id"]))
-    members = wide.join(hot.select("block").distinct(), "block", "left_semi").withColumnRenamed("block", "first")
-    every = wide.select("set_id", "width", F.col("block").alias("more"))
-    twice = stage.cut(members.join(every, ["set_id", "width"]).filter("first <> more").select(F.xxhash64("first", "more").alias("block"), "set_id", "sketch_a", "sketch_b", "width"))
-    found = stage.cut(_candidates(twice))
-    still = found.filter("hot_block IS NOT NULL").select(F.col("hot_block").alias("block")).distinct()
-    third = twice.join(still, "block", "left_semi").join(every, ["set_id", "width"])
-    third = third.select(F.xxhash64("block", "more").alias("block"), "set_id", "sketch_a", "sketch_b").dropDuplicates(["block", "set_id"])
-    differ = F.bit_count(F.col("l.sketch_a").bitwiseXOR(F.col("r.sketch_a"))) + F.bit_count(F.col("l.sketch_b").bitwiseXOR(F.col("r.sketch_b")))
-    met = third.alias("l").join(third.alias("r"), (F.col("l.block") == F.col("r.block")) & (F.col("l.set_id") < F.col("r.set_id")) & (differ <= SKETCH_BITS))
-    return _pairs_of(found).unionByName(met.select(F.col("l.set_id").alias("a"), F.col("r.set_id").alias("b")))
+def _hot_pairs(hot: DataFrame, threshold: float) -> DataFrame:
+    """Candidates within hot blocks ``hot(block, set_id, sketch_a, sketch_b)``: members are dealt to parts, and every two parts of a block meet in a cell."""
+    parts = hot.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / HOT_BLOCK).cast("int").alias("parts"))
+    dealt = hot.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("block", "set_id"), "parts").cast("int"))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    block = F.xxhash64("block", F.least("part", "other"), F.greatest("part", "other"))
+    side = F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2)
+    return _pairs_of(_candidates(cells.select(block.alias("block"), "set_id", "sketch_a", "sketch_b", side.cast("int").alias("side")), threshold, None))
 
 
 def _prepared(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:

@@ -84,3 +84,14 @@ def test_other_threshold(spark, threshold):
     rows = corpus(9, 30)
     got = {(r.row_id_a, r.row_id_b) for r in nd.near_duplicate_pairs(frame(spark, rows), threshold).collect()}
     assert got == brute(rows, threshold)
+
+
+def test_frequent_words_lose_no_pair(spark):
+    """Every word in a tenth or more of the sets: no part of a set says much, and still every pair is found."""
+    rng = random.Random(8)
+    rows = [(f"q{i:04}", " ".join(f"w{x}" for x in rng.sample(range(60), rng.randrange(4, 26)))) for i in range(700)]
+    for i in range(0, 700, 2):
+        found = rows[i][1].split()
+        rows.append((f"e{i:04}", " ".join([*found[: len(found) - rng.randrange(0, max(1, len(found) // 4) + 1)], f"w{rng.randrange(60)}"])))
+    got = {(r.row_id_a, r.row_id_b) for r in nd.near_duplicate_pairs(frame(spark, rows)).collect()}
+    assert got == brute(rows)
