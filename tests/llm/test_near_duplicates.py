@@ -95,3 +95,15 @@ def test_frequent_words_lose_no_pair(spark):
         rows.append((f"e{i:04}", " ".join([*found[: len(found) - rng.randrange(0, max(1, len(found) // 4) + 1)], f"w{rng.randrange(60)}"])))
     got = {(r.row_id_a, r.row_id_b) for r in nd.near_duplicate_pairs(frame(spark, rows)).collect()}
     assert got == brute(rows)
+
+
+@pytest.mark.parametrize("hot", [4096, 5])
+def test_short_sets(spark, monkeypatch, hot):
+    """Sizes 1 to 8 against brute force, also where most blocks are hot."""
+    monkeypatch.setattr(nd, "HOT_BLOCK", hot)
+    monkeypatch.setattr(nd, "SMALL_BLOCK", 3)
+    rng = random.Random(21)
+    rows = [("two", "red fox"), ("three", "a red fox")]
+    rows += [(f"s{i:04}", " ".join(f"w{x}" for x in rng.sample(range(24), 1 + i % 8))) for i in range(640)]
+    got = {(r.row_id_a, r.row_id_b) for r in nd.near_duplicate_pairs(frame(spark, rows)).collect()}
+    assert ("three", "two") in got and got == brute(rows)
