@@ -9,7 +9,8 @@ and merged.  Queries from outside walk the graph greedily.
 Scale: an iteration is three shuffles, of edges, of 2*n*k eight-bit quantized vectors and of the improvements.  No
 step compares all vectors.  A leaf or a meeting point that is larger than its bound (one vector
 repeated in a third of all rows, a hub) is split at random into groups of bounded size, so no group is
-unbounded; iterations mend what a split separates.  Similarities are computed on quantized vectors
+unbounded; a meeting point is split anew in every iteration, and its members are all scored each time,
+so iterations mend what a split separates.  Similarities are computed on quantized vectors
 (error about 0.001) while the graph is built and again in full precision for what is returned.
 
 Defined results: vectors that are null, all zero, not of length ``dimensions``, holding a null or not
@@ -186,8 +187,11 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(owner[heads]), *parts], names=["id", "nbr", "sim", "fresh"])
 
 
-def _joined(graph: DataFrame, codes: DataFrame) -> DataFrame:
-    """One NN-descent iteration's improvements, as lists to merge."""
+def _joined(graph: DataFrame, codes: DataFrame, iteration: int) -> DataFrame:
+    """One NN-descent iteration's improvements, as lists to merge.
+
+    Members of a split point were not all together before, so there they count as fresh.
+    """
     least = F.when(F.size("nbr") >= LISTED, F.element_at("sim", -1)).otherwise(F.lit(-2.0).cast("float"))
     edges = graph.select(F.col("id").alias("from_id"), F.explode(F.arrays_zip("nbr", "fresh")).alias("to")).select("from_id", F.col("to.nbr").alias("to_id"), F.col("to.fresh").alias("fresh"))
     # both ends of an edge meet at either: neighbours of neighbours along and against the edges
@@ -196,7 +200,8 @@ def _joined(graph: DataFrame, codes: DataFrame) -> DataFrame:
     itself = graph.select("id", F.col("id").alias("at"), F.lit(True).alias("fresh"))
     degree = edges.groupBy(F.col("to_id").alias("at")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MEET_MOST).select("at", F.ceil((F.col("n") + LISTED) / MEET_MOST).cast("int").alias("parts"))
     meet = along.unionByName(against).unionByName(itself).join(codes.select("id", "code").join(graph.select("id", least.alias("least")), "id"), "id")
-    split = meet.join(degree, "at", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("at", "id"), "parts")).otherwise(F.lit(0)))
+    split = meet.join(degree, "at", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("at", "id", F.lit(iteration)), "parts")).otherwise(F.lit(0)))
+    split = split.withColumn("fresh", F.col("fresh") | F.col("parts").isNotNull())
     rows = F.sort_array(F.collect_list(F.struct("id", "code", "least", "fresh")))
     groups = split.groupBy("at", "part").agg(rows.alias("m")).select(F.col("m.id").alias("ids"), F.col("m.code").alias("codes"), F.col("m.least").alias("least"), F.col("m.fresh").alias("fresh"))
     return groups.mapInArrow(_meetings, _LISTS)
@@ -213,9 +218,9 @@ def neighbour_graph(vectors: DataFrame, stage: Staging, most_iterations: int = M
     placed = leaves.join(crowded, "leaf", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("leaf", "id"), "parts")).otherwise(F.lit(0)))
     begun = placed.select("leaf", "part", "id", "code").groupBy("leaf", "part").applyInArrow(_leaf_best, _LISTS)
     graph = stage.cut(_merge(begun))
-    for _ in range(most_iterations):
+    for iteration in range(most_iterations):
         old = graph.select("id", "nbr", "sim", F.transform("fresh", lambda x: F.lit(False)).alias("fresh"))
-        after = stage.cut(_merge(old.unionByName(_joined(graph, codes))))
+        after = stage.cut(_merge(old.unionByName(_joined(graph, codes, iteration))))
         stage.drop(graph)
         graph = after
         came = graph.agg(F.sum(F.size(F.filter("fresh", lambda x: x))).alias("new"), F.sum(F.size("nbr")).alias("listed")).first()

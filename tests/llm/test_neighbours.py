@@ -52,3 +52,19 @@ def test_one_vector_repeated(spark):
     vectors = nn.usable_vectors(frame(spark, rows)).selectExpr("space_id", "memory_id AS key", "vector")
     got = nn.nearest(vectors).filter("key_a LIKE 'c%'").collect()
     assert len(got) == 7000 and all(r.similarity > 0.999999 for r in got)
+
+
+def test_members_of_a_split_point_meet_in_later_iterations(spark, monkeypatch):
+    """Nothing is fresh, and the hub's members are dealt to parts: every two meet within the iterations."""
+    monkeypatch.setattr(nn, "MEET_MOST", 8)
+    monkeypatch.setattr(nn, "MOST_ITERATIONS", 30)
+    x = np.random.default_rng(2).normal(size=(13, 6)).astype(np.float32)
+    codes = spark.createDataFrame([(i, bytes(nn._quantize(v[None, :])[0].tobytes())) for i, v in enumerate(x)], "id long, code binary")
+    graph = spark.createDataFrame([(i, [0], [-1.0], [False]) for i in range(1, 13)], nn._LISTS).unionByName(spark.createDataFrame([(0, [1], [-1.0], [False])], nn._LISTS)).localCheckpoint()
+    met = set()
+    for iteration in range(nn.MOST_ITERATIONS):
+        got = nn._joined(graph, codes, iteration).collect()
+        met |= {(r.id, n) for r in got for n in r.nbr if r.id and n}
+        if len(met) == 12 * 11:
+            break
+    assert len(met) == 12 * 11
