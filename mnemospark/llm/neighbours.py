@@ -261,18 +261,19 @@ def similar_pairs(rows: DataFrame, at_least: float = 0.90, k: int = K) -> DataFr
     return found.select("space_id", F.least("key_a", "key_b").alias("memory_id_a"), F.greatest("key_a", "key_b").alias("memory_id_b")).distinct()
 
 
-def graph_search(vectors: DataFrame, queries: DataFrame, k: int = K, beam: int = 48, rounds: int = 8) -> DataFrame:
+def graph_search(vectors: DataFrame, queries: DataFrame, k: int = K, beam: int = 48) -> DataFrame:
     """(query, key, similarity, place): greedy search of the neighbour graph of ``vectors(space_id, key, vector)``.
 
-    ``queries(query, space_id, vector)`` start at spread entry vectors of their space; each round opens
-    the unopened members of a query's beam and keeps the best ``beam`` of what they list.
+    ``queries(query, space_id, vector)`` start at spread entry vectors of their space and length; each
+    round opens the unopened members of a query's beam and keeps the best ``beam`` of what they list, until
+    none is unopened (the beam only improves, so this ends).  ``query`` names one query over all spaces.
     """
     stage = Staging(vectors.sparkSession, "graph-search")
     numbered, graph = neighbour_graph(vectors.select("space_id", "key", "vector"), stage)
-    known = numbered.select("id", "space_id", F.col("vector").alias("vb"))
-    ask = stage.cut(queries.select("query", "space_id", F.col("vector").alias("va")))
-    entry = numbered.withColumn("e", F.row_number().over(Window.partitionBy("space_id").orderBy(F.xxhash64("id")))).filter(F.col("e") <= beam).select("id", "space_id", F.col("vector").alias("vb"))
-    scored = ask.join(entry, "space_id").select("query", "id", _cosine("va", "vb").alias("similarity"), F.lit(False).alias("opened"))
+    known = numbered.select("id", F.col("vector").alias("vb"))
+    ask = stage.cut(queries.select("query", F.concat_ws("\x01", "space_id", F.size("vector").cast("string")).alias("space"), F.col("vector").alias("va")))
+    entry = numbered.withColumn("e", F.row_number().over(Window.partitionBy("space").orderBy(F.xxhash64("id")))).filter(F.col("e") <= beam).select("id", "space", F.col("vector").alias("vb"))
+    scored = ask.join(entry, "space").select("query", "id", _cosine("va", "vb").alias("similarity"), F.lit(False).alias("opened"))
     best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))
     state = stage.cut(scored.withColumn("place", best).filter(F.col("place") <= beam).drop("place"))
     both_ways = stage.cut(
@@ -280,15 +281,13 @@ def graph_search(vectors: DataFrame, queries: DataFrame, k: int = K, beam: int =
         .unionByName(graph.select(F.explode("nbr").alias("id"), F.col("id").alias("other")))
         .distinct()
     )
-    for _ in range(rounds):
+    while not state.filter("NOT opened").isEmpty():
         steps = state.filter("NOT opened").join(both_ways, "id").select("query", F.col("other").alias("id")).distinct().join(state.select("query", "id"), ["query", "id"], "left_anti")
-        fresh = steps.join(ask, "query").join(known.select("id", "vb"), "id").select("query", "id", _cosine("va", "vb").alias("similarity"), F.lit(False).alias("opened"))
+        fresh = steps.join(ask, "query").join(known, "id").select("query", "id", _cosine("va", "vb").alias("similarity"), F.lit(False).alias("opened"))
         pool = state.withColumn("opened", F.lit(True)).unionByName(fresh)
         after = stage.cut(pool.withColumn("place", best).filter(F.col("place") <= beam).drop("place"))
         stage.drop(state)
         state = after
-        if state.filter("NOT opened").isEmpty():
-            break
     named = state.join(numbered.select("id", "key"), "id")
     order = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "key"))
     return named.withColumn("place", order).filter(F.col("place") <= k).select("query", "key", "similarity", "place")

@@ -115,6 +115,13 @@ def p4_search(t):
     return neighbours.graph_search(vectors, asked).withColumn("similarity", F.round("similarity", 6))
 
 
+@registry.add("p4_search_memory")
+def p4_search_memory(t):
+    vectors = neighbours.usable_vectors(t.memory_embedding).select("space_id", F.col("memory_id").alias("key"), "vector")
+    asked = vectors.filter(F.pmod(F.xxhash64("key"), F.lit(50)) == 0).select(F.concat_ws("/", "space_id", "key").alias("query"), "space_id", "vector")
+    return neighbours.graph_search(vectors, asked).withColumn("similarity", F.round("similarity", 6))
+
+
 def _bodies(t):
     return t.documents.select(F.col("doc_id").alias("key"), F.col("text").alias("body"))
 

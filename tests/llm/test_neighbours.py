@@ -68,3 +68,15 @@ def test_members_of_a_split_point_meet_in_later_iterations(spark, monkeypatch):
         if len(met) == 12 * 11:
             break
     assert len(met) == 12 * 11
+
+
+def test_search_goes_on_until_the_beam_settles(spark, monkeypatch):
+    """A chain of vectors, each listing four at either side: more than eight rounds from the entries to the answer."""
+    n = 900
+    turn = np.linspace(0, 3, n)
+    numbered = spark.createDataFrame([(i, f"k{i:04}", "s", "s\x012", [float(np.cos(a)), float(np.sin(a))]) for i, a in enumerate(turn)], "id long, key string, space_id string, space string, vector array<double>").localCheckpoint()
+    graph = spark.createDataFrame([(i, [j for j in range(max(0, i - 4), min(n, i + 5)) if j != i]) for i in range(n)], "id long, nbr array<long>").localCheckpoint()
+    monkeypatch.setattr(nn, "neighbour_graph", lambda vectors, stage: (numbered, graph))
+    asked = numbered.filter("id % 45 = 0").selectExpr("key AS query", "space_id", "vector")
+    first = {r.query: r.key for r in nn.graph_search(numbered, asked, k=1, beam=6).collect()}
+    assert len(first) == 20 and all(q == key for q, key in first.items())
