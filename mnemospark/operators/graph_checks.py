@@ -125,10 +125,19 @@ def dataset_checks(records: DataFrame) -> DataFrame:
 CHECKS = [duplicate_ids, missing_targets, crossing_scopes, ambiguous_types, missing_reverse, cycles, revisions_not_rising, predecessor_states, many_heads, deleted_recallable, without_evidence, bad_layers]
 
 
-def all_violations(records: DataFrame) -> DataFrame:
-    """(rank, code, memory_id, other_id) of every check over one state."""
+def all_violations(records: DataFrame, deliveries: DataFrame | None = None, embeddings: DataFrame | None = None, jobs: DataFrame | None = None, dataset: bool = False) -> DataFrame:
+    """(rank, code, memory_id, other_id) of every check over one state.
+
+    ``deliveries`` are the distinct contents delivered, before one row an id was chosen; vectors are checked
+    where ``embeddings`` and ``jobs`` are given, at the rank of the layers; ``dataset`` adds the checks of evaluation data.
+    """
+    parts = [(rank, check(deliveries if deliveries is not None and check is duplicate_ids else records)) for rank, check in enumerate(CHECKS, 1)]
+    if embeddings is not None and jobs is not None:
+        parts.append((len(CHECKS), bad_embeddings(embeddings, jobs)))
+    if dataset:
+        parts.append((len(CHECKS) + 1, dataset_checks(records)))
     out = None
-    for rank, check in enumerate(CHECKS, 1):
-        part = check(records).withColumn("rank", F.lit(rank))
+    for rank, found in parts:
+        part = found.withColumn("rank", F.lit(rank))
         out = part if out is None else out.unionByName(part)
     return out

@@ -61,8 +61,15 @@ SELECT 'c6' AS code, start AS memory_id, min(node) AS other_id FROM reach WHERE
 UNION ALL SELECT 'c13_evidence', src, dst FROM edge JOIN rec b ON b.memory_id = dst WHERE relation = 'source_memory_ids' AND b.layer <> 'l1_raw'""",
     ),
 }
+
+
+def _deliveries(t):
+    """The distinct contents of records: an id delivered with two contents is here twice."""
+    return t.memory_record.drop("ingested_at").distinct()
+
+
 for _name, (_check, _statement) in _CHECKS.items():
-    add(_name, _statement)(lambda t, check=_check: check(rec(t)))
+    add(_name, _statement)(lambda t, check=_check: check(_deliveries(t) if check is graph_checks.duplicate_ids else rec(t)))
 
 _EMB = "emb AS (SELECT * FROM memory_embedding QUALIFY row_number() OVER (PARTITION BY memory_id, space_id ORDER BY ingested_at) = 1)"
 
@@ -76,7 +83,7 @@ def _(t):
 
 @add("c0_all_violations")
 def _(t):
-    return graph_checks.all_violations(rec(t))
+    return graph_checks.all_violations(rec(t), _deliveries(t), emb(t), job(t), dataset=True)
 
 
 # ---------------------------------------------------------------- transitions
