@@ -1,22 +1,29 @@
 """Near-duplicate records with small edits (problem 1).
 
 Similarity is the Jaccard index of the distinct words of two contents; ``threshold`` 0.6 by the data
-statement.  Method: an exact prefix join.  The words of a content are put in one order for all contents, from the rarest on
-(document frequencies in a table of ``FREQUENCY_BUCKETS`` hashed counters, which bounds its size; the
-order is the same everywhere, so a shared counter costs time and no pair).  Contents of n and m words
-at Jaccard t share at least k = t/(1+t)*(n+m) words, and their first l shared words lie, for every
-l <= k, among the first n-k+l words of the one and the first m-k+l of the other.  A content therefore
-emits a block for each path of words in those prefixes.  A path ends where the information of its words
-leaves about ``COINCIDENCES`` accidental partners in the whole collection, or at the depth that the size
-of the larger content allows; the ends depend only on the path and on that size, so both contents of a
-pair emit the same block, whatever the words say and however short the contents are.
+statement.  Method: pigeonhole blocks that every pair in reach must share.  The words of a content, its
+fingerprint, are put in one order for all contents, from the rarest on (document frequencies in a table
+of ``FREQUENCY_BUCKETS`` hashed counters, which bounds its size; the order is the same everywhere, so a
+shared counter costs time and no pair).  Contents of n and m words at Jaccard t share at least
+k = t/(1+t)*(n+m) words, and their first l shared words lie, for every l <= k, among the first n-k+l words
+of the one and the first m-k+l of the other.  Words fall into g slots by a hash.  With l = g*(d-1)+1 shared
+words, some slot holds d of them: both contents therefore emit a block for the first d shared words of that
+slot, when each emits all paths of d words of a slot among its first words.  A path ends early where its
+words leave about ``COINCIDENCES`` accidental partners in the whole collection; a word that rare is a block
+by itself, asked for in the first n-k+1 words alone, and no part of longer paths (were a rare word shared,
+the first shared word would be rare too).  Slots keep the paths few: at 36 words and t = 0.6 about 28 blocks
+a content where all paths of two words would be more than 100.  The depth d follows the number of contents,
+the slots follow the size of the larger content; both contents of a pair know both numbers.
 
 Members of a block are compared by size and by the distance of 112-bit parity sketches, which is at
-most the Hamming distance of the sets, so nothing is lost here either; then on the full word sets.
-Blocks of more than ``HOT_BLOCK`` members are compared in a grid of parts, each pair of parts by a task.
+most the Hamming distance of the sets, so nothing is lost here either; then the Hamming distance of the
+full sets of 64-bit word codes is verified.  Blocks of more than ``hot_block`` members are compared in a
+grid of parts, each pair of parts by a task.  The hash range of the blocks is gone through in ``rounds``
+parts, one after another, which divides the disk that their shuffle takes.
 
-Equal word sets are one class before anything is joined: a content copied into a third of all rows is
-one fingerprint.  Class membership is a table; pairs of row ids are expanded only where asked for.
+Equal word sets (by a 128-bit digest) are one class before anything is joined: a content copied into a
+third of all rows is one fingerprint.  Class membership is a table; pairs of row ids are expanded only
+where asked for.
 
 Defined results: rows with a null id or null content, and contents without any word, take part in no
 pair; rows of one id are one row (with several contents, each counts); identical contents under
@@ -25,6 +32,7 @@ different ids are pairs; texts are processed whole.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Iterator
@@ -39,12 +47,13 @@ from mnemospark.operators.components import connected_components
 from mnemospark.plans.staging import Staging
 
 THRESHOLD = 0.6
-FREQUENCY_BUCKETS = 1 << 17
-COINCIDENCES = 1024.0
+FREQUENCY_BUCKETS = 1 << 20
+COINCIDENCES = 256.0
 HOT_BLOCK = 4096
+ROUNDS = 2
 
-#: Paths a content may emit for partners of one size, a bound that sets the depth of the paths.
-MOST_PATHS = 256
+#: Share of the contents that a common word is in, as far as the depth of the paths supposes.
+COMMON = 0.025
 
 #: Sizes from here on are kept as this one in a block row, and such contents are compared on their full sets only.
 LONG = 0x7FFF
@@ -91,52 +100,45 @@ def _segments(sizes: np.ndarray) -> np.ndarray:
 
 
 def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row_id, content) to (row_id, set_id, codes): sorted word codes and the hash that names the set."""
+    """(row_id, content) to (row_id, hash_a, hash_b, codes): sorted word codes and two hashes that name the set."""
     known: dict[str, int] = {}
     for batch in batches:
         flat, sizes = _codes(batch.column("content").to_pylist(), known)
         owner = _segments(sizes)
-        set_id = np.zeros(len(sizes), dtype=np.uint64)
-        np.add.at(set_id, owner, _mix(flat + np.uint64(0x9E3779B97F4A7C15)))
-        set_id = _mix(set_id ^ (sizes.astype(np.uint64) << np.uint64(40)))
+        flat = flat[np.lexsort((flat, owner))]
+        names = []
+        for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+            total = np.zeros(len(sizes), dtype=np.uint64)
+            np.add.at(total, owner, _mix(flat + np.uint64(seed)))
+            names.append(pa.array(_mix(total ^ (sizes.astype(np.uint64) << np.uint64(40))).view(np.int64)))
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        short = (flat >> np.uint64(32)).astype(np.uint32).view(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(short))
-        out = pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(set_id.view(np.int64)), lists], names=["row_id", "set_id", "codes"])
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
+        out = pa.RecordBatch.from_arrays([batch.column("row_id"), *names, lists], names=["row_id", "hash_a", "hash_b", "codes"])
         yield out.filter(pa.array(sizes > 0))
 
 
 def word_sets(rows: DataFrame) -> DataFrame:
-    """(row_id, set_id, codes) of ``rows(row_id, content)``; rows without words are left out."""
+    """(row_id, hash_a, hash_b, codes) of ``rows(row_id, content)``; rows without words are left out."""
     rows = rows.filter("row_id IS NOT NULL AND content IS NOT NULL")
-    return rows.select("row_id", "content").mapInArrow(_word_sets, "row_id string, set_id long, codes array<int>")
+    return rows.select("row_id", "content").mapInArrow(_word_sets, "row_id string, hash_a long, hash_b long, codes array<long>")
 
 
-def _once_a_task(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(set ids, flat codes, sizes) of each batch, with sets that the task has had before left out."""
-    had: set[int] = set()
+def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(set ids, flat codes, sizes) of each batch."""
     for batch in batches:
-        ids = batch.column("set_id").to_numpy(zero_copy_only=False)
-        fresh = []
-        for i, x in enumerate(ids.tolist()):
-            if x not in had:
-                had.add(x)
-                fresh.append(i)
-        if not fresh:
-            continue
-        kept = batch.take(pa.array(fresh))
-        lists = kept.column("codes")
-        yield ids[fresh], lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(batch):
+            lists = batch.column("codes")
+            yield batch.column("set_id").to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _buckets(flat: np.ndarray) -> np.ndarray:
-    return np.mod(flat.astype(np.int64), FREQUENCY_BUCKETS)
+    return (flat % np.uint64(FREQUENCY_BUCKETS)).astype(np.int64)
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per used counter, and the number of sets at counter -1."""
     n, counts = 0, np.zeros(FREQUENCY_BUCKETS, dtype=np.int64)
-    for ids, flat, _ in _once_a_task(batches):
+    for ids, flat, _ in _sets_of(batches):
         n += len(ids)
         counts += np.bincount(_buckets(flat), minlength=FREQUENCY_BUCKETS)
     used = np.flatnonzero(counts)
@@ -160,87 +162,119 @@ def _shared_least(n: int, m: int, threshold: float) -> int:
     return max(1, math.ceil(threshold / (1 + threshold) * (n + m) - 1e-9))
 
 
-def _depth(m: int, threshold: float) -> int:
-    """Words a path has at most in pairs whose larger set has m words; every such pair shares that many."""
-    least = max(1, math.ceil(threshold * m - 1e-9))
-    depth = 1
-    while depth < least and math.comb(m - least + depth + 1, depth + 1) <= MOST_PATHS:
-        depth += 1
-    return depth
-
-
-def _depths(n: int, threshold: float) -> list[tuple[int, int]]:
-    """(depth, least number of shared words) for all sizes a partner of n words can make the larger one."""
-    out: dict[int, int] = {_depth(n, threshold): max(1, math.ceil(threshold * n - 1e-9))}
-    if n >= LONG:
-        return list(out.items()) if 1 in out else [*out.items(), (1, min(out.values()))]
-    for m in range(n + 1, math.floor(n / threshold + 1e-9) + 1):
-        depth = _depth(m, threshold)
-        if depth not in out:
-            out[depth] = _shared_least(n, m, threshold)
-        if depth == 1:
-            break
-    return list(out.items())
-
-
-def _paths(first: np.ndarray, sizes: np.ndarray, depth: np.ndarray, least: np.ndarray, code: np.ndarray, weight: np.ndarray, need: float) -> tuple[np.ndarray, np.ndarray]:
-    """(set, block) of every path: words at ``first + i`` of each set, in the common order."""
-    doc = np.arange(len(sizes))
-    at = np.full(len(sizes), -1, dtype=np.int64)
-    block = np.full(len(sizes), 0xABCDEF, dtype=np.uint64)
-    info = np.zeros(len(sizes))
-    docs, blocks = [], []
+def path_depth(total: float) -> int:
+    """Words of a path: as many common ones as leave few accidental partners among ``total`` sets."""
+    return max(2, math.ceil(math.log(max(total, 1.0) / 2048) / -math.log(COMMON)))
+
+
+def _plans(depth: int, threshold: float, largest: int) -> list[tuple[int, int, int]]:
+    """(least size, slots, depth): how pairs are found whose larger set has that size or more, by ascending size."""
+    out: dict[int, tuple[int, int]] = {}
+    for d in range(1, depth + 1):  # sets too small for slots: all paths of d words
+        out[math.floor((d - 1) / threshold + 1e-9) + 1] = (1, d)
+    slots, spare = 2, 1.35 if depth < 3 else 1.05
+    while True:
+        size = math.ceil(spare * (slots * (depth - 1) + 1) / threshold)
+        if size > largest:
+            return [(n, *out[n]) for n in sorted(out)]
+        out[size] = (slots, depth)
+        slots *= 4
+
+
+def _roles(n: int, plans: list[tuple[int, int, int]], threshold: float) -> list[tuple[int, int, int]]:
+    """(slots, depth, least number of shared words) for a set of n words: as the larger of a pair, then for larger partners of another plan."""
+    own = max(i for i, p in enumerate(plans) if p[0] <= n)
+    out = [(plans[own][1], plans[own][2], max(1, math.ceil(threshold * n - 1e-9)))]
+    for least, slots, depth in plans[own + 1 :]:
+        if threshold * least <= n + 1e-9:
+            out.append((slots, depth, _shared_least(least, n, threshold)))
+    return out
+
+
+def _paths(first: np.ndarray, length: np.ndarray, depth: np.ndarray, code: np.ndarray, weight: np.ndarray, need: float) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, block) of every path of the words at ``first`` to ``first + length`` of each segment."""
+    seg = np.arange(len(first))
+    at = np.full(len(first), -1, dtype=np.int64)
+    block = np.full(len(first), 0xABCDEF, dtype=np.uint64)
+    info = np.zeros(len(first))
+    segs, blocks = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.uint64)]
     level = 0
-    while len(doc):
+    while len(seg):
         level += 1
-        end = np.minimum(sizes, sizes - least + level)[doc]
-        more = np.maximum(end - at - 1, 0)
-        parent = np.repeat(np.arange(len(doc)), more)
+        more = np.maximum(length[seg] - at - 1, 0)
+        parent = np.repeat(np.arange(len(seg)), more)
         at = at[parent] + 1 + np.arange(len(parent)) - np.repeat(np.cumsum(more) - more, more)
-        doc, word = doc[parent], first[doc[parent]] + at
+        seg = seg[parent]
+        word = first[seg] + at
         block = _mix(block[parent] * np.uint64(3) + code[word])
         info = info[parent] + weight[word]
-        done = (info >= need) | (depth[doc] <= level)
-        docs.append(doc[done])
+        done = (info >= need) | (depth[seg] <= level)
+        segs.append(seg[done])
         blocks.append(block[done])
-        doc, at, block, info = doc[~done], at[~done], block[~done], info[~done]
-    return np.concatenate(docs), np.concatenate(blocks)
-
-
-def _block_rows(idf: np.ndarray, need: float, threshold: float):
-    """Function from (set_id, codes) batches to block rows (block, set_id, sketch_a, sketch_b).
+        seg, at, block, info = seg[~done], at[~done], block[~done], info[~done]
+    return np.concatenate(segs), np.concatenate(blocks)
+
+
+def _blocks_of(n: np.ndarray, start: np.ndarray, slots: np.ndarray, depth: np.ndarray, least: np.ndarray, code: np.ndarray, weight: np.ndarray, need: float) -> tuple[np.ndarray, np.ndarray]:
+    """(which, block) of sets of n ordered words at ``start``, each in the role of its slots, depth and least number of shared words."""
+    end = np.minimum(n, n - least + slots * (depth - 1) + 1)
+    which = np.repeat(np.arange(len(n)), end)
+    place = np.arange(len(which)) - np.repeat(np.cumsum(end) - end, end)
+    word = start[which] + place
+    rare = weight[word] >= need
+    alone = rare & (place < (n - least + 1)[which])
+    one = _mix(np.uint64(0xABCDEF * 3) + code[word[alone]])
+    common = ~rare
+    which_c, word_c = which[common], word[common]
+    slot = _mix(code[word_c] + np.uint64(0x5107)) % slots[which_c].astype(np.uint64)
+    order = np.lexsort((np.arange(len(slot)), slot, which_c))
+    which_c, word_c, slot = which_c[order], word_c[order], slot[order]
+    if not len(which_c):
+        return which[alone], one
+    head = np.flatnonzero(np.r_[True, (which_c[1:] != which_c[:-1]) | (slot[1:] != slot[:-1])])
+    length = np.diff(np.r_[head, len(which_c)])
+    seg, block = _paths(head, length, depth[which_c[head]], code[word_c], weight[word_c], need)
+    return np.r_[which[alone], which_c[head][seg]], np.r_[one, block]
+
+
+def _block_rows(idf: np.ndarray, need: float, depth: int, threshold: float, part: int, parts: int):
+    """Function from (set_id, codes) batches to block rows (block, set_id, sketch_a, sketch_b) of one part of all blocks.
 
     The last bit of a sketch marks a guest: a block that the set has only for partners larger than itself,
     so that two guests need not be compared.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, list[tuple[int, int]]] = {}
-        for ids, flat, sizes in _once_a_task(batches):
+        known: dict[int, list[tuple[int, int, int]]] = {}
+        plans = _plans(depth, threshold, 1 << 40)
+        for ids, flat, sizes in _sets_of(batches):
             owner = _segments(sizes)
             weight = idf[_buckets(flat)].astype(np.float64)
-            code = _mix(flat.view(np.uint32).astype(np.uint64) + np.uint64(0x1234567))
+            code = _mix(flat + np.uint64(0x1234567))
             sketch = _sketch(code, sizes)
             order = np.lexsort((code, -weight, owner))
             code, weight = code[order], weight[order]
             first = np.cumsum(sizes) - sizes
-            which, depth, least, guest = [], [], [], []
+            which, roles, guest = [], [], []
             for i, n in enumerate(sizes.tolist()):
                 if n not in known:
-                    known[n] = _depths(n, threshold)
-                for j, (d, k) in enumerate(known[n]):
-                    which.append(i)
-                    depth.append(d)
-                    least.append(k)
-                    guest.append(j > 0)
-            which, depth, least, guest = np.array(which), np.array(depth), np.array(least), np.array(guest, dtype=np.uint64)
+                    known[n] = _roles(n, plans, threshold)
+                which += [i] * len(known[n])
+                roles += known[n]
+                guest += [j > 0 for j in range(len(known[n]))]
+            which, guest = np.array(which), np.array(guest, dtype=np.uint64)
+            slots, deep, least = (np.array(x, dtype=np.int64) for x in zip(*roles))
             for lo in range(0, len(which), 2000):
-                part = slice(lo, lo + 2000)
-                own, block = _paths(first[which[part]], sizes[which[part]], depth[part], least[part], code, weight, need)
-                doc, as_guest = which[part][own], guest[part][own]
+                own = slice(lo, lo + 2000)
+                doc = which[own]
+                role, block = _blocks_of(sizes[doc], first[doc], slots[own], deep[own], least[own], code, weight, need)
+                doc, as_guest = doc[role], guest[own][role]
+                if parts > 1:
+                    mine = (block >> np.uint64(40)) % np.uint64(parts) == part
+                    doc, block, as_guest = doc[mine], block[mine], as_guest[mine]
                 order = np.lexsort((as_guest, block, doc))
                 doc, block, as_guest = doc[order], block[order], as_guest[order]
-                keep = np.r_[True, (doc[1:] != doc[:-1]) | (block[1:] != block[:-1])]
+                keep = np.r_[True, (doc[1:] != doc[:-1]) | (block[1:] != block[:-1])][: len(doc)]
                 doc, block, as_guest = doc[keep], block[keep], as_guest[keep]
                 last = (sketch[1, doc] | as_guest << np.uint64(63)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (block.view(np.int64), ids[doc], sketch[0, doc].view(np.int64), last)], names=["block", "set_id", "sketch_a", "sketch_b"])
@@ -358,11 +392,8 @@ def _pairs_of(found: DataFrame) -> DataFrame:
     return found.filter("b IS NOT NULL").select("a", "b")
 
 
-def similar_sets(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, similarity), a < b: all pairs of different word sets at or above the threshold.
-
-    ``sets(set_id, codes)`` may repeat a set.
-    """
+def similar_sets(sets: DataFrame, threshold: float = THRESHOLD, hot_block: int = HOT_BLOCK, rounds: int = ROUNDS) -> DataFrame:
+    """(a, b, similarity), a < b: all pairs of different word sets ``sets(set_id, codes)`` at or above the threshold; each set once."""
     spark = sets.sparkSession
     stage = Staging(spark, "near-duplicates")
     counted = sets.mapInArrow(_frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
@@ -372,16 +403,18 @@ def similar_sets(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     counts = np.ones(FREQUENCY_BUCKETS)
     counts[table["bucket"].to_numpy(dtype=np.int64)] = table["n"].to_numpy(dtype=np.float64)
     idf = np.maximum(np.log(max(total, 2.0) / counts), 0.05).astype(np.float32)
-    need = math.log(max(total / COINCIDENCES, 3.0))
-    found = stage.cut(_candidates(sets.mapInArrow(_block_rows(idf, need, threshold), _BLOCK), threshold, HOT_BLOCK))
-    near = _pairs_of(found)
-    hot = found.filter("hot_block IS NOT NULL").select(F.col("hot_block").alias("block"), F.col("a").alias("set_id"), "sketch_a", "sketch_b")
-    if not hot.isEmpty():
-        near = near.unionByName(_hot_pairs(hot.dropDuplicates(["block", "set_id"]), threshold))
-    pairs = stage.cut(near.distinct())
-    one = sets.repartition(F.col("set_id")).dropDuplicates(["set_id"])
-    left = one.select(F.col("set_id").alias("a"), F.col("codes").alias("codes_a"))
-    right = one.select(F.col("set_id").alias("b"), F.col("codes").alias("codes_b"))
+    need, depth = math.log(max(total / COINCIDENCES, 3.0)), path_depth(total)
+    near = []
+    for part in range(rounds):
+        blocks = sets.mapInArrow(_block_rows(idf, need, depth, threshold, part, rounds), _BLOCK)
+        found = stage.cut(_candidates(blocks, threshold, hot_block))
+        near.append(_pairs_of(found))
+        hot = found.filter("hot_block IS NOT NULL").select(F.col("hot_block").alias("block"), F.col("a").alias("set_id"), "sketch_a", "sketch_b")
+        if not hot.isEmpty():
+            near.append(_hot_pairs(hot.dropDuplicates(["block", "set_id"]), threshold, hot_block))
+    pairs = stage.cut(functools.reduce(DataFrame.unionByName, near).distinct())
+    left = sets.select(F.col("set_id").alias("a"), F.col("codes").alias("codes_a"))
+    right = sets.select(F.col("set_id").alias("b"), F.col("codes").alias("codes_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("codes_a", "codes_b")).alias("common"), (F.size("codes_a") + F.size("codes_b")).alias("together"))
     # Hamming distance of the full fingerprints against its bound at the threshold
     distance = F.col("together") - 2 * F.col("common")
@@ -390,9 +423,9 @@ def similar_sets(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return stage.cut(checked)
 
 
-def _hot_pairs(hot: DataFrame, threshold: float) -> DataFrame:
+def _hot_pairs(hot: DataFrame, threshold: float, hot_block: int) -> DataFrame:
     """Candidates within hot blocks ``hot(block, set_id, sketch_a, sketch_b)``: members are dealt to parts, and every two parts of a block meet in a cell."""
-    parts = hot.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / HOT_BLOCK).cast("int").alias("parts"))
+    parts = hot.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / hot_block).cast("int").alias("parts"))
     dealt = hot.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("block", "set_id"), "parts").cast("int"))
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     block = F.xxhash64("block", F.least("part", "other"), F.greatest("part", "other"))
@@ -400,15 +433,19 @@ def _hot_pairs(hot: DataFrame, threshold: float) -> DataFrame:
     return _pairs_of(_candidates(cells.select(block.alias("block"), "set_id", "sketch_a", "sketch_b", side.cast("int").alias("side")), threshold, None))
 
 
-def _prepared(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(row_id, set_id) of all rows, and the pairs of sets."""
-    sets = Staging(rows.sparkSession, "word-sets").cut(word_sets(rows))
-    return sets.select("row_id", "set_id").distinct(), similar_sets(sets.select("set_id", "codes"), threshold)
+def _prepared(rows: DataFrame, threshold: float, hot_block: int) -> tuple[DataFrame, DataFrame]:
+    """(row_id, set_id) of all rows, and the pairs of sets; set ids number the distinct sets."""
+    stage = Staging(rows.sparkSession, "word-sets")
+    named = stage.cut(word_sets(rows))
+    sets = stage.cut(named.select("hash_a", "hash_b", "codes").dropDuplicates(["hash_a", "hash_b"]).withColumn("set_id", F.monotonically_increasing_id()))
+    member = stage.cut(named.select("row_id", "hash_a", "hash_b").join(sets.select("hash_a", "hash_b", "set_id"), ["hash_a", "hash_b"]).select("row_id", "set_id").distinct())
+    stage.drop(named)
+    return member, similar_sets(sets.select("set_id", "codes"), threshold, hot_block)
 
 
-def near_duplicate_pairs(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicate_pairs(rows: DataFrame, threshold: float = THRESHOLD, hot_block: int = HOT_BLOCK) -> DataFrame:
     """(row_id_a, row_id_b), a < b: all pairs of different ids of ``rows(row_id, content)`` at the threshold."""
-    member, pairs = _prepared(rows, threshold)
+    member, pairs = _prepared(rows, threshold, hot_block)
     left = member.select(F.col("row_id").alias("x"), F.col("set_id").alias("a"))
     right = member.select(F.col("row_id").alias("y"), F.col("set_id").alias("b"))
     across = pairs.select("a", "b").join(left, "a").join(right, "b").select("x", "y")
@@ -417,13 +454,13 @@ def near_duplicate_pairs(rows: DataFrame, threshold: float = THRESHOLD) -> DataF
     return out.distinct()
 
 
-def near_duplicate_classes(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicate_classes(rows: DataFrame, threshold: float = THRESHOLD, hot_block: int = HOT_BLOCK) -> DataFrame:
     """(row_id, class_id, n_links): one row per row with words; class_id is the smallest id linked to it.
 
     n_links counts the row's links to different word sets and to copies of its own, without
     expanding copies into pairs.
     """
-    member, pairs = _prepared(rows, threshold)
+    member, pairs = _prepared(rows, threshold, hot_block)
     stage = Staging(rows.sparkSession, "near-classes")
     pairs = stage.cut(pairs.select("a", "b"))
     size = member.groupBy("set_id").agg(F.count(F.lit(1)).alias("copies"), F.min("row_id").alias("first_row"))

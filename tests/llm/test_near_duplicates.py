@@ -45,9 +45,7 @@ def test_words():
 def test_against_brute_force(spark):
     rows = corpus()
     got = {(r.row_id_a, r.row_id_b) for r in nd.near_duplicate_pairs(frame(spark, rows)).collect()}
-    want = {p for p in brute(rows)}
-    sure = brute(rows, 0.65)
-    assert got <= want and len(sure - got) == 0 and len(want - got) <= len(want) * 0.02
+    assert got == brute(rows)
 
 
 def test_edges(spark):
@@ -67,18 +65,44 @@ def test_copies_stay_compact(spark):
     assert classes["c0599"] == ("c0000", 599) and classes["x0001"] == ("x0001", 0)
 
 
-def test_hot_blocks_are_split(spark, monkeypatch):
+def test_hot_blocks_are_split(spark):
     """Many different texts around one template: blocks above the bound still give every pair."""
-    monkeypatch.setattr(nd, "HOT_BLOCK", 8)
     rng = random.Random(5)
     template = " ".join(f"rare{i}" for i in range(14))
     rows = [(f"h{i:02}", template + " " + " ".join(f"u{rng.randrange(10_000)}" for _ in range(3))) for i in range(40)]
     rows += [(f"o{i:03}", " ".join(f"z{rng.randrange(3_000)}" for _ in range(17))) for i in range(400)]
-    got = {(r.row_id_a, r.row_id_b) for r in nd.near_duplicate_pairs(frame(spark, rows)).collect()}
+    got = {(r.row_id_a, r.row_id_b) for r in nd.near_duplicate_pairs(frame(spark, rows), hot_block=8).collect()}
     want = brute(rows)
     assert len(want) >= 700 and got == want
 
 
+@pytest.mark.parametrize("hot", [nd.HOT_BLOCK, 16])
+@pytest.mark.parametrize("shared,own", [(7, 2), (9, 2), (14, 3), (30, 8)])
+def test_records_around_a_template(spark, shared, own, hot):
+    """200 records that share a template, just above the threshold, among 3,000 others: every pair, hot or not."""
+    rng = random.Random(shared)
+    template = " ".join(f"t{i}" for i in range(shared))
+    rows = [(f"h{i:03}", template + " " + " ".join(f"u{i}x{j}" for j in range(own))) for i in range(200)]
+    rows += [(f"o{i:04}", " ".join(f"z{rng.randrange(2_000)}" for _ in range(shared + own))) for i in range(3_000)]
+    got = {(r.row_id_a, r.row_id_b) for r in nd.near_duplicate_pairs(frame(spark, rows), hot_block=hot).collect()}
+    inside = {p for p in got if p[0][0] == "h" and p[1][0] == "h"}
+    assert len(inside) == 199 * 100 and all(p[0][0] == p[1][0] for p in got)
+
+
+@pytest.mark.parametrize("depth", [2, 3, 4])
+def test_every_depth_is_exact(spark, monkeypatch, depth):
+    """The depths of larger collections, forced on a small one of frequent words."""
+    monkeypatch.setattr(nd, "path_depth", lambda total: depth)
+    monkeypatch.setattr(nd, "COINCIDENCES", 2.0)
+    rng = random.Random(depth)
+    rows = [(f"q{i:04}", " ".join(f"w{x}" for x in rng.sample(range(90), rng.randrange(2, 60)))) for i in range(300)]
+    for i in range(0, 300, 2):
+        found = rows[i][1].split()
+        rows.append((f"e{i:04}", " ".join([*found[: len(found) - rng.randrange(0, max(1, len(found) // 4) + 1)], f"w{rng.randrange(90)}"])))
+    got = {(r.row_id_a, r.row_id_b) for r in nd.near_duplicate_pairs(frame(spark, rows)).collect()}
+    assert got == brute(rows)
+
+
 @pytest.mark.parametrize("threshold", [0.8])
 def test_other_threshold(spark, threshold):
     rows = corpus(9, 30)
@@ -98,12 +122,10 @@ def test_frequent_words_lose_no_pair(spark):
 
 
 @pytest.mark.parametrize("hot", [4096, 5])
-def test_short_sets(spark, monkeypatch, hot):
+def test_short_sets(spark, hot):
     """Sizes 1 to 8 against brute force, also where most blocks are hot."""
-    monkeypatch.setattr(nd, "HOT_BLOCK", hot)
-    monkeypatch.setattr(nd, "SMALL_BLOCK", 3)
     rng = random.Random(21)
     rows = [("two", "red fox"), ("three", "a red fox")]
     rows += [(f"s{i:04}", " ".join(f"w{x}" for x in rng.sample(range(24), 1 + i % 8))) for i in range(640)]
-    got = {(r.row_id_a, r.row_id_b) for r in nd.near_duplicate_pairs(frame(spark, rows)).collect()}
+    got = {(r.row_id_a, r.row_id_b) for r in nd.near_duplicate_pairs(frame(spark, rows), hot_block=hot).collect()}
     assert ("three", "two") in got and got == brute(rows)
