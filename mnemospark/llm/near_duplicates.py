@@ -18,8 +18,8 @@ the slots follow the size of the larger content; both contents of a pair know bo
 Members of a block are compared by size and by the distance of 112-bit parity sketches, which is at
 most the Hamming distance of the sets, so nothing is lost here either; then the Hamming distance of the
 full sets of 64-bit word codes is verified.  Blocks of more than ``hot_block`` members are compared in a
-grid of parts, each pair of parts by a task.  The hash range of the blocks is gone through in ``rounds``
-parts, one after another, which divides the disk that their shuffle takes.
+grid of parts, each pair of parts by a task.  Blocks are made in ``rounds`` parts by their first word, one
+part after another, which divides the disk that their shuffle takes.
 
 Equal word sets (by a 128-bit digest) are one class before anything is joined: a content copied into a
 third of all rows is one fingerprint.  Class membership is a table; pairs of row ids are expanded only
@@ -87,11 +87,13 @@ def _codes(texts: list[str | None], known: dict[str, int]) -> tuple[np.ndarray,
         if text:
             found = words(text)
             sizes[i] = len(found)
-            for w in found:
-                code = known.get(w)
-                if code is None:
-                    code = known[w] = xxhash.xxh64_intdigest(w)
-                flat.append(code)
+            try:
+                flat += [known[w] for w in found]
+            except KeyError:
+                for w in found:
+                    if w not in known:
+                        known[w] = xxhash.xxh64_intdigest(w)
+                flat += [known[w] for w in found]
     return np.array(flat, dtype=np.uint64), sizes
 
 
@@ -106,12 +108,12 @@ def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, sizes = _codes(batch.column("content").to_pylist(), known)
         owner = _segments(sizes)
         flat = flat[np.lexsort((flat, owner))]
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         names = []
         for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-            total = np.zeros(len(sizes), dtype=np.uint64)
-            np.add.at(total, owner, _mix(flat + np.uint64(seed)))
+            sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_mix(flat + np.uint64(seed)), dtype=np.uint64)])
+            total = sums[offsets[1:]] - sums[offsets[:-1]]
             names.append(pa.array(_mix(total ^ (sizes.astype(np.uint64) << np.uint64(40))).view(np.int64)))
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
         out = pa.RecordBatch.from_arrays([batch.column("row_id"), *names, lists], names=["row_id", "hash_a", "hash_b", "codes"])
         yield out.filter(pa.array(sizes > 0))
@@ -123,12 +125,17 @@ def word_sets(rows: DataFrame) -> DataFrame:
     return rows.select("row_id", "content").mapInArrow(_word_sets, "row_id string, hash_a long, hash_b long, codes array<long>")
 
 
+#: Sets that are worked on at once, and sets whose blocks are: both numbers are bits of sort keys.
+SETS_AT_ONCE, BLOCKS_AT_ONCE = 1 << 13, 1 << 10
+
+
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(set ids, flat codes, sizes) of each batch."""
+    """(set ids, flat codes, sizes) of at most ``SETS_AT_ONCE`` sets."""
     for batch in batches:
-        if len(batch):
-            lists = batch.column("codes")
-            yield batch.column("set_id").to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        for lo in range(0, len(batch), SETS_AT_ONCE):
+            part = batch.slice(lo, SETS_AT_ONCE)
+            lists = part.column("codes")
+            yield part.column("set_id").to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _buckets(flat: np.ndarray) -> np.ndarray:
@@ -172,13 +179,13 @@ def _plans(depth: int, threshold: float, largest: int) -> list[tuple[int, int, i
     out: dict[int, tuple[int, int]] = {}
     for d in range(1, depth + 1):  # sets too small for slots: all paths of d words
         out[math.floor((d - 1) / threshold + 1e-9) + 1] = (1, d)
-    slots, spare = 2, 1.35 if depth < 3 else 1.05
-    while True:
-        size = math.ceil(spare * (slots * (depth - 1) + 1) / threshold)
+    slots = 2
+    while True:  # powers of two: two words of a slot are in one slot of any fewer, so most blocks serve partners of both plans
+        size = math.ceil(max(5.0 * slots, 1.05 * (slots * (depth - 1) + 1) / threshold))
         if size > largest:
             return [(n, *out[n]) for n in sorted(out)]
         out[size] = (slots, depth)
-        slots *= 4
+        slots *= 2
 
 
 def _roles(n: int, plans: list[tuple[int, int, int]], threshold: float) -> list[tuple[int, int, int]]:
@@ -191,8 +198,8 @@ def _roles(n: int, plans: list[tuple[int, int, int]], threshold: float) -> list[
     return out
 
 
-def _paths(first: np.ndarray, length: np.ndarray, depth: np.ndarray, code: np.ndarray, weight: np.ndarray, need: float) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, block) of every path of the words at ``first`` to ``first + length`` of each segment."""
+def _paths(first: np.ndarray, length: np.ndarray, depth: np.ndarray, code: np.ndarray, weight: np.ndarray, need: float, mine) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, block) of every path of the words at ``first`` to ``first + length`` of each segment whose first word is ``mine``."""
     seg = np.arange(len(first))
     at = np.full(len(first), -1, dtype=np.int64)
     block = np.full(len(first), 0xABCDEF, dtype=np.uint64)
@@ -204,10 +211,12 @@ def _paths(first: np.ndarray, length: np.ndarray, depth: np.ndarray, code: np.nd
         more = np.maximum(length[seg] - at - 1, 0)
         parent = np.repeat(np.arange(len(seg)), more)
         at = at[parent] + 1 + np.arange(len(parent)) - np.repeat(np.cumsum(more) - more, more)
-        seg = seg[parent]
-        word = first[seg] + at
+        if level == 1:
+            own = mine(code[first[seg[parent]] + at])
+            parent, at = parent[own], at[own]
+        word = first[seg[parent]] + at
         block = _mix(block[parent] * np.uint64(3) + code[word])
-        info = info[parent] + weight[word]
+        info, seg = info[parent] + weight[word], seg[parent]
         done = (info >= need) | (depth[seg] <= level)
         segs.append(seg[done])
         blocks.append(block[done])
@@ -215,14 +224,14 @@ def _paths(first: np.ndarray, length: np.ndarray, depth: np.ndarray, code: np.nd
     return np.concatenate(segs), np.concatenate(blocks)
 
 
-def _blocks_of(n: np.ndarray, start: np.ndarray, slots: np.ndarray, depth: np.ndarray, least: np.ndarray, code: np.ndarray, weight: np.ndarray, need: float) -> tuple[np.ndarray, np.ndarray]:
-    """(which, block) of sets of n ordered words at ``start``, each in the role of its slots, depth and least number of shared words."""
+def _blocks_of(n: np.ndarray, start: np.ndarray, slots: np.ndarray, depth: np.ndarray, least: np.ndarray, code: np.ndarray, weight: np.ndarray, need: float, mine) -> tuple[np.ndarray, np.ndarray]:
+    """(which, block) of sets of n ordered words at ``start``, each in the role of its slots, depth and least number of shared words; the blocks whose first word is ``mine``."""
     end = np.minimum(n, n - least + slots * (depth - 1) + 1)
     which = np.repeat(np.arange(len(n)), end)
     place = np.arange(len(which)) - np.repeat(np.cumsum(end) - end, end)
     word = start[which] + place
     rare = weight[word] >= need
-    alone = rare & (place < (n - least + 1)[which])
+    alone = rare & (place < (n - least + 1)[which]) & mine(code[word])
     one = _mix(np.uint64(0xABCDEF * 3) + code[word[alone]])
     common = ~rare
     which_c, word_c = which[common], word[common]
@@ -233,51 +242,56 @@ def _blocks_of(n: np.ndarray, start: np.ndarray, slots: np.ndarray, depth: np.nd
         return which[alone], one
     head = np.flatnonzero(np.r_[True, (which_c[1:] != which_c[:-1]) | (slot[1:] != slot[:-1])])
     length = np.diff(np.r_[head, len(which_c)])
-    seg, block = _paths(head, length, depth[which_c[head]], code[word_c], weight[word_c], need)
+    seg, block = _paths(head, length, depth[which_c[head]], code[word_c], weight[word_c], need, mine)
     return np.r_[which[alone], which_c[head][seg]], np.r_[one, block]
 
 
-def _block_rows(idf: np.ndarray, need: float, depth: int, threshold: float, part: int, parts: int):
-    """Function from (set_id, codes) batches to block rows (block, set_id, sketch_a, sketch_b) of one part of all blocks.
+_BLOCK_MASK = np.uint64((1 << 53) - 1)
+
+
+def _block_rows(counts: np.ndarray, total: float, need: float, depth: int, threshold: float, part: int, parts: int):
+    """Function from (set_id, codes) batches to block rows (block, set_id, sketch_a, sketch_b), of one part of all first words.
 
     The last bit of a sketch marks a guest: a block that the set has only for partners larger than itself,
     so that two guests need not be compared.
     """
+    idf = np.maximum(np.log(max(total, 2.0) / np.maximum(counts, 1)), 0.05).astype(np.float32)
+    rank = np.unique(counts, return_inverse=True)[1].astype(np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, list[tuple[int, int, int]]] = {}
         plans = _plans(depth, threshold, 1 << 40)
+        mine = lambda code: (code >> np.uint64(40)) % np.uint64(parts) == part
         for ids, flat, sizes in _sets_of(batches):
+            first = np.cumsum(sizes) - sizes
             owner = _segments(sizes)
-            weight = idf[_buckets(flat)].astype(np.float64)
-            code = _mix(flat + np.uint64(0x1234567))
+            code, bucket = _mix(flat + np.uint64(0x1234567)), _buckets(flat)
             sketch = _sketch(code, sizes)
-            order = np.lexsort((code, -weight, owner))
-            code, weight = code[order], weight[order]
-            first = np.cumsum(sizes) - sizes
+            # by set, then frequency, then code: codes are in order, so the place in the set stands for the code
+            key = np.sort(owner.astype(np.uint64) << np.uint64(51) | rank[bucket].astype(np.uint64) << np.uint64(30) | (np.arange(len(flat)) - first[owner]).astype(np.uint64))
+            order = first[owner] + (key & np.uint64((1 << 30) - 1)).astype(np.int64)
+            code, weight = code[order], idf[bucket[order]].astype(np.float64)
             which, roles, guest = [], [], []
             for i, n in enumerate(sizes.tolist()):
-                if n not in known:
-                    known[n] = _roles(n, plans, threshold)
-                which += [i] * len(known[n])
-                roles += known[n]
-                guest += [j > 0 for j in range(len(known[n]))]
-            which, guest = np.array(which), np.array(guest, dtype=np.uint64)
-            slots, deep, least = (np.array(x, dtype=np.int64) for x in zip(*roles))
-            for lo in range(0, len(which), 2000):
-                own = slice(lo, lo + 2000)
+                mine_too = known.get(n)
+                if mine_too is None:
+                    mine_too = known[n] = _roles(n, plans, threshold)
+                which += [i] * len(mine_too)
+                roles += mine_too
+                guest += range(len(mine_too))
+            which, guest = np.array(which), np.array(guest) > 0
+            slots, deep, least = np.array(roles, dtype=np.int64).reshape(-1, 3).T
+            for lo in range(0, len(sizes), BLOCKS_AT_ONCE):
+                own = slice(*np.searchsorted(which, [lo, lo + BLOCKS_AT_ONCE]))
                 doc = which[own]
-                role, block = _blocks_of(sizes[doc], first[doc], slots[own], deep[own], least[own], code, weight, need)
-                doc, as_guest = doc[role], guest[own][role]
-                if parts > 1:
-                    mine = (block >> np.uint64(40)) % np.uint64(parts) == part
-                    doc, block, as_guest = doc[mine], block[mine], as_guest[mine]
-                order = np.lexsort((as_guest, block, doc))
-                doc, block, as_guest = doc[order], block[order], as_guest[order]
-                keep = np.r_[True, (doc[1:] != doc[:-1]) | (block[1:] != block[:-1])][: len(doc)]
-                doc, block, as_guest = doc[keep], block[keep], as_guest[keep]
-                last = (sketch[1, doc] | as_guest << np.uint64(63)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (block.view(np.int64), ids[doc], sketch[0, doc].view(np.int64), last)], names=["block", "set_id", "sketch_a", "sketch_b"])
+                role, block = _blocks_of(sizes[doc], first[doc], slots[own], deep[own], least[own], code, weight, need, mine)
+                # of a set's equal blocks one that is no guest's comes first
+                key = np.sort((doc[role] - lo).astype(np.uint64) << np.uint64(54) | (block & _BLOCK_MASK) << np.uint64(1) | guest[own][role])
+                key = key[np.r_[True, key[1:] >> np.uint64(1) != key[:-1] >> np.uint64(1)][: len(key)]]
+                doc = lo + (key >> np.uint64(54)).astype(np.int64)
+                last = sketch[1, doc] | (key & np.uint64(1)) << np.uint64(63)
+                found = ((key >> np.uint64(1)) & _BLOCK_MASK, ids[doc], sketch[0, doc], last)
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in found], names=["block", "set_id", "sketch_a", "sketch_b"])
 
     return run
 
@@ -311,21 +325,25 @@ def _close_pairs(threshold: float, most: int | None):
         owners = (large[2] & _GUEST) == 0
         ids, x, y = (z[owners] for z in large)
         m = _size(y)
-        bits, bound = small[2] & _BITS, (share * n + 1e-3).astype(np.float32)
+        y, bits, host = y & _BITS, small[2] & _BITS, (small[2] & _GUEST) == 0
+        # in eight bits first: no bound is above the 112 cells, and two rounded halves lose at most one
+        of_large, of_small = (np.minimum(share * z, 112).astype(np.uint8) for z in (m, n))
+        of_small = of_small.view(np.int8) + np.int8(1)
         for lo in range(0, len(ids), 128):
             hi = min(lo + 128, len(ids))
             i, j = np.searchsorted(n, threshold * m[lo] - 1e-6), np.searchsorted(n, m[hi - 1], "right")
             if i >= j:
                 continue
-            differ = np.bitwise_count(x[lo:hi, None] ^ small[1][None, i:j]) + np.bitwise_count((y[lo:hi, None] & _BITS) ^ bits[None, i:j])
-            limit = np.where(m[lo:hi] >= LONG, 1e9, share * m[lo:hi]).astype(np.float32)
-            p, q = np.nonzero(differ <= limit[:, None] + bound[None, i:j])
-            a, b = ids[lo:hi][p], small[0][i:j][q]
-            good = (a != b) & (n[i:j][q] >= threshold * m[lo:hi][p] - 1e-6)
+            differ = np.bitwise_count(x[lo:hi, None] ^ small[1][None, i:j])
+            differ += np.bitwise_count(y[lo:hi, None] ^ bits[None, i:j])
+            differ -= of_large[lo:hi, None]
+            p, q = np.divmod(np.flatnonzero(differ.view(np.int8) <= of_small[None, i:j]), j - i)
+            a, b, k, l = ids[lo:hi][p], small[0][i:j][q], m[lo:hi][p], n[i:j][q]
+            apart = differ[p, q].view(np.int8) + of_large[lo:hi][p].astype(np.int64)
+            good = (a != b) & (l >= threshold * k - 1e-6) & ((apart <= share * (k + l) + 1e-3) | (k >= LONG))
+            good &= (k != l) | (a < b) | ~host[i:j][q]  # of equal sizes one order is enough
             if good.any():
-                a, b = a[good], b[good]
-                pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-                yield _found(pair[0], pair[1], None)
+                yield _found(np.minimum(a[good], b[good]), np.maximum(a[good], b[good]), None)
 
     def pairs(block: np.ndarray, ids: np.ndarray, x: np.ndarray, y: np.ndarray, side: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
@@ -400,13 +418,12 @@ def similar_sets(sets: DataFrame, threshold: float = THRESHOLD, hot_block: int =
     table = counted.toPandas()  # at most FREQUENCY_BUCKETS + 1 rows at any data size
     total = float(table.loc[table["bucket"] < 0, "n"].sum())
     table = table[table["bucket"] >= 0]
-    counts = np.ones(FREQUENCY_BUCKETS)
-    counts[table["bucket"].to_numpy(dtype=np.int64)] = table["n"].to_numpy(dtype=np.float64)
-    idf = np.maximum(np.log(max(total, 2.0) / counts), 0.05).astype(np.float32)
+    counts = np.zeros(FREQUENCY_BUCKETS, dtype=np.int64)
+    counts[table["bucket"].to_numpy(dtype=np.int64)] = table["n"].to_numpy(dtype=np.int64)
     need, depth = math.log(max(total / COINCIDENCES, 3.0)), path_depth(total)
     near = []
     for part in range(rounds):
-        blocks = sets.mapInArrow(_block_rows(idf, need, depth, threshold, part, rounds), _BLOCK)
+        blocks = sets.mapInArrow(_block_rows(counts, total, need, depth, threshold, part, rounds), _BLOCK)
         found = stage.cut(_candidates(blocks, threshold, hot_block))
         near.append(_pairs_of(found))
         hot = found.filter("hot_block IS NOT NULL").select(F.col("hot_block").alias("block"), F.col("a").alias("set_id"), "sketch_a", "sketch_b")
