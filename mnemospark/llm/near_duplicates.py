@@ -312,6 +312,17 @@ def _found(a: np.ndarray, b: np.ndarray | None, hot: tuple[np.ndarray, np.ndarra
     return pa.RecordBatch.from_arrays([pa.array(a), none if b is None else pa.array(b), *more], names=["a", "b", "hot_block", "sketch_a", "sketch_b"])
 
 
+PAIRS_AT_ONCE = 400_000
+
+
+def _once(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b = (np.concatenate(z) for z in zip(*held))
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    keep = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+    return _found(a[keep], b[keep], None)
+
+
 def _close_pairs(threshold: float, most: int | None):
     """Function from blocks in sorted order to (a, b, nulls) pairs that sketches allow, and (member, null, block, sketch) rows of blocks above ``most``.
 
@@ -378,7 +389,7 @@ def _close_pairs(threshold: float, most: int | None):
                 yield _found(np.minimum(near, far), np.maximum(near, far), None)
             step += 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
         for batch in batches:
             now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
@@ -397,6 +408,21 @@ def _close_pairs(threshold: float, most: int | None):
         if rest is not None and len(rest[0]):
             yield from pairs(*rest)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A pair that shares many blocks of the task is passed on once for every ``PAIRS_AT_ONCE`` rows."""
+        held, n = [], 0
+        for batch in swept(batches):
+            if batch.column("b").null_count:
+                yield batch
+                continue
+            held.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
+            n += len(batch)
+            if n > PAIRS_AT_ONCE:
+                yield _once(held)
+                held, n = [], 0
+        if n:
+            yield _once(held)
+
     return run
 
 
@@ -451,13 +477,15 @@ def _hot_pairs(hot: DataFrame, threshold: float, hot_block: int) -> DataFrame:
 
 
 def _prepared(rows: DataFrame, threshold: float, hot_block: int) -> tuple[DataFrame, DataFrame]:
-    """(row_id, set_id) of all rows, and the pairs of sets; set ids number the distinct sets."""
+    """(row_id, set_id) of all rows, and the pairs of sets; a set's id is the number of its first row."""
     stage = Staging(rows.sparkSession, "word-sets")
-    named = stage.cut(word_sets(rows))
-    sets = stage.cut(named.select("hash_a", "hash_b", "codes").dropDuplicates(["hash_a", "hash_b"]).withColumn("set_id", F.monotonically_increasing_id()))
-    member = stage.cut(named.select("row_id", "hash_a", "hash_b").join(sets.select("hash_a", "hash_b", "set_id"), ["hash_a", "hash_b"]).select("row_id", "set_id").distinct())
+    named = stage.cut(word_sets(rows).withColumn("n", F.monotonically_increasing_id()))
+    first = named.groupBy("hash_a", "hash_b").agg(F.min("n").alias("set_id"))
+    member = stage.cut(named.select("n", "row_id", "hash_a", "hash_b").join(first, ["hash_a", "hash_b"]).select("n", "row_id", "set_id"))
+    copies = member.filter("n <> set_id").select("n")
+    sets = stage.cut(named.select("n", "codes").join(copies, "n", "left_anti").select(F.col("n").alias("set_id"), "codes"))
     stage.drop(named)
-    return member, similar_sets(sets.select("set_id", "codes"), threshold, hot_block)
+    return member.select("row_id", "set_id").distinct(), similar_sets(sets, threshold, hot_block)
 
 
 def near_duplicate_pairs(rows: DataFrame, threshold: float = THRESHOLD, hot_block: int = HOT_BLOCK) -> DataFrame:
