@@ -16,8 +16,9 @@ a content where all paths of two words would be more than 100.  The depth d foll
 the slots follow the size of the larger content; both contents of a pair know both numbers.
 
 Members of a block are compared by size and by the distance of 112-bit parity sketches, which is at
-most the Hamming distance of the sets, so nothing is lost here either; then the Hamming distance of the
-full sets of 64-bit word codes is verified.  Blocks of more than ``hot_block`` members are compared in a
+most the Hamming distance of the sets, so nothing is lost here either; a second sketch of 128 bits sorts
+out what looked close by chance, and then the Hamming distance of the full sets of 64-bit word codes is
+verified.  Blocks of more than ``hot_block`` members are compared in a
 grid of parts, each pair of parts by a task.  Blocks are made in ``rounds`` parts by their first word, one
 part after another, which divides the disk that their shuffle takes.
 
@@ -164,6 +165,15 @@ def _sketch(code: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _second_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(set_id, codes) to (set_id, size, p, q): parities of 128 other cells."""
+    for ids, flat, sizes in _sets_of(batches):
+        starts = (np.cumsum(sizes) - sizes).astype(np.int64)
+        cell = _mix(flat + np.uint64(0x7EC0DE)) & np.uint64(127)
+        halves = [np.bitwise_xor.reduceat(np.where(cell >> np.uint64(6) == j, np.uint64(1) << (cell & np.uint64(63)), np.uint64(0)), starts).view(np.int64) for j in range(2)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, sizes, *halves)], names=["set_id", "size", "p", "q"])
+
+
 def _shared_least(n: int, m: int, threshold: float) -> int:
     """Words that sets of n and m words share at least, if their Jaccard index reaches the threshold."""
     return max(1, math.ceil(threshold / (1 + threshold) * (n + m) - 1e-9))
@@ -455,13 +465,19 @@ def similar_sets(sets: DataFrame, threshold: float = THRESHOLD, hot_block: int =
         hot = found.filter("hot_block IS NOT NULL").select(F.col("hot_block").alias("block"), F.col("a").alias("set_id"), "sketch_a", "sketch_b")
         if not hot.isEmpty():
             near.append(_hot_pairs(hot.dropDuplicates(["block", "set_id"]), threshold, hot_block))
-    pairs = stage.cut(functools.reduce(DataFrame.unionByName, near).distinct())
+    # a second, independent sketch spares most pairs that merely look close the join with their word codes
+    sketch = sets.mapInArrow(_second_sketches, "set_id long, size long, p long, q long")
+    of = lambda end: sketch.select(F.col("set_id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("size", "p", "q")])
+    met = functools.reduce(DataFrame.unionByName, near).distinct().join(of("a"), "a").join(of("b"), "b")
+    apart = F.bit_count(F.col("p_a").bitwiseXOR(F.col("p_b"))) + F.bit_count(F.col("q_a").bitwiseXOR(F.col("q_b")))
+    share = (1 - threshold) / (1 + threshold)
+    pairs = stage.cut(met.filter(apart <= share * (F.col("size_a") + F.col("size_b")) + 1e-3).select("a", "b"))
     left = sets.select(F.col("set_id").alias("a"), F.col("codes").alias("codes_a"))
     right = sets.select(F.col("set_id").alias("b"), F.col("codes").alias("codes_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("codes_a", "codes_b")).alias("common"), (F.size("codes_a") + F.size("codes_b")).alias("together"))
     # Hamming distance of the full fingerprints against its bound at the threshold
     distance = F.col("together") - 2 * F.col("common")
-    bound = F.lit((1 - threshold) / (1 + threshold)) * F.col("together")
+    bound = F.lit(share) * F.col("together")
     checked = both.filter(distance <= bound + 1e-9).select("a", "b", (F.col("common") / (F.col("together") - F.col("common"))).alias("similarity"))
     return stage.cut(checked)
 
