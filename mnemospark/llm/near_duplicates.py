@@ -472,8 +472,11 @@ def similar_sets(sets: DataFrame, threshold: float = THRESHOLD, hot_block: int =
     apart = F.bit_count(F.col("p_a").bitwiseXOR(F.col("p_b"))) + F.bit_count(F.col("q_a").bitwiseXOR(F.col("q_b")))
     share = (1 - threshold) / (1 + threshold)
     pairs = stage.cut(met.filter(apart <= share * (F.col("size_a") + F.col("size_b")) + 1e-3).select("a", "b"))
-    left = sets.select(F.col("set_id").alias("a"), F.col("codes").alias("codes_a"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("codes").alias("codes_b"))
+    # word codes travel for the sets of some pair only
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    paired = stage.cut(sets.join(asked, "set_id", "left_semi"))
+    left = paired.select(F.col("set_id").alias("a"), F.col("codes").alias("codes_a"))
+    right = paired.select(F.col("set_id").alias("b"), F.col("codes").alias("codes_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("codes_a", "codes_b")).alias("common"), (F.size("codes_a") + F.size("codes_b")).alias("together"))
     # Hamming distance of the full fingerprints against its bound at the threshold
     distance = F.col("together") - 2 * F.col("common")
