@@ -465,10 +465,11 @@ def similar_sets(sets: DataFrame, threshold: float = THRESHOLD, hot_block: int =
         hot = found.filter("hot_block IS NOT NULL").select(F.col("hot_block").alias("block"), F.col("a").alias("set_id"), "sketch_a", "sketch_b")
         if not hot.isEmpty():
             near.append(_hot_pairs(hot.dropDuplicates(["block", "set_id"]), threshold, hot_block))
-    # a second, independent sketch spares most pairs that merely look close the join with their word codes
+    # a second, independent sketch spares most pairs that merely look close the join with their word codes;
+    # both sides grow with the data, so the joins are merges at every size
     sketch = sets.mapInArrow(_second_sketches, "set_id long, size long, p long, q long")
     of = lambda end: sketch.select(F.col("set_id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("size", "p", "q")])
-    met = functools.reduce(DataFrame.unionByName, near).distinct().join(of("a"), "a").join(of("b"), "b")
+    met = functools.reduce(DataFrame.unionByName, near).distinct().join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b")
     apart = F.bit_count(F.col("p_a").bitwiseXOR(F.col("p_b"))) + F.bit_count(F.col("q_a").bitwiseXOR(F.col("q_b")))
     share = (1 - threshold) / (1 + threshold)
     pairs = stage.cut(met.filter(apart <= share * (F.col("size_a") + F.col("size_b")) + 1e-3).select("a", "b"))
@@ -477,7 +478,7 @@ def similar_sets(sets: DataFrame, threshold: float = THRESHOLD, hot_block: int =
     paired = stage.cut(sets.join(asked, "set_id", "left_semi"))
     left = paired.select(F.col("set_id").alias("a"), F.col("codes").alias("codes_a"))
     right = paired.select(F.col("set_id").alias("b"), F.col("codes").alias("codes_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("codes_a", "codes_b")).alias("common"), (F.size("codes_a") + F.size("codes_b")).alias("together"))
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", F.size(F.array_intersect("codes_a", "codes_b")).alias("common"), (F.size("codes_a") + F.size("codes_b")).alias("together"))
     # Hamming distance of the full fingerprints against its bound at the threshold
     distance = F.col("together") - 2 * F.col("common")
     bound = F.lit(share) * F.col("together")
