@@ -74,17 +74,24 @@ def normalize_tags(tags: Column, most: int = 32) -> Column:
 
 
 def profile_text(profile: Column) -> Column:
-    """``key: value`` lines of a map, keys in order."""
-    pairs = F.array_sort(F.map_entries(profile))
-    return F.array_join(F.transform(pairs, lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("")))), "\n")
+    """``key: value`` lines of a map in its order."""
+    return F.array_join(F.transform(F.map_entries(profile), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("")))), "\n")
 
 
 def merge_profile(old: Column, patch: Column, allowed: list[str]) -> Column:
-    """Allowed fields of ``patch`` over ``old``."""
+    """Allowed fields of ``patch`` over ``old``: fields of ``old`` keep their place, new ones follow."""
     none = F.create_map().cast("map<string,string>")
     accepted = F.map_filter(F.coalesce(patch, none), lambda k, v: k.isin(allowed))
-    kept = F.map_filter(F.coalesce(old, none), lambda k, v: ~F.coalesce(F.array_contains(F.map_keys(accepted), k), F.lit(False)))
-    return F.map_concat(kept, accepted)
+    held = F.coalesce(old, none)
+    has = lambda m, k: F.coalesce(F.array_contains(F.map_keys(m), k), F.lit(False))
+    kept = F.transform(F.map_entries(held), lambda e: F.struct(e["key"].alias("key"), F.when(has(accepted, e["key"]), F.element_at(accepted, e["key"])).otherwise(e["value"]).alias("value")))
+    new = F.filter(F.map_entries(accepted), lambda e: ~has(held, e["key"]))
+    return F.map_from_entries(F.concat(kept, new))
+
+
+def message_text(blocks: Column) -> Column:
+    """The text blocks of a message, array<struct<type, text>>, one a line and trimmed; other blocks are left out."""
+    return trim_all(F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"]), "\n"))
 
 
 def features(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 Every check is an equi-join, an anti-join or an aggregate, so a state of any size is checked at once.
 Ranks follow the order in which a single-scope check would report: the least rank present is its answer.
+The state's relations are supersedes, consolidates and superseded_by; evidence is checked in data sets only.
 """
 
 from __future__ import annotations
@@ -9,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.operators.hierarchy import hierarchy
 from mnemospark.operators.retrieval import scope_key
+from mnemospark.operators.rings import on_rings
 
-#: The relation arrays, and the layers that are derived from evidence.
-RELATIONS = ["supersedes", "superseded_by", "consolidates", "source_memory_ids"]
+#: The relation arrays, the layers that are derived from evidence, those that may be stored, and states of predecessors.
+RELATIONS = ["supersedes", "consolidates", "superseded_by"]
 DERIVED = ["l2_fact", "l3_summary", "l4_identity"]
 WRITABLE = ["l0_basic_info", "l1_raw", "l2_fact", "l3_summary", "l4_identity"]
-PREDECESSOR = ["superseded", "deleted"]
+PREDECESSOR = ["superseded", "archived", "deleted"]
 
 
 def edges(records: DataFrame, *fields: str) -> DataFrame:
@@ -28,6 +29,10 @@ def edges(records: DataFrame, *fields: str) -> DataFrame:
     return out.distinct()
 
 
+def _pairs(records: DataFrame, *fields: str) -> DataFrame:
+    return edges(records, *fields).select("src", "dst").distinct()
+
+
 def _found(rows: DataFrame, code: str, subject: Column, other: Column | None = None) -> DataFrame:
     return rows.select(F.lit(code).alias("code"), subject.alias("memory_id"), (other if other is not None else F.lit(None).cast("string")).alias("other_id"))
 
@@ -36,59 +41,58 @@ def duplicate_ids(records: DataFrame) -> DataFrame:
     return _found(records.groupBy("memory_id").count().filter("count > 1"), "c1", F.col("memory_id"))
 
 
-def missing_targets(records: DataFrame) -> DataFrame:
-    pairs = edges(records).select("src", "dst").distinct()
-    return _found(pairs.join(records.select(F.col("memory_id").alias("dst")), "dst", "left_anti"), "c2", F.col("src"), F.col("dst"))
+def missing_targets(records: DataFrame, fields: list[str] = RELATIONS, code: str = "c2") -> DataFrame:
+    return _found(_pairs(records, *fields).join(records.select(F.col("memory_id").alias("dst")), "dst", "left_anti"), code, F.col("src"), F.col("dst"))
 
 
-def crossing_scopes(records: DataFrame) -> DataFrame:
-    pairs = edges(records).select("src", "dst").distinct()
+def crossing_scopes(records: DataFrame, fields: list[str] = RELATIONS, code: str = "c3") -> DataFrame:
     owner = records.select("memory_id", scope_key().alias("scope"))
-    left = pairs.join(owner.select(F.col("memory_id").alias("src"), F.col("scope").alias("src_scope")), "src")
+    left = _pairs(records, *fields).join(owner.select(F.col("memory_id").alias("src"), F.col("scope").alias("src_scope")), "src")
     both = left.join(owner.select(F.col("memory_id").alias("dst"), F.col("scope").alias("dst_scope")), "dst")
-    return _found(both.filter("src_scope <> dst_scope"), "c3", F.col("src"), F.col("dst"))
+    return _found(both.filter("src_scope <> dst_scope"), code, F.col("src"), F.col("dst"))
 
 
 def ambiguous_types(records: DataFrame) -> DataFrame:
-    both = records.select("memory_id", F.explode(F.array_intersect("supersedes", "consolidates")).alias("dst")).filter("dst <> ''")
-    return _found(both, "c4", F.col("memory_id"), F.col("dst"))
+    """Links of both kinds to a record that exists."""
+    both = records.select(F.col("memory_id").alias("src"), F.explode(F.array_intersect("supersedes", "consolidates")).alias("dst")).filter("dst <> ''")
+    return _found(both.join(records.select(F.col("memory_id").alias("dst")), "dst", "left_semi"), "c4", F.col("src"), F.col("dst"))
 
 
-def missing_reverse(records: DataFrame) -> DataFrame:
+def missing_reverse(records: DataFrame, forward_code: str = "c5_forward", backward_code: str = "c5_backward") -> DataFrame:
     """Forward links without the back link, and back links without a forward one, between existing records."""
     ids = records.select(F.col("memory_id").alias("id"))
-    forward = edges(records, "supersedes", "consolidates").select("src", "dst").distinct().join(ids, F.col("dst") == F.col("id"), "left_semi")
+    forward = _pairs(records, "supersedes", "consolidates").join(ids, F.col("dst") == F.col("id"), "left_semi")
     back = edges(records, "superseded_by").select(F.col("dst").alias("src"), F.col("src").alias("dst")).join(ids, F.col("src") == F.col("id"), "left_semi")
-    no_back = _found(forward.join(back, ["src", "dst"], "left_anti"), "c5_forward", F.col("src"), F.col("dst"))
-    no_forward = _found(back.join(forward, ["src", "dst"], "left_anti"), "c5_backward", F.col("dst"), F.col("src"))
+    no_back = _found(forward.join(back, ["src", "dst"], "left_anti"), forward_code, F.col("src"), F.col("dst"))
+    no_forward = _found(back.join(forward, ["src", "dst"], "left_anti"), backward_code, F.col("dst"), F.col("src"))
     return no_back.unionByName(no_forward)
 
 
 def cycles(records: DataFrame) -> DataFrame:
-    """Records from which following superseded_by never ends, by tree contraction."""
+    """Records that their own superseded_by links, all of them, lead back to; other_id is the least id of the ring or tangle."""
     ids = records.select(F.col("memory_id").alias("id"))
-    links = edges(records, "superseded_by").join(ids, F.col("dst") == F.col("id"), "left_semi").groupBy(F.col("src").alias("child")).agg(F.min("dst").alias("parent"))
-    return _found(hierarchy(links).filter("depth < 0"), "c6", F.col("node"), F.col("root"))
+    links = edges(records, "superseded_by").join(ids, F.col("dst") == F.col("id"), "left_semi").select("src", "dst")
+    return _found(on_rings(links), "c6", F.col("node"), F.col("ring"))
 
 
 def _forward_pairs(records: DataFrame) -> DataFrame:
-    pairs = edges(records, "supersedes", "consolidates").select("src", "dst").distinct()
-    pairs = pairs.join(records.select(F.col("memory_id").alias("src"), F.col("revision").alias("src_revision")), "src")
-    return pairs.join(records.select(F.col("memory_id").alias("dst"), F.col("revision").alias("dst_revision"), F.col("status").alias("dst_status"), F.col("visibility").alias("dst_visibility")), "dst")
+    state = lambda end: records.select(F.col("memory_id").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in ("revision", "status", "visibility", "chain_id")])
+    return _pairs(records, "supersedes", "consolidates").join(state("src"), "src").join(state("dst"), "dst")
 
 
-def revisions_not_rising(records: DataFrame) -> DataFrame:
-    return _found(_forward_pairs(records).filter("src_revision <= dst_revision"), "c7", F.col("src"), F.col("dst"))
+def revisions_not_rising(records: DataFrame, code: str = "c7") -> DataFrame:
+    return _found(_forward_pairs(records).filter("src_revision <= dst_revision"), code, F.col("src"), F.col("dst"))
 
 
-def predecessor_states(records: DataFrame) -> DataFrame:
-    bad = ~F.col("dst_status").isin(PREDECESSOR) | (F.col("dst_visibility") != "source_only")
-    return _found(_forward_pairs(records).filter(bad), "c8", F.col("dst"), F.col("src"))
+def predecessor_states(records: DataFrame, allowed: list[str] = PREDECESSOR, code: str = "c8") -> DataFrame:
+    fits = F.col("dst_status").isin(allowed) & (F.col("dst_visibility") == "source_only")
+    return _found(_forward_pairs(records).filter(~F.coalesce(fits, F.lit(False))), code, F.col("dst"), F.col("src"))
 
 
-def many_heads(records: DataFrame) -> DataFrame:
+def many_heads(records: DataFrame, code: str = "c9") -> DataFrame:
+    """Chains of one owner with several active recallable records: the least of them, and the chain."""
     heads = records.filter("chain_id IS NOT NULL AND status = 'active' AND visibility = 'recallable'")
-    return _found(heads.groupBy("chain_id").agg(F.count(F.lit(1)).alias("n"), F.min("memory_id").alias("memory_id")).filter("n > 1"), "c9", F.col("memory_id"), F.col("chain_id"))
+    return _found(heads.groupBy(scope_key(), "chain_id").agg(F.count(F.lit(1)).alias("n"), F.min("memory_id").alias("memory_id")).filter("n > 1"), code, F.col("memory_id"), F.col("chain_id"))
 
 
 def deleted_recallable(records: DataFrame) -> DataFrame:
@@ -104,36 +108,63 @@ def bad_layers(records: DataFrame) -> DataFrame:
     return _found(records.filter(~F.coalesce(F.col("layer").isin(WRITABLE), F.lit(False))), "c12_layer", F.col("memory_id"))
 
 
-def bad_embeddings(embeddings: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Vectors of another width, and zero vectors not excused by an accepted or degraded job on the record."""
-    wide = embeddings.filter("vector IS NOT NULL AND size(vector) <> dimensions")
-    zero = embeddings.filter("vector IS NOT NULL AND size(vector) = dimensions").filter(~F.exists("vector", lambda x: x != 0))
-    excused = jobs.filter(F.col("status").isin("accepted", "degraded")).select(F.col("raw_memory_id").alias("memory_id"))
-    return _found(wide, "c12_width", F.col("memory_id"), F.col("space_id")).unionByName(_found(zero.join(excused, "memory_id", "left_anti"), "c12_zero", F.col("memory_id"), F.col("space_id"))).distinct()
+def bad_embeddings(records: DataFrame, embeddings: DataFrame, jobs: DataFrame, spaces: DataFrame) -> DataFrame:
+    """Vectors of a space or width that ``spaces(space_id, dimensions, quality)`` does not name, and zero vectors of trained spaces.
+
+    A raw record with an accepted or degraded job of its own may wait with a zero vector.  ``spaces`` is a
+    fixed table of a few rows.
+    """
+    known = spaces.select(F.col("space_id").alias("known_space"), F.col("dimensions").alias("known_dimensions"), "quality")
+    rows = embeddings.join(F.broadcast(known), F.col("space_id") == F.col("known_space"), "left")
+    strange = rows.filter("known_space IS NULL")
+    width = (F.col("dimensions") == F.col("known_dimensions")) & (F.size("vector") == F.col("known_dimensions"))
+    wide = rows.filter(F.col("known_space").isNotNull() & ~F.coalesce(width, F.lit(False)))
+    zero = rows.filter(F.coalesce(width, F.lit(False)) & (F.col("quality") == "trained") & ~F.coalesce(F.exists("vector", lambda x: x != 0), F.lit(False)))
+    waiting = jobs.filter(F.col("status").isin("accepted", "degraded")).select(F.col("raw_memory_id").alias("memory_id")).distinct()
+    excused = records.filter("layer = 'l1_raw'").select("memory_id").join(waiting, "memory_id", "left_semi")
+    parts = [(strange, "c12_space"), (wide, "c12_width"), (zero.join(excused, "memory_id", "left_anti"), "c12_zero")]
+    found = [_found(part, code, F.col("memory_id"), F.col("space_id")) for part, code in parts]
+    return found[0].unionByName(found[1]).unionByName(found[2]).distinct()
 
 
 def dataset_checks(records: DataFrame) -> DataFrame:
-    """The stricter checks of evaluation data: linked records share a chain, evidence is raw."""
-    chain = records.select("memory_id", "chain_id", "layer")
-    pairs = edges(records, "supersedes", "consolidates").select("src", "dst").distinct()
-    both = pairs.join(chain.select(F.col("memory_id").alias("src"), F.col("chain_id").alias("a")), "src").join(chain.select(F.col("memory_id").alias("dst"), F.col("chain_id").alias("b")), "dst")
-    apart = _found(both.filter("a IS NULL OR b IS NULL OR a <> b"), "c13_chain", F.col("src"), F.col("dst"))
-    evidence = edges(records, "source_memory_ids").join(chain.select(F.col("memory_id").alias("dst"), "layer"), "dst")
-    return apart.unionByName(_found(evidence.filter("layer <> 'l1_raw'"), "c13_evidence", F.col("src"), F.col("dst")))
+    """The stricter checks of evaluation data: every reference resolves within its owner, evidence is raw, links go both ways,
+    rise in revision and share a chain, predecessors are superseded sources, and a chain of an owner has one head."""
+    fields = [*RELATIONS, "source_memory_ids"]
+    layer = records.select(F.col("memory_id").alias("dst"), "layer")
+    evidence = edges(records, "source_memory_ids").join(layer, "dst").filter(~F.coalesce(F.col("layer") == "l1_raw", F.lit(False)))
+    pairs = _forward_pairs(records).filter("src_chain_id IS NULL OR dst_chain_id IS NULL OR src_chain_id <> dst_chain_id")
+    parts = [
+        missing_targets(records, fields, "c13_missing"),
+        crossing_scopes(records, fields, "c13_owner"),
+        _found(evidence, "c13_evidence", F.col("src"), F.col("dst")),
+        missing_reverse(records, "c13_forward", "c13_backward"),
+        revisions_not_rising(records, "c13_revision"),
+        _found(pairs, "c13_chain", F.col("src"), F.col("dst")),
+        predecessor_states(records, ["superseded"], "c13_predecessor"),
+        many_heads(records, "c13_heads"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 CHECKS = [duplicate_ids, missing_targets, crossing_scopes, ambiguous_types, missing_reverse, cycles, revisions_not_rising, predecessor_states, many_heads, deleted_recallable, without_evidence, bad_layers]
 
 
-def all_violations(records: DataFrame, deliveries: DataFrame | None = None, embeddings: DataFrame | None = None, jobs: DataFrame | None = None, dataset: bool = False) -> DataFrame:
+def all_violations(
+    records: DataFrame, deliveries: DataFrame | None = None, embeddings: DataFrame | None = None, jobs: DataFrame | None = None, spaces: DataFrame | None = None, dataset: bool = False
+) -> DataFrame:
     """(rank, code, memory_id, other_id) of every check over one state.
 
     ``deliveries`` are the distinct contents delivered, before one row an id was chosen; vectors are checked
-    where ``embeddings`` and ``jobs`` are given, at the rank of the layers; ``dataset`` adds the checks of evaluation data.
+    where ``embeddings``, ``jobs`` and ``spaces`` are given, at the rank of the layers; ``dataset`` adds the
+    checks of evaluation data.
     """
     parts = [(rank, check(deliveries if deliveries is not None and check is duplicate_ids else records)) for rank, check in enumerate(CHECKS, 1)]
-    if embeddings is not None and jobs is not None:
-        parts.append((len(CHECKS), bad_embeddings(embeddings, jobs)))
+    if embeddings is not None and jobs is not None and spaces is not None:
+        parts.append((len(CHECKS), bad_embeddings(records, embeddings, jobs, spaces)))
     if dataset:
         parts.append((len(CHECKS) + 1, dataset_checks(records)))
     out = None

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemospark.functions import text
 from mnemospark.operators.retrieval import scope_key
 
 #: The columns that may leave the engine: no vectors, meta or owner.
@@ -60,8 +59,9 @@ def evidence(records: DataFrame) -> DataFrame:
 
 
 def tags(records: DataFrame) -> DataFrame:
-    """(scope, tags): each owner's distinct tags in order."""
-    return records.groupBy(scope_key().alias("scope")).agg(F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_list(text.normalize_tags(F.col("tags")))))), ",").alias("tags"))
+    """(scope, tags): each owner's distinct tags as stored, in order; null ones are none."""
+    held = F.filter(F.coalesce("tags", F.array().cast("array<string>")), lambda t: t.isNotNull())
+    return records.groupBy(scope_key().alias("scope")).agg(F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_set(held)))), ",").alias("tags"))
 
 
 def summary(records: DataFrame, as_of: Column) -> DataFrame:
@@ -86,11 +86,17 @@ def recent_events(events: DataFrame, key: str, at: str, tie: str, ring: int = 20
 
 
 def turn_slice(turns: DataFrame, key: str, seq: str, start: Column, end: Column) -> DataFrame:
-    """Rows from the last start of each key up to the first end after it."""
+    """Rows after the last start of each key and before the first end that follows it; keys without a start give none."""
     begun = turns.filter(start).groupBy(key).agg(F.max(seq).alias("first_seq"))
-    rows = turns.join(begun, key).filter(F.col(seq) >= F.col("first_seq"))
-    ended = rows.filter(end & (F.col(seq) > F.col("first_seq"))).groupBy(key).agg(F.min(seq).alias("last_seq"))
-    return rows.join(ended, key, "left").filter(F.col("last_seq").isNull() | (F.col(seq) <= F.col("last_seq"))).drop("first_seq", "last_seq")
+    rows = turns.join(begun, key).filter(F.col(seq) > F.col("first_seq"))
+    ended = rows.filter(end).groupBy(key).agg(F.min(seq).alias("last_seq"))
+    return rows.join(ended, key, "left").filter(F.col("last_seq").isNull() | (F.col(seq) < F.col("last_seq"))).drop("first_seq", "last_seq")
+
+
+def spoken(messages: DataFrame, kind: str = "source_kind", plugin: str = "source_plugin", own: str = "memory") -> DataFrame:
+    """Messages that are neither a tool's nor this engine's own recall."""
+    mine = (F.col(kind) == "plugin") & (F.col(plugin) == own)
+    return messages.filter(~F.coalesce((F.col(kind) == "tool") | mine, F.lit(False)))
 
 
 def duration_ms() -> Column:

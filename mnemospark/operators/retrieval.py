@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text, vectors
+from mnemospark.plans.staging import Staging
 
 
 @dataclass(frozen=True)
@@ -42,7 +43,8 @@ WEIGHTS = {"navigational": (0.4, 1.4), "conceptual": (1.1, 0.5), "factual": (1.0
 
 
 def scope_key(tenant: str = "tenant_id", user: str = "user_id", agent: str = "agent_id") -> Column:
-    return F.concat_ws("|", F.coalesce(tenant, F.lit("")), F.coalesce(user, F.lit("")), F.coalesce(agent, F.lit("")))
+    """One text an owner: a JSON array, so that no mark inside an id can make two owners one; an absent tenant is empty."""
+    return F.to_json(F.array(*[F.coalesce(c, F.lit("")) for c in (tenant, user, agent)]))
 
 
 def channel(layer: Column) -> Column:
@@ -78,23 +80,43 @@ def document_pools(records: DataFrame, queries: DataFrame) -> DataFrame:
     return rows.withColumn("channel", channel(F.col("layer"))).join(queries.select("pool").distinct(), "pool", "left_semi")
 
 
-def bm25(queries: DataFrame, documents: DataFrame, k1: float, b: float, tokenizer: text.Tokenizer = text.tokenize, ordered: bool = False) -> DataFrame:
-    """(query_id, pool, channel, memory_id, lexical): BM25 of queries(query_id, pool, body) over documents(pool, channel, memory_id, body)."""
-    tokens = documents.select("pool", "channel", "memory_id", tokenizer(F.col("body")).alias("tokens"))
-    sizes = tokens.groupBy("pool", "channel").agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("tokens")).alias("mean_len"))
-    postings = tokens.select("pool", "channel", "memory_id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term"))
-    asked = queries.select("query_id", "pool", F.explode(F.array_distinct(tokenizer(F.col("body")))).alias("term"))
-    postings = postings.join(asked.select("pool", "term").distinct(), ["pool", "term"], "left_semi")
+#: A tokenizer that gives more tokens than this, or a longer one, has failed.
+MOST_TOKENS, MOST_TOKEN_CHARS = 100_000, 256
+
+
+def tokenizer_failed(tokens: Column) -> Column:
+    return (F.size(tokens) > MOST_TOKENS) | F.exists(tokens, lambda t: t.isNull() | (t == "") | (F.length(t) > MOST_TOKEN_CHARS))
+
+
+def closed_lexical(asked: DataFrame, documents: DataFrame) -> DataFrame:
+    """(query_id): queries whose lexical channel closes, since the tokenizer failed on the query or on a document of its pool."""
+    bad = documents.filter(tokenizer_failed(F.col("tokens"))).select("pool").distinct()
+    own = asked.filter(tokenizer_failed(F.col("tokens"))).select("query_id", "pool")
+    return asked.select("query_id", "pool").join(bad, "pool", "left_semi").unionByName(own).select("query_id").distinct()
+
+
+def bm25_of(asked: DataFrame, documents: DataFrame, k1: float, b: float) -> DataFrame:
+    """``bm25`` of asked(query_id, pool, tokens) and documents(pool, channel, memory_id, tokens)."""
+    sizes = documents.groupBy("pool", "channel").agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("tokens")).alias("mean_len"))
+    postings = documents.select("pool", "channel", "memory_id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term"))
+    terms = asked.select("query_id", "pool", F.explode(F.array_distinct("tokens")).alias("term"))
+    postings = postings.join(terms.select("pool", "term").distinct(), ["pool", "term"], "left_semi")
     tf = postings.groupBy("pool", "channel", "term", "memory_id").agg(F.count(F.lit(1)).alias("tf"), F.first("doc_len").alias("doc_len"))
     df = tf.groupBy("pool", "channel", "term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     mean = F.when(F.col("mean_len") > 0, F.col("mean_len")).otherwise(F.lit(1.0))
     gain = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / mean))
     scored = tf.join(df, ["pool", "channel", "term"]).join(sizes, ["pool", "channel"]).select("pool", "channel", "term", "memory_id", gain.alias("gain"))
-    met = asked.join(scored, ["pool", "term"])
+    met = terms.join(scored, ["pool", "term"])
     return met.groupBy("query_id", "pool", "channel", "memory_id").agg(F.round(F.sum("gain"), DIGITS).alias("lexical")).filter("lexical > 0")
 
 
+def bm25(queries: DataFrame, documents: DataFrame, k1: float, b: float, tokenizer: text.Tokenizer = text.tokenize) -> DataFrame:
+    """(query_id, pool, channel, memory_id, lexical): BM25 of queries(query_id, pool, body) over documents(pool, channel, memory_id, body)."""
+    asked = queries.select("query_id", "pool", tokenizer(F.col("body")).alias("tokens"))
+    return bm25_of(asked, documents.select("pool", "channel", "memory_id", tokenizer(F.col("body")).alias("tokens")), k1, b)
+
+
 class _Hasher:
     """Signed cells of texts, the features of each token hashed once a task."""
 
@@ -134,8 +156,8 @@ def _cell_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(batch.columns[:-1] + lists, names=batch.schema.names[:-1] + ["dims", "cells"])
 
 
-def _unit_matrix(table: pa.Table) -> np.ndarray:
-    out = np.zeros((table.num_rows, text.HASH_DIMENSIONS))
+def _unit_matrix(table: pa.Table, width: int) -> np.ndarray:
+    out = np.zeros((table.num_rows, width))
     dims, cells = table.column("dims").combine_chunks(), table.column("cells").combine_chunks()
     row = np.repeat(np.arange(table.num_rows), dims.value_lengths().to_numpy(zero_copy_only=False))
     out[row, dims.flatten().to_numpy(zero_copy_only=False)] = cells.flatten().to_numpy(zero_copy_only=False)
@@ -152,13 +174,6 @@ def hash_table(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(F.col(key).alias("key"), "body").mapInArrow(_cells, f"key {kind}, dim int, cell long").withColumnRenamed("key", key)
 
 
-def hash_vectors(rows: DataFrame, key: str) -> DataFrame:
-    """(key, dim, value): sparse unit vectors of the hash space of ``rows(key, body)``; ``key`` is unique."""
-    cells = hash_table(rows, key).filter("cell <> 0")
-    norm = F.sqrt(F.sum(F.col("cell") * F.col("cell")).over(Window.partitionBy(key)))
-    return cells.select(key, "dim", (F.col("cell") / norm).alias("value"))
-
-
 def hash_embedding(rows: DataFrame, key: str) -> DataFrame:
     """(key, vector): dense hash vectors; a text without tokens has the zero vector."""
     cells = rows.select(F.col(key), text.hash_cells(F.col("body")).alias("cells"))
@@ -172,22 +187,30 @@ def hash_embedding(rows: DataFrame, key: str) -> DataFrame:
 POOL_BLOCK = 2048
 
 
-def semantic(queries: DataFrame, documents: DataFrame, least: float) -> DataFrame:
-    """(query_id, pool, channel, memory_id, semantic): cosine of hash vectors, at least ``least``.
+def with_cells(rows: DataFrame, body: str) -> DataFrame:
+    """``rows`` with dims and cells, the sparse hash vector, in place of the text column ``body``."""
+    kept = [c for c in rows.columns if c != body]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != body)
+    return rows.select(*kept, body).mapInArrow(_cell_lists, f"{kinds}, dims array<int>, cells array<int>")
 
-    Queries and documents of a pool meet in blocks of about ``POOL_BLOCK`` each, and a block pair is one
-    matrix product; a hot owner is many block pairs, not one task.
-    """
+
+def _dense_cells(rows: DataFrame, vector: str, width: int) -> DataFrame:
+    """``rows`` with dims and cells in place of a dense vector of that width; other, zero and unusable vectors are left out."""
+    good = (F.size(vector) == width) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & vectors.non_zero(F.col(vector))
+    dims = F.sequence(F.lit(0), F.lit(width - 1))
+    return rows.filter(F.coalesce(good, F.lit(False))).withColumn("dims", dims).withColumn("cells", F.transform(vector, lambda x: x.cast("double"))).drop(vector)
+
+
+def semantic_of(asks: DataFrame, docs: DataFrame, least: float, width: int = text.HASH_DIMENSIONS) -> DataFrame:
+    """``semantic`` of asks(query_id, pool, dims, cells) and docs(pool, channel, memory_id, dims, cells)."""
+    asks, docs = asks.filter("size(dims) > 0"), docs.filter("size(dims) > 0")
     blocks = lambda n: F.ceil(F.col(n) / POOL_BLOCK).cast("int")
-    n_docs = documents.groupBy("pool", "channel").agg(F.count(F.lit(1)).alias("n")).select("pool", "channel", blocks("n").alias("doc_blocks"))
-    n_asks = queries.groupBy("pool").agg(F.count(F.lit(1)).alias("n")).select("pool", blocks("n").alias("ask_blocks"))
+    n_docs = docs.groupBy("pool", "channel").agg(F.count(F.lit(1)).alias("n")).select("pool", "channel", blocks("n").alias("doc_blocks"))
+    n_asks = asks.groupBy("pool").agg(F.count(F.lit(1)).alias("n")).select("pool", blocks("n").alias("ask_blocks"))
     grid = n_docs.join(n_asks, "pool")
     part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    lists = "dims array<int>, cells array<int>"
-    docs = documents.select("pool", "channel", "memory_id", "body").mapInArrow(_cell_lists, f"pool string, channel string, memory_id string, {lists}").filter("size(dims) > 0")
     docs = docs.join(grid, ["pool", "channel"]).withColumn("doc_block", part("memory_id", "doc_blocks")).withColumn("ask_block", each("ask_blocks"))
-    asks = queries.select("pool", "query_id", "body").mapInArrow(_cell_lists, f"pool string, query_id string, {lists}").filter("size(dims) > 0")
     asks = asks.join(grid, "pool").withColumn("ask_block", part("query_id", "ask_blocks")).withColumn("doc_block", each("doc_blocks"))
     keys = ["pool", "channel", "doc_block", "ask_block"]
     left, right = asks.select(*keys, "query_id", "dims", "cells"), docs.select(*keys, "memory_id", "dims", "cells")
@@ -196,7 +219,7 @@ def semantic(queries: DataFrame, documents: DataFrame, least: float) -> DataFram
         kinds = pa.schema([("query_id", pa.string()), ("pool", pa.string()), ("channel", pa.string()), ("memory_id", pa.string()), ("semantic", pa.float64())])
         if not a.num_rows or not d.num_rows:
             return kinds.empty_table()
-        s = np.round(_unit_matrix(a) @ _unit_matrix(d).T, DIGITS)
+        s = np.round(_unit_matrix(a, width) @ _unit_matrix(d, width).T, DIGITS)
         i, j = np.nonzero(s >= least)
         pool, channel_name = key[0].as_py(), key[1].as_py()
         ids, docs_of = a.column("query_id").combine_chunks(), d.column("memory_id").combine_chunks()
@@ -206,6 +229,15 @@ def semantic(queries: DataFrame, documents: DataFrame, least: float) -> DataFram
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, "query_id string, pool string, channel string, memory_id string, semantic double")
 
 
+def semantic(queries: DataFrame, documents: DataFrame, least: float) -> DataFrame:
+    """(query_id, pool, channel, memory_id, semantic): cosine of hash vectors, at least ``least``.
+
+    Queries and documents of a pool meet in blocks of about ``POOL_BLOCK`` each, and a block pair is one
+    matrix product; a hot owner is many block pairs, not one task.
+    """
+    return semantic_of(with_cells(queries.select("query_id", "pool", "body"), "body"), with_cells(documents.select("pool", "channel", "memory_id", "body"), "body"), least)
+
+
 def _rank(*order: Column) -> Column:
     return F.row_number().over(Window.partitionBy("query_id", "channel").orderBy(*order, "memory_id"))
 
@@ -244,30 +276,92 @@ def fuse(semantic_hits: DataFrame, lexical_hits: DataFrame, queries: DataFrame,
     )
 
 
-def search(records: DataFrame, queries: DataFrame, as_of: Column, config: SearchConfig = SearchConfig(), layers: list[str] | None = None, tokenizer: text.Tokenizer = text.tokenize) -> DataFrame:
-    """Ranked hits of every query within its owner's records, each channel cut at its own quota.
+@dataclass(frozen=True)
+class Space:
+    """A trained vector space to search in: stored vectors and the queries' vectors, both of ``dimensions``.
 
-    ``queries(query_id, tenant_id, user_id, agent_id, session_id, session_only, query_text)``.
+    ``stored(memory_id, space_id, dimensions, vector)`` may hold other spaces, which take no part;
+    ``asked(query_id, vector)`` lacks the queries whose provider failed.
     """
-    asked = query_pools(queries).select("query_id", "pool", F.col("query_text").alias("body")).withColumn("intent", text.intent(F.col("body")))
+
+    space_id: str
+    dimensions: int
+    stored: DataFrame
+    asked: DataFrame
+
+
+class SpaceMismatch(ValueError):
+    """Stored vectors of the searched space have another width."""
+
+
+@dataclass(frozen=True)
+class Prepared:
+    """Queries and documents of a search, tokenized and hashed once."""
+
+    asked: DataFrame
+    documents: DataFrame
+
+
+def prepare(records: DataFrame, queries: DataFrame, as_of: Column, layers: list[str] | None = None, tokenizer: text.Tokenizer = text.tokenize) -> Prepared:
+    """Queries with pool, intent, tokens and cells; recallable documents of their pools with tokens and cells.  Both are staged, since every part of a search reads them."""
+    stage = Staging(records.sparkSession, "search")
+    asked = query_pools(queries).select("query_id", "pool", text.intent(F.col("query_text")).alias("intent"), tokenizer(F.col("query_text")).alias("tokens"), F.col("query_text").alias("body"))
     pool = recallable(records, as_of)
     if layers is not None:
         pool = pool.filter(F.col("layer").isin(layers))
-    documents = document_pools(pool, asked).select("pool", "channel", "memory_id", search_text().alias("body"), F.coalesce("content", F.lit("")).alias("content"))
-    lexical_hits = bm25(asked, documents, config.bm25_k1, config.bm25_b, tokenizer)
-    semantic_hits = semantic(asked, documents.select("pool", "channel", "memory_id", F.col("content").alias("body")), config.min_semantic_score)
-    hits = fuse(semantic_hits, lexical_hits, asked, records.select("memory_id", "updated_at"), config.rrf_k)
+    asked = stage.cut(with_cells(asked, "body"))
+    documents = document_pools(pool, asked).select("pool", "channel", "memory_id", "updated_at", tokenizer(search_text()).alias("tokens"), F.coalesce("content", F.lit("")).alias("body"))
+    return Prepared(asked, stage.cut(with_cells(documents, "body")))
+
+
+def search_prepared(ready: Prepared, config: SearchConfig = SearchConfig(), space: Space | None = None) -> DataFrame:
+    """Ranked hits of ``prepare``, each channel cut at its own quota; queries whose tokenizer failed have no lexical hits."""
+    lexical_hits = bm25_of(ready.asked, ready.documents, config.bm25_k1, config.bm25_b).join(closed_lexical(ready.asked, ready.documents), "query_id", "left_anti")
+    if space is None:
+        semantic_hits = semantic_of(ready.asked.select("query_id", "pool", "dims", "cells"), ready.documents.select("pool", "channel", "memory_id", "dims", "cells"), config.min_semantic_score)
+    else:
+        mine = space.stored.filter(F.col("space_id") == space.space_id)
+        if not mine.filter((F.col("dimensions") != space.dimensions) | F.col("dimensions").isNull()).isEmpty():
+            raise SpaceMismatch(f"space {space.space_id} holds vectors of another width than {space.dimensions}")
+        stored = _dense_cells(mine.select("memory_id", "vector").dropDuplicates(["memory_id"]), "vector", space.dimensions)
+        asked = _dense_cells(ready.asked.select("query_id", "pool").join(space.asked.select("query_id", "vector"), "query_id"), "vector", space.dimensions)
+        semantic_hits = semantic_of(asked, ready.documents.select("pool", "channel", "memory_id").join(stored, "memory_id"), config.min_semantic_score, space.dimensions)
+    updated = ready.documents.select("memory_id", "updated_at").distinct()
+    hits = fuse(semantic_hits, lexical_hits, ready.asked, updated, config.rrf_k)
     most = F.when(F.col("channel") == "profile", F.lit(config.profile_limit)).otherwise(F.lit(config.recall_limit))
     return hits.filter(F.col("fused_rank") <= most)
 
 
-def diagnostics(hits: DataFrame, queries: DataFrame, rrf_k: float) -> DataFrame:
-    """(query_id, intent, confidence, degraded): confidence is the mean score of the first three hits, profile before normal, times rrf_k."""
+def search(
+    records: DataFrame, queries: DataFrame, as_of: Column, config: SearchConfig = SearchConfig(), layers: list[str] | None = None, tokenizer: text.Tokenizer = text.tokenize, space: Space | None = None
+) -> DataFrame:
+    """Ranked hits of every query within its owner's records, each channel cut at its own quota.
+
+    ``queries(query_id, tenant_id, user_id, agent_id, session_id, session_only, query_text)``; the semantic channel
+    is the hash space, or the trained ``space``.
+    """
+    return search_prepared(prepare(records, queries, as_of, layers, tokenizer), config, space)
+
+
+def diagnostics(hits: DataFrame, ready: Prepared, rrf_k: float, space: Space | None = None) -> DataFrame:
+    """(query_id, intent, confidence, degraded): confidence is the mean score of the first three hits, profile before normal, times rrf_k.
+
+    ``degraded`` names the channels that were closed or are of the portable kind.
+    """
     order = Window.partitionBy("query_id").orderBy(F.when(F.col("channel") == "profile", 0).otherwise(1), "fused_rank")
     top = hits.withColumn("place", F.row_number().over(order)).filter("place <= 3").groupBy("query_id").agg(F.avg("score").alias("mean"))
-    rows = queries.select("query_id", text.intent(F.col("query_text")).alias("intent")).join(top, "query_id", "left")
+    rows = ready.asked.select("query_id", "pool", "intent").join(top, "query_id", "left")
     confidence = F.round(F.when(F.col("mean").isNotNull(), F.least(F.lit(1.0), F.col("mean") * rrf_k)).otherwise(F.lit(0.0)), 6)
-    return rows.select("query_id", "intent", confidence.alias("confidence"), F.lit("semantic:portable-hash,tag:unavailable").alias("degraded"))
+    rows = rows.join(closed_lexical(ready.asked, ready.documents).withColumn("no_lexical", F.lit(True)), "query_id", "left")
+    flags = [F.when(F.col("no_lexical"), "lexical:tokenizer-unavailable")]
+    if space is None:
+        flags.append(F.lit("semantic:portable-hash"))
+    else:  # the provider is asked only where a query has candidates
+        pools = ready.documents.select("pool").distinct().withColumn("any_document", F.lit(True))
+        rows = rows.join(pools, "pool", "left").join(space.asked.select("query_id").distinct().withColumn("embedded", F.lit(True)), "query_id", "left")
+        flags.append(F.when(F.col("any_document") & F.col("embedded").isNull(), "semantic:provider-unavailable"))
+    names = F.array_compact(F.array(*flags, F.lit("tag:unavailable")))
+    return rows.select("query_id", "intent", confidence.alias("confidence"), F.array_join(names, ",").alias("degraded"))
 
 
 def relatives(records: DataFrame, keys: DataFrame) -> DataFrame:
@@ -286,30 +380,42 @@ def relatives(records: DataFrame, keys: DataFrame) -> DataFrame:
     return by_id.select(*cols).unionByName(by_chain.select(*cols)).distinct()
 
 
+#: The frame of a recall context.
+CONTEXT_HEAD = "<memory-recall>\nUse these records as fallible background. Prefer the current user message when they conflict."
+CONTEXT_TAIL = "</memory-recall>"
+
+
+def context_line(confidence: Column) -> Column:
+    shown = F.format_string("%.2f", F.bround(confidence, 6))
+    return F.concat(F.lit("- ["), F.col("memory_id"), F.lit("] ("), F.col("layer"), F.lit(", confidence "), F.coalesce(shown, F.lit("")), F.lit(") "), F.coalesce("content", F.lit("")))
+
+
 def pack_context(hits: DataFrame, records: DataFrame, budget: int) -> DataFrame:
-    """(query_id, memory_id, line_no, used_chars): hits in order until the character budget would be exceeded."""
-    line = F.concat(F.lit("- ["), F.col("layer"), F.lit("] "), F.coalesce("content", F.lit("")))
-    rows = hits.join(records.select("memory_id", F.length(line).alias("chars")), "memory_id")
+    """(query_id, memory_id, line_no, used_chars): hits in order until the next line would exceed the character budget.
+
+    used_chars is the length of the whole text up to the line, with its head, its closing tag and the breaks between.
+    """
+    rows = hits.join(records.select("memory_id", F.length(context_line(F.col("confidence"))).alias("chars")), "memory_id")
     order = Window.partitionBy("query_id").orderBy(F.when(F.col("channel") == "profile", 0).otherwise(1), "fused_rank")
-    rows = rows.withColumn("line_no", F.row_number().over(order)).withColumn("used_chars", F.sum(F.col("chars") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    frame = len(CONTEXT_HEAD) + 1 + len(CONTEXT_TAIL)
+    rows = rows.withColumn("line_no", F.row_number().over(order)).withColumn("used_chars", F.sum(F.col("chars") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0)) + frame)
     return rows.filter(F.col("used_chars") <= budget).select("query_id", "memory_id", "line_no", "used_chars")
 
 
-def shortlist(extracted: DataFrame, records: DataFrame, as_of: Column, config: SearchConfig = SearchConfig()) -> DataFrame:
+def shortlist(extracted: DataFrame, records: DataFrame, as_of: Column, config: SearchConfig = SearchConfig(), tokenizer: text.Tokenizer = text.tokenize) -> DataFrame:
     """(source_id, memory_id, score, shortlist_rank): of each extracted memory the records it may be reconciled with.
 
     The pool is the owner's recallable records of the same layer (l2_fact or l4_identity); equal cosines are
     ordered by lexical rank.  ``extracted(source_id, tenant_id, user_id, agent_id, layer, content)``.
     """
-    asked = extracted.filter(F.col("layer").isin("l2_fact", "l4_identity")).select(F.col("source_id").alias("query_id"), F.concat_ws("#", scope_key(), "layer").alias("pool"), F.col("content").alias("body"))
-    asked = asked.withColumn("intent", text.intent(F.col("body")))
-    documents = recallable(records, as_of).filter(F.col("layer").isin("l2_fact", "l4_identity")).select(
-        F.concat_ws("#", scope_key(), "layer").alias("pool"), F.lit("all").alias("channel"), "memory_id", search_text().alias("body"), F.coalesce("content", F.lit("")).alias("content")
-    )
-    documents = documents.join(asked.select("pool").distinct(), "pool", "left_semi")
-    hits = fuse(
-        semantic(asked, documents.select("pool", "channel", "memory_id", F.col("content").alias("body")), config.min_semantic_score),
-        bm25(asked, documents, config.bm25_k1, config.bm25_b),
-        asked, records.select("memory_id", "updated_at"), config.rrf_k, lexical_breaks_ties=True,
-    )
+    layers = F.col("layer").isin("l2_fact", "l4_identity")
+    stage = Staging(records.sparkSession, "shortlist")
+    pool = F.concat_ws("#", scope_key(), "layer").alias("pool")
+    asked = extracted.filter(layers).select(F.col("source_id").alias("query_id"), pool, text.intent(F.col("content")).alias("intent"), tokenizer(F.col("content")).alias("tokens"), F.col("content").alias("body"))
+    asked = stage.cut(with_cells(asked, "body"))
+    documents = recallable(records, as_of).filter(layers).select(pool, F.lit("all").alias("channel"), "memory_id", "updated_at", tokenizer(search_text()).alias("tokens"), F.coalesce("content", F.lit("")).alias("body"))
+    ready = Prepared(asked, stage.cut(with_cells(documents.join(asked.select("pool").distinct(), "pool", "left_semi"), "body")))
+    lexical_hits = bm25_of(ready.asked, ready.documents, config.bm25_k1, config.bm25_b).join(closed_lexical(ready.asked, ready.documents), "query_id", "left_anti")
+    semantic_hits = semantic_of(ready.asked.select("query_id", "pool", "dims", "cells"), ready.documents.select("pool", "channel", "memory_id", "dims", "cells"), config.min_semantic_score)
+    hits = fuse(semantic_hits, lexical_hits, ready.asked, ready.documents.select("memory_id", "updated_at").distinct(), config.rrf_k, lexical_breaks_ties=True)
     return hits.filter(F.col("fused_rank") <= config.reconcile_limit).select(F.col("query_id").alias("source_id"), "memory_id", "score", F.col("fused_rank").alias("shortlist_rank"))

@@ -2,7 +2,7 @@
 
 AS_OF = "2025-06-01 00:00:00"
 
-SCOPE = "coalesce(tenant_id, '') || '|' || coalesce(user_id, '') || '|' || coalesce(agent_id, '')"
+SCOPE = "to_json([coalesce(tenant_id, ''), coalesce(user_id, ''), coalesce(agent_id, '')])::VARCHAR"
 
 REC = f"""rec AS (
   SELECT *, {SCOPE} AS scope FROM memory_record QUALIFY row_number() OVER (PARTITION BY memory_id ORDER BY ingested_at) = 1)"""
@@ -48,6 +48,7 @@ def feature_hashes(x: str) -> str:
     return f"list_transform({feats}, lambda f: {fnv})"
 
 
+# The intent patterns and terms, and the hash parameters above.
 INTENT = """CASE
   WHEN regexp_matches({x}, '`[^`]+`|"[^"]{{2,}}"|''[^'']{{2,}}''')
     OR regexp_matches({x}, '[/\\\\][A-Za-z0-9_.-]+[/\\\\]|https?://\\S+')

@@ -7,7 +7,11 @@ read it back: a lost executor then costs a task, never the loop.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +36,33 @@ def shared_folder(spark: SparkSession) -> str:
         raise RuntimeError(f"{_KEY} must name a shared folder on a cluster")
     if not _local_folder:
         _local_folder.append(tempfile.mkdtemp(prefix="mnemospark-"))
+        atexit.register(shutil.rmtree, _local_folder[0], True)
     return "file://" + _local_folder[0]
 
 
+_lock = threading.Lock()
+_writers = 0
+_before = "false"
+
+
+@contextlib.contextmanager
+def _cleaning(spark: SparkSession):
+    """The session deletes shuffle files of finished plans while any staging write runs, also of several threads."""
+    global _writers, _before
+    with _lock:
+        if not _writers:
+            _before = spark.conf.get(_CLEANUP, "false")
+            spark.conf.set(_CLEANUP, "true")
+        _writers += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writers -= 1
+            if not _writers:
+                spark.conf.set(_CLEANUP, _before)
+
+
 class Staging:
     """A folder for the intermediate tables of one operator call."""
 
@@ -42,6 +70,11 @@ class Staging:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        # results are read lazily, so what is not dropped before goes when the session's process ends
+        target = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(target)
+        files.deleteOnExit(target)
 
     def cut(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
         """Write ``df`` once and return the table read back, with ``staged_path`` naming its place.
@@ -54,12 +87,8 @@ class Staging:
         writer = df.write.mode("overwrite").option("compression", "zstd")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        before = self.spark.conf.get(_CLEANUP, "false")
-        self.spark.conf.set(_CLEANUP, "true")
-        try:
+        with _cleaning(self.spark):
             writer.parquet(path)
-        finally:
-            self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(schema).parquet(path)
         out.staged_path = path
         return out

@@ -1,9 +1,10 @@
 import datetime as dt
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
-from mnemospark.operators import evolution, graph_checks, metrics, retrieval
+from mnemospark.operators import metrics, retrieval
 from tests.test_store_and_streams import records
 
 T0 = dt.datetime(2025, 1, 1)
@@ -33,8 +34,10 @@ def test_prefilter_and_quotas(spark):
     by = {h.channel: h.memory_id for h in hits}
     assert len(hits) == 2 and by["profile"] in {"m0", "m1"} and by["normal"] in {"m2", "m3"}
     assert all(("profile" in h.matched_by) == (h.channel == "profile") for h in hits)
-    told = retrieval.diagnostics(retrieval.search(rows, queries(spark, "tea"), F.lit("2025-02-01").cast("timestamp"), config), queries(spark, "tea", "!!!"), 60.0).collect()
+    ready = retrieval.prepare(rows, queries(spark, "tea", "!!!"), F.lit("2025-02-01").cast("timestamp"))
+    told = retrieval.diagnostics(retrieval.search_prepared(ready, config), ready, 60.0).collect()
     assert {t.query_id: t.confidence > 0 for t in told} == {"q0": True, "q1": False}
+    assert {t.degraded for t in told} == {"semantic:portable-hash,tag:unavailable"}
     assert retrieval.search(rows.limit(0), queries(spark, "tea"), F.lit("2025-02-01").cast("timestamp")).count() == 0
 
 
@@ -64,17 +67,58 @@ def test_metric_variants(spark):
     assert metrics.golden(rankings.limit(0), labels.limit(0)).first().mrr10 == 0
 
 
-def test_transitions_keep_the_graph_whole(spark):
-    rows = records(spark, 3).withColumn("source_type", F.lit("explicit"))
-    plan = spark.createDataFrame([("op1", "SUPERSEDE", "raw", "new", "l2_fact", 0.9, ["m0"]), ("op2", "CONSOLIDATE", "raw", "both", "l2_fact", 0.8, ["m1", "m2"])],
-                                 "op_id string, kind string, raw_id string, content string, layer string, confidence double, target_ids array<string>")
-    heads, targets = evolution.new_heads(rows, plan, F.lit("2025-03-01").cast("timestamp"))
-    heads, targets = heads.collect(), targets.collect()
-    assert {tuple(h.supersedes) + tuple(h.consolidates) for h in heads} == {("m0",), ("m1", "m2")} and all(h.revision == 2 for h in heads)
-    assert {t.memory_id for t in targets} == {"m0", "m1", "m2"} and all(t.status == "superseded" and len(t.superseded_by) == 1 for t in targets)
-    planted = rows.withColumn("supersedes", F.when(F.col("memory_id") == "m0", F.array(F.lit("m1"), F.lit("none"))).otherwise(F.col("supersedes")))
-    codes = {(r.code, r.memory_id, r.other_id) for r in graph_checks.all_violations(planted).collect()}
-    assert {("c2", "m0", "none"), ("c5_forward", "m0", "m1"), ("c7", "m0", "m1"), ("c8", "m1", "m0")} <= codes
-    assert graph_checks.all_violations(rows).count() == 0
-    seen = {r.operation for r in evolution.observe_operation(rows.limit(0), rows).collect()}
-    assert seen == {"ADD"}
+def test_a_failed_tokenizer_closes_the_lexical_channel(spark):
+    at = F.lit("2025-02-01").cast("timestamp")
+    rows = records(spark, 3).withColumn("content", F.when(F.col("memory_id") == "m1", F.lit("x" * 300 + " tea")).otherwise(F.col("content")))
+    ready = retrieval.prepare(rows, queries(spark, "likes tea"), at)
+    hits = retrieval.search_prepared(ready)
+    assert {h.matched_by for h in hits.collect()} == {"semantic"}
+    assert retrieval.diagnostics(hits, ready, 60.0).first().degraded == "lexical:tokenizer-unavailable,semantic:portable-hash,tag:unavailable"
+
+
+def test_trained_space(spark):
+    at = F.lit("2025-02-01").cast("timestamp")
+    rows = records(spark, 4)
+    kept = [("m0", "s", 2, [1.0, 0.0]), ("m1", "s", 2, [0.6, 0.8]), ("m2", "s", 2, [0.0, 0.0]), ("m3", "other", 3, [1.0, 0.0, 0.0]), ("m3", "s", 2, [-1.0, 0.0])]
+    stored = spark.createDataFrame(kept, "memory_id string, space_id string, dimensions int, vector array<float>")
+    asked = spark.createDataFrame([("q0", [1.0, 0.0])], "query_id string, vector array<float>")
+    space = retrieval.Space("s", 2, stored, asked)
+    ready = retrieval.prepare(rows, queries(spark, "zzz", "zzz"), at)
+    hits = retrieval.search_prepared(ready, space=space)
+    assert [(h.query_id, h.memory_id) for h in hits.orderBy("fused_rank").collect()] == [("q0", "m0"), ("q0", "m1")]
+    told = {r.query_id: r.degraded for r in retrieval.diagnostics(hits, ready, 60.0, space).collect()}
+    assert told == {"q0": "tag:unavailable", "q1": "semantic:provider-unavailable,tag:unavailable"}
+    with pytest.raises(retrieval.SpaceMismatch):
+        retrieval.search_prepared(ready, space=retrieval.Space("s", 3, stored, asked))
+
+
+def test_marks_in_ids_keep_owners_apart(spark):
+    rows = records(spark, 2).withColumn("user_id", F.when(F.col("memory_id") == "m0", "a|b").otherwise("a")).withColumn("agent_id", F.when(F.col("memory_id") == "m0", "c").otherwise("b|c"))
+    assert rows.select(retrieval.scope_key()).distinct().count() == 2
+    asked = queries(spark, "tea").withColumn("user_id", F.lit("a|b")).withColumn("agent_id", F.lit("c"))
+    assert [h.memory_id for h in retrieval.search(rows, asked, F.lit("2025-02-01").cast("timestamp")).collect()] == ["m0"]
+
+
+def test_context_counts_its_frame(spark):
+    rows = records(spark, 2)
+    hits = spark.createDataFrame([("q", "normal", "m0", 1), ("q", "normal", "m1", 2)], "query_id string, channel string, memory_id string, fused_rank int")
+    text = "\n".join([retrieval.CONTEXT_HEAD, "- [m0] (l2_fact, confidence 0.50) likes tea number0", retrieval.CONTEXT_TAIL])
+    got = retrieval.pack_context(hits, rows, len(text)).collect()
+    assert [(r.memory_id, r.used_chars) for r in got] == [("m0", len(text))]
+    assert retrieval.pack_context(hits, rows, len(text) - 1).count() == 0
+
+
+def test_fixed_digits(spark):
+    rows = spark.createDataFrame([(0.8333335,), (0.0078125,), (1 / 3,), (1234567.25,)], "x double").select(metrics.to_fixed(F.col("x")).alias("y")).collect()
+    assert [r.y for r in rows] == [0.833333, 0.007813, 0.333333, 1234567.25]
+
+
+def test_lifecycle_rates(spark):
+    cols = "language string, fault_scenario string, expected string, observed string, receipt_status string, duplicate_measured boolean, no_new_active_derived boolean, evidence_attached boolean"
+    rows = [("zh", "nominal", "SUPERSEDE", "SUPERSEDE", "completed", True, True, True), ("en", "nominal", "ADD", "SUPERSEDE", "completed", True, True, False), ("en", "nominal", "ADD", None, "completed", False, True, True), ("en", "nominal", None, "ADD", "completed", False, True, True), ("en", "invalid_json", "ADD", None, "degraded", False, True, False)]
+    seen = spark.createDataFrame(rows, cols)
+    c = {r.language: (r.true_positive, r.true_negative, r.false_positive, r.false_negative, r.accuracy) for r in metrics.confusion(seen).collect()}
+    assert c == {None: (1, 1, 1, 0, 0.666667), "zh": (1, 0, 0, 0, 1.0), "en": (0, 1, 1, 0, 0.5)}
+    assert {r.language: (r.total, r.compressed, r.value) for r in metrics.compression(seen).collect()} == {None: (2, 1, 0.5), "zh": (1, 1, 1.0), "en": (1, 0, 0.0)}
+    assert {r.fault_scenario: (r.accepted, r.degraded) for r in metrics.degradation(seen).collect()} == {"nominal": (4, 0), "injected_model_failure": (0, 0), "invalid_json": (1, 1), "schema_failure": (0, 0)}
+    assert metrics.confusion(seen.limit(0)).count() == 3

@@ -33,6 +33,52 @@ def test_compare_and_set(spark, tmp_path):
     assert s.read().count() == 2 and s.read(1).count() == 4
 
 
+def test_a_lost_race_leaves_the_winner_alone(spark, tmp_path):
+    """Two writers that have both seen revision 0: the second one's rows are not what readers of revision 1 see."""
+    one, two = (store.SnapshotStore(spark, f"file://{tmp_path}/race") for _ in range(2))
+    late = two._publish
+    two._publish = lambda revision, folders: (one.write(records(spark, 4), 0), late(revision, folders))[1]
+    with pytest.raises(store.RevisionConflict):
+        two.write(records(spark, 1), 0)
+    assert one.revision() == 1 and one.read().count() == 4 and two.read(1).count() == 4
+
+
+def test_a_bad_state_is_not_committed(spark, tmp_path):
+    m = Memory(spark, f"file://{tmp_path}/bad")
+    with pytest.raises(store.InvalidState):
+        m.import_records(records(spark, 2).withColumn("supersedes", F.array(F.lit("nowhere"))))
+    assert m.store.revision() == 0
+    for fault in (dict(layer="l9_other"), dict(user_id="else")):
+        with pytest.raises(ValueError):
+            m.import_records(records(spark, 1, **fault), Scope("u"))
+    vectors = spark.createDataFrame([("m0", "s", 2, [1.0, 0.0])], store.EMBEDDING_SCHEMA)
+    with pytest.raises(ValueError):
+        m.import_records(records(spark, 1), Scope("u"), vectors, ("t", 2))
+    assert m.import_records(records(spark, 1), Scope("u"), vectors, ("s", 2)) == 1
+    assert m.export(Scope("u")).first().embeddings[0].vector == [1.0, 0.0]
+    with pytest.raises(ValueError):
+        store.import_records(m.records, records(spark, 2).unionByName(records(spark, 2, content="other")))
+
+
+def test_writes_through_the_facade(spark, tmp_path):
+    m = Memory(spark, f"file://{tmp_path}/w")
+    cols = "idempotency_key string, tenant_id string, user_id string, agent_id string, source_session_id string, content string, layer string, occurred_at timestamp, tags array<string>, turns array<bigint>"
+    asked = spark.createDataFrame([("k", None, "u", "default", "s", "green tea", "l2_fact", None, ["tea"], [1])], cols)
+    (receipt,) = m.add(asked, "2025-01-02T03:04:05Z").collect()
+    assert receipt.status == "completed" and m.store.revision() == 2
+    assert m.add(asked, "2025-01-03").first().replayed and m.store.revision() == 2
+    target = receipt.created_memory_ids[0]
+    change = spark.createDataFrame([("c", None, "u", "default", "s", target, "correct", "black tea")], "idempotency_key string, tenant_id string, user_id string, agent_id string, source_session_id string, target_id string, action string, content string")
+    (revised,) = m.revise(change, "2025-01-04").collect()
+    assert m.store.revision() == 4 and m.get(target, Scope("u")).first().status == "superseded"
+    record, proof, past = m.inspect(revised.created_memory_ids[0], Scope("u"))
+    assert record.first().content == "black tea" and proof.count() == 1 and [r.relative_id for r in past.collect()] == [target]
+    assert {r.status for r in m.store.read(table="jobs").collect()} == {"completed"}
+    for bad in ("yesterday", "2025-13-01", None):
+        with pytest.raises(InvalidInput):
+            m.search("tea", Scope("u"), bad)
+
+
 def test_import(spark):
     held = records(spark, 2)
     assert store.import_records(held, records(spark, 3)).count() == 3
@@ -125,9 +171,9 @@ def test_recent_ring_and_windows_equal_batch(spark, tmp_path):
     rows = [[("a", i, T0 + dt.timedelta(minutes=i)) for i in range(k, k + 30)] for k in (0, 30)]
     stream = _stream(spark, tmp_path, rows, schema)
     seen = []
-    capture.write_jobs(capture.recent_by_scope(stream, 5).writeStream and stream, lambda df, i: seen.append((i, df.count())), str(tmp_path / "cp1")).awaitTermination(90)
+    capture.write_jobs(stream, lambda df, i: seen.append((i, df.count())), str(tmp_path / "cp1")).awaitTermination(90)
     assert sum(n for _, n in seen) == 60
-    ring = capture.recent_by_scope(_stream2(spark, tmp_path, schema), 5)
+    ring = capture.recent_by_scope(_stream2(spark, tmp_path, schema).withWatermark("ts", "1 hour"), 5)
     ring.writeStream.outputMode("update").format("memory").queryName("ring").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start().awaitTermination(120)
     last = spark.sql("SELECT event_id FROM ring ORDER BY ts_us DESC, place LIMIT 1").first().event_id
     assert last == 59
@@ -141,8 +187,18 @@ def _stream2(spark, tmp_path, schema):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
 
 
-def test_stream_static_recall(spark, tmp_path):
-    stream = _stream(spark, tmp_path, [[("u", "q1")], [("w", "q2")]], "user_id string, query_id string")
-    out = str(tmp_path / "o")
-    capture.recalls(stream, records(spark).select("user_id", "memory_id"), ["user_id"]).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(90)
-    assert spark.read.parquet(out).count() == 4
+def test_stream_recall_ranks(spark, tmp_path):
+    schema = "query_id string, tenant_id string, user_id string, agent_id string, session_id string, session_only boolean, query_text string"
+    stream = _stream(spark, tmp_path, [[("q1", None, "u", "default", None, False, "tea number2")], [("q2", None, "w", "default", None, False, "tea")]], schema)
+    got = []
+    capture.recalls(stream, lambda: records(spark), lambda hits, i: got.extend(hits.collect()), str(tmp_path / "c"), F.lit("2025-02-01").cast("timestamp")).awaitTermination(120)
+    assert {h.query_id for h in got} == {"q1"} and min(got, key=lambda h: h.fused_rank).memory_id == "m2"
+
+
+def test_order_within_scopes_and_ring_of_all(spark):
+    cols = "tenant_id string, user_id string, agent_id string, ts timestamp, capture_key string"
+    batch = spark.createDataFrame([(None, "u", "a", T0, "k2"), (None, "u", "a", T0, "k1"), (None, "v", "a", T0, "k3")], cols)
+    assert {r.capture_key: r.turn_in_scope for r in capture.in_scope_order(batch).collect()} == {"k1": 1, "k2": 2, "k3": 1}
+    events = lambda lo, hi: spark.createDataFrame([("s", i, T0 + dt.timedelta(minutes=i)) for i in range(lo, hi)], "scope string, event_id long, ts timestamp")
+    ring = capture.last_of_all(events(0, 6), events(4, 9), 5)
+    assert sorted(r.event_id for r in ring.collect()) == [4, 5, 6, 7, 8]
