@@ -213,7 +213,8 @@ def semantic_of(asks: DataFrame, docs: DataFrame, least: float, width: int = tex
     docs = docs.join(grid, ["pool", "channel"]).withColumn("doc_block", part("memory_id", "doc_blocks")).withColumn("ask_block", each("ask_blocks"))
     asks = asks.join(grid, "pool").withColumn("ask_block", part("query_id", "ask_blocks")).withColumn("doc_block", each("doc_blocks"))
     keys = ["pool", "channel", "doc_block", "ask_block"]
-    left, right = asks.select(*keys, "query_id", "dims", "cells"), docs.select(*keys, "memory_id", "dims", "cells")
+    named = [F.col(k).alias(k) for k in keys]  # both sides may stem from one table
+    left, right = asks.select(*named, "query_id", "dims", "cells"), docs.select(*named, "memory_id", "dims", "cells")
 
     def score(key: tuple, a: pa.Table, d: pa.Table) -> pa.Table:
         kinds = pa.schema([("query_id", pa.string()), ("pool", pa.string()), ("channel", pa.string()), ("memory_id", pa.string()), ("semantic", pa.float64())])
