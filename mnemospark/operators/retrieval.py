@@ -387,7 +387,7 @@ CONTEXT_TAIL = "</memory-recall>"
 
 
 def context_line(confidence: Column) -> Column:
-    shown = F.format_string("%.2f", F.bround(confidence, 6))
+    shown = F.when(confidence.isNotNull(), F.format_string("%.2f", F.bround(confidence, 6)))
     return F.concat(F.lit("- ["), F.col("memory_id"), F.lit("] ("), F.col("layer"), F.lit(", confidence "), F.coalesce(shown, F.lit("")), F.lit(") "), F.coalesce("content", F.lit("")))
 
 
