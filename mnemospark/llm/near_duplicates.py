@@ -15,7 +15,7 @@ the first shared word would be rare too).  Slots keep the paths few: at 36 words
 a content where all paths of two words would be more than 100.  The depth d follows the number of contents,
 the slots follow the size of the larger content; both contents of a pair know both numbers.
 
-Members of a block are compared by size and by the distance of 112-bit parity sketches, which is at
+Members of a block are compared by size and by the distance of 132-bit parity sketches, which is at
 most the Hamming distance of the sets, so nothing is lost here either; a second sketch of 128 bits sorts
 out what looked close by chance, and then the Hamming distance of the full sets of 64-bit word codes is
 verified.  Blocks of more than ``hot_block`` members are compared in a
@@ -59,6 +59,9 @@ COMMON = 0.025
 #: Sizes from here on are kept as this one in a block row, and such contents are compared on their full sets only.
 LONG = 0x7FFF
 
+#: Bits of a block's column beside the block's own 43, which hold the last cells of the member's sketch.
+SPARE = 20
+
 #: Blocks above this are compared by matrices, smaller ones many at a time.
 SMALL_BLOCK = 48
 
@@ -154,12 +157,13 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sketch(code: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Two words a set: the parities of 112 cells that its words fall into, then 15 bits of size (the last bit is free)."""
-    out = np.zeros((2, len(sizes)), dtype=np.uint64)
+    """Three words a set: the parities of 132 cells that its words fall into; the second holds 48 and 15 bits of size (its last bit is free), the third ``SPARE``."""
+    out = np.zeros((3, len(sizes)), dtype=np.uint64)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-    cell = _mix(code + np.uint64(0x51ED27)) % np.uint64(112)
-    for j in range(2):
-        bit = np.where(cell >> np.uint64(6) == j, np.uint64(1) << (cell & np.uint64(63)), np.uint64(0))
+    cell = _mix(code + np.uint64(0x51ED27)) % np.uint64(112 + SPARE)
+    for j, (lo, hi) in enumerate([(0, 64), (64, 112), (112, 112 + SPARE)]):
+        inside = (cell >= lo) & (cell < hi)
+        bit = np.where(inside, np.uint64(1) << np.where(inside, cell - np.uint64(lo), np.uint64(0)), np.uint64(0))
         out[j] = np.bitwise_xor.reduceat(bit, starts)
     out[1] |= np.minimum(sizes, LONG).astype(np.uint64) << np.uint64(48)
     return out
@@ -256,7 +260,7 @@ def _blocks_of(n: np.ndarray, start: np.ndarray, slots: np.ndarray, depth: np.nd
     return np.r_[which[alone], which_c[head][seg]], np.r_[one, block]
 
 
-_BLOCK_MASK = np.uint64((1 << 53) - 1)
+_BLOCK_MASK = np.uint64((1 << 43) - 1)
 
 
 def _block_rows(counts: np.ndarray, total: float, need: float, depth: int, threshold: float, part: int, parts: int):
@@ -296,11 +300,11 @@ def _block_rows(counts: np.ndarray, total: float, need: float, depth: int, thres
                 doc = which[own]
                 role, block = _blocks_of(sizes[doc], first[doc], slots[own], deep[own], least[own], code, weight, need, mine)
                 # of a set's equal blocks one that is no guest's comes first
-                key = np.sort((doc[role] - lo).astype(np.uint64) << np.uint64(54) | (block & _BLOCK_MASK) << np.uint64(1) | guest[own][role])
+                key = np.sort((doc[role] - lo).astype(np.uint64) << np.uint64(44) | (block & _BLOCK_MASK) << np.uint64(1) | guest[own][role])
                 key = key[np.r_[True, key[1:] >> np.uint64(1) != key[:-1] >> np.uint64(1)][: len(key)]]
-                doc = lo + (key >> np.uint64(54)).astype(np.int64)
+                doc = lo + (key >> np.uint64(44)).astype(np.int64)
                 last = sketch[1, doc] | (key & np.uint64(1)) << np.uint64(63)
-                found = ((key >> np.uint64(1)) & _BLOCK_MASK, ids[doc], sketch[0, doc], last)
+                found = (((key >> np.uint64(1)) & _BLOCK_MASK) << np.uint64(SPARE) | sketch[2, doc], ids[doc], sketch[0, doc], last)
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in found], names=["block", "set_id", "sketch_a", "sketch_b"])
 
     return run
@@ -344,7 +348,7 @@ def _close_pairs(threshold: float, most: int | None):
         """Pairs of an owner and a member that is not larger, of lists sorted by size."""
         n = _size(small[2])
         owners = (large[2] & _GUEST) == 0
-        ids, x, y = (z[owners] for z in large)
+        ids, x, y, e = (z[owners] for z in large)
         m = _size(y)
         y, bits, host = y & _BITS, small[2] & _BITS, (small[2] & _GUEST) == 0
         # in eight bits first: no bound is above the 112 cells, and two rounded halves lose at most one
@@ -360,29 +364,29 @@ def _close_pairs(threshold: float, most: int | None):
             differ -= of_large[lo:hi, None]
             p, q = np.divmod(np.flatnonzero(differ.view(np.int8) <= of_small[None, i:j]), j - i)
             a, b, k, l = ids[lo:hi][p], small[0][i:j][q], m[lo:hi][p], n[i:j][q]
-            apart = differ[p, q].view(np.int8) + of_large[lo:hi][p].astype(np.int64)
+            apart = differ[p, q].view(np.int8) + of_large[lo:hi][p].astype(np.int64) + np.bitwise_count(e[lo:hi][p] ^ small[3][i:j][q])
             good = (a != b) & (l >= threshold * k - 1e-6) & ((apart <= share * (k + l) + 1e-3) | (k >= LONG))
             good &= (k != l) | (a < b) | ~host[i:j][q]  # of equal sizes one order is enough
             if good.any():
                 yield _found(np.minimum(a[good], b[good]), np.maximum(a[good], b[good]), None)
 
-    def pairs(block: np.ndarray, ids: np.ndarray, x: np.ndarray, y: np.ndarray, side: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(block: np.ndarray, ids: np.ndarray, x: np.ndarray, y: np.ndarray, side: np.ndarray, e: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
         size = np.diff(np.r_[starts, len(block)])
         per = np.repeat(size, size)
         crowded = per > most if most else np.zeros(len(per), dtype=bool)
         if crowded.any():
-            yield _found(ids[crowded], None, (block[crowded], x[crowded], y[crowded]))
+            yield _found(ids[crowded], None, (block[crowded] << SPARE | e[crowded].view(np.int64), x[crowded], y[crowded]))
         for at, k in zip(starts, size):
             if k > SMALL_BLOCK and not crowded[at]:
                 order = at + np.argsort(_size(y[at : at + k]), kind="stable")
                 parts = [order] if side[at] == 0 else [order[side[order] == 1], order[side[order] == 2]]
-                one, two = ([z[i] for z in (ids, x, y)] for i in (parts[0], parts[-1]))
+                one, two = ([z[i] for z in (ids, x, y, e)] for i in (parts[0], parts[-1]))
                 yield from sweep(one, two)
                 if len(parts) > 1:
                     yield from sweep(two, one)
         keep = (per > 1) & (per <= SMALL_BLOCK) & ~crowded
-        block, ids, x, y, side = block[keep], ids[keep], x[keep], y[keep], side[keep]
+        block, ids, x, y, side, e = (z[keep] for z in (block, ids, x, y, side, e))
         n, at, step = _size(y), np.arange(len(block)), 1
         while True:
             at = at[at < len(block) - step]
@@ -390,7 +394,7 @@ def _close_pairs(threshold: float, most: int | None):
             if not len(at):
                 return
             to = at + step
-            differ = np.bitwise_count(x[at] ^ x[to]) + np.bitwise_count((y[at] ^ y[to]) & _BITS)
+            differ = np.bitwise_count(x[at] ^ x[to]) + np.bitwise_count((y[at] ^ y[to]) & _BITS) + np.bitwise_count(e[at] ^ e[to])
             small, large = np.minimum(n[at], n[to]), np.maximum(n[at], n[to])
             close = ((differ <= share * (small + large) + 1e-3) | (large >= LONG)) & (small >= threshold * large - 1e-6)
             close &= (ids[at] != ids[to]) & ((y[at] & y[to] & _GUEST) == 0) & ((side[at] == 0) | (side[at] != side[to]))
@@ -403,14 +407,15 @@ def _close_pairs(threshold: float, most: int | None):
         rest: list[np.ndarray] | None = None
         for batch in batches:
             now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
-            now = [now[0], now[1], now[2].view(np.uint64), now[3].view(np.uint64), now[4] if len(now) > 4 else np.zeros(len(now[0]), dtype=np.int32)]
+            side = now[4] if len(now) > 4 else np.zeros(len(now[0]), dtype=np.int32)
+            now = [now[0] >> SPARE, now[1], now[2].view(np.uint64), now[3].view(np.uint64), side, (now[0] & ((1 << SPARE) - 1)).view(np.uint64)]
             if rest is not None:
                 now = [np.concatenate(z) for z in zip(rest, now)]
             cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
             if most and len(now[0]) - cut > 8 * most:  # the last block is hot whatever follows: pass on what is here
                 last = slice(len(now[0]) - most - 1, None)  # enough stays to know it as hot
                 gone = slice(cut, last.start)
-                yield _found(now[1][gone], None, (now[0][gone], now[2][gone], now[3][gone]))
+                yield _found(now[1][gone], None, (now[0][gone] << SPARE | now[5][gone].view(np.int64), now[2][gone], now[3][gone]))
                 rest = [z[last] for z in now]
             else:
                 rest = [z[cut:] for z in now]
@@ -438,7 +443,7 @@ def _close_pairs(threshold: float, most: int | None):
 
 def _candidates(blocks: DataFrame, threshold: float, most: int | None) -> DataFrame:
     """Set ids a < b that share a block and have close sketches; or a member of a hot block, with its sketch."""
-    placed = blocks.repartition(F.col("block")).sortWithinPartitions("block")
+    placed = blocks.repartition(F.shiftright("block", SPARE)).sortWithinPartitions("block")
     return placed.mapInArrow(_close_pairs(threshold, most), _FOUND)
 
 
@@ -488,12 +493,13 @@ def similar_sets(sets: DataFrame, threshold: float = THRESHOLD, hot_block: int =
 
 def _hot_pairs(hot: DataFrame, threshold: float, hot_block: int) -> DataFrame:
     """Candidates within hot blocks ``hot(block, set_id, sketch_a, sketch_b)``: members are dealt to parts, and every two parts of a block meet in a cell."""
+    hot = hot.withColumn("cells", F.col("block").bitwiseAND((1 << SPARE) - 1)).withColumn("block", F.shiftright("block", SPARE))
     parts = hot.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / hot_block).cast("int").alias("parts"))
     dealt = hot.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("block", "set_id"), "parts").cast("int"))
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     block = F.xxhash64("block", F.least("part", "other"), F.greatest("part", "other"))
     side = F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2)
-    return _pairs_of(_candidates(cells.select(block.alias("block"), "set_id", "sketch_a", "sketch_b", side.cast("int").alias("side")), threshold, None))
+    return _pairs_of(_candidates(cells.select(F.shiftleft(block.bitwiseAND(int(_BLOCK_MASK)), SPARE).bitwiseOR(F.col("cells")).alias("block"), "set_id", "sketch_a", "sketch_b", side.cast("int").alias("side")), threshold, None))
 
 
 def _prepared(rows: DataFrame, threshold: float, hot_block: int) -> tuple[DataFrame, DataFrame]:
@@ -501,7 +507,7 @@ def _prepared(rows: DataFrame, threshold: float, hot_block: int) -> tuple[DataFr
     stage = Staging(rows.sparkSession, "word-sets")
     named = stage.cut(word_sets(rows).withColumn("n", F.monotonically_increasing_id()))
     first = named.groupBy("hash_a", "hash_b").agg(F.min("n").alias("set_id"))
-    member = stage.cut(named.select("n", "row_id", "hash_a", "hash_b").join(first, ["hash_a", "hash_b"]).select("n", "row_id", "set_id"))
+    member = stage.cut(named.select("n", "row_id", "hash_a", "hash_b").join(first.hint("merge"), ["hash_a", "hash_b"]).select("n", "row_id", "set_id"))
     copies = member.filter("n <> set_id").select("n")
     sets = stage.cut(named.select("n", "codes").join(copies, "n", "left_anti").select(F.col("n").alias("set_id"), "codes"))
     stage.drop(named)
@@ -513,8 +519,8 @@ def near_duplicate_pairs(rows: DataFrame, threshold: float = THRESHOLD, hot_bloc
     member, pairs = _prepared(rows, threshold, hot_block)
     left = member.select(F.col("row_id").alias("x"), F.col("set_id").alias("a"))
     right = member.select(F.col("row_id").alias("y"), F.col("set_id").alias("b"))
-    across = pairs.select("a", "b").join(left, "a").join(right, "b").select("x", "y")
-    within = left.join(right, F.col("a") == F.col("b")).filter("x < y").select("x", "y")
+    across = pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("x", "y")
+    within = left.join(right.hint("merge"), F.col("a") == F.col("b")).filter("x < y").select("x", "y")
     out = across.unionByName(within).filter("x <> y").select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b"))
     return out.distinct()
 
