@@ -507,11 +507,13 @@ def _prepared(rows: DataFrame, threshold: float, hot_block: int) -> tuple[DataFr
     stage = Staging(rows.sparkSession, "word-sets")
     named = stage.cut(word_sets(rows).withColumn("n", F.monotonically_increasing_id()))
     first = named.groupBy("hash_a", "hash_b").agg(F.min("n").alias("set_id"))
-    member = stage.cut(named.select("n", "row_id", "hash_a", "hash_b").join(first.hint("merge"), ["hash_a", "hash_b"]).select("n", "row_id", "set_id"))
-    copies = member.filter("n <> set_id").select("n")
+    placed = stage.cut(named.select("n", "row_id", "hash_a", "hash_b").join(first.hint("merge"), ["hash_a", "hash_b"]).select("n", "row_id", "set_id"))
+    copies = placed.filter("n <> set_id").select("n")
     sets = stage.cut(named.select("n", "codes").join(copies, "n", "left_anti").select(F.col("n").alias("set_id"), "codes"))
+    member = stage.cut(placed.select("row_id", "set_id").distinct())
     stage.drop(named)
-    return member.select("row_id", "set_id").distinct(), similar_sets(sets, threshold, hot_block)
+    stage.drop(placed)
+    return member, similar_sets(sets, threshold, hot_block)
 
 
 def near_duplicate_pairs(rows: DataFrame, threshold: float = THRESHOLD, hot_block: int = HOT_BLOCK) -> DataFrame:
@@ -519,8 +521,10 @@ def near_duplicate_pairs(rows: DataFrame, threshold: float = THRESHOLD, hot_bloc
     member, pairs = _prepared(rows, threshold, hot_block)
     left = member.select(F.col("row_id").alias("x"), F.col("set_id").alias("a"))
     right = member.select(F.col("row_id").alias("y"), F.col("set_id").alias("b"))
-    across = pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("x", "y")
-    within = left.join(right.hint("merge"), F.col("a") == F.col("b")).filter("x < y").select("x", "y")
+    across = pairs.select("a", "b").join(left, "a").join(right, "b").select("x", "y")
+    # rows of equal sets: only the sets of several rows go into the join
+    shared = member.groupBy("set_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("set_id").alias("a"))
+    within = left.join(shared, "a", "left_semi").join(right, F.col("a") == F.col("b")).filter("x < y").select("x", "y")
     out = across.unionByName(within).filter("x <> y").select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b"))
     return out.distinct()
 

@@ -1,7 +1,8 @@
 """The k most similar vectors of every vector, by NN-descent (problem 4).
 
-A neighbour graph is begun from random sign-hyperplane leaves (a few tables of leaves of about
-``LEAF`` vectors, all pairs in a leaf scored in one matrix product) and improved by NN-descent: every
+A neighbour graph is begun from random sign-hyperplane leaves (tables of leaves of about ``LEAF`` vectors,
+all pairs in a leaf scored in one matrix product; a leaf costs far less than an iteration, so there are
+``TABLES_PER_BIT`` tables for every bit of a leaf's name) and improved by NN-descent: every
 vector sends itself to the vectors it lists, and all vectors that meet at one (the neighbours of a
 neighbour) are scored against each other; what beats a vector's present k-th similarity is sent to it
 and merged.  Queries from outside walk the graph greedily.
@@ -33,13 +34,18 @@ from mnemospark.plans.staging import Staging
 
 K = 10
 LISTED = 20
-TABLES = 8
+#: Tables of leaves per bit of a leaf's name: the more leaves, the rarer two near vectors share one, so tables grow with the bits.
+TABLES_PER_BIT = 3
+#: Best members of its leaf that a vector takes from each table.
+LEAF_KEEP = 6
 LEAF = 400
 LEAF_MOST = 1600
 MEET_MOST = 96
 MOST_ITERATIONS = 10
 #: NN-descent ends when this share of all listed neighbours, or less, came in the last iteration.
-SETTLED = 0.003
+SETTLED = 0.05
+#: Below this share of fresh edges, points without any are sought out and left out.
+QUIET = 0.05
 SEED = 20240229
 
 _LISTS = "id long, nbr array<long>, sim array<float>, fresh array<boolean>"
@@ -77,7 +83,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _leaf_rows(bits: dict[str, int]):
-    """(id, space, code) to (leaf, id, code), a row for each table."""
+    """(id, space, code) to (leaf, id, code), a row for each table; a leaf's number is made of space, table and signs."""
+    number = {space: i for i, space in enumerate(sorted(bits))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[tuple[int, int, int], np.ndarray] = {}
@@ -87,11 +94,11 @@ def _leaf_rows(bits: dict[str, int]):
                 mine = batch.filter(pa.array(spaces == space))
                 x = _matrix(mine.column("code"))
                 b, dim = bits[space], x.shape[1]
-                for table in range(TABLES):
+                for table in range(_tables(b)):
                     if (table, b, dim) not in planes:
                         planes[table, b, dim] = np.random.default_rng([SEED, table, dim]).normal(size=(dim, max(b, 1))).astype(np.float32)
                     sign = (x @ planes[table, b, dim] > 0).astype(np.int64) @ (1 << np.arange(max(b, 1), dtype=np.int64)) if b else np.zeros(len(x), dtype=np.int64)
-                    leaf = pa.array([f"{space}\x00{table}\x00{s}" for s in sign.tolist()])
+                    leaf = pa.array((np.int64(number[space]) << 48) + (np.int64(table) << 40) + sign)
                     yield pa.RecordBatch.from_arrays([leaf, mine.column("id"), mine.column("code")], names=["leaf", "id", "code"])
 
     return run
@@ -106,17 +113,26 @@ def _lists(ids: np.ndarray, nbr: list[np.ndarray], sim: list[np.ndarray], fresh:
     return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), *parts], names=["id", "nbr", "sim", "fresh"])
 
 
-def _leaf_best(table: pa.Table) -> pa.Table:
-    """All pairs of a leaf: each member's best."""
-    ids = table.column("id").to_numpy()
-    if len(ids) < 2:
-        return pa.Table.from_batches([_lists(np.empty(0), [], [])])
-    x = _matrix(table.column("code").combine_chunks())
-    s = x @ x.T
-    np.fill_diagonal(s, -3.0)
-    keep = min(LISTED * 3 // 4, len(ids) - 1)
-    best = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
-    return pa.Table.from_batches([_lists(ids, list(ids[best]), list(np.take_along_axis(s, best, axis=1)))])
+def _tables(bits: int) -> int:
+    return max(1, TABLES_PER_BIT * bits)
+
+
+def _leaf_best(bits: dict[str, int]):
+    """Function from a leaf, all pairs of which are scored, to each member's best."""
+    keeps = [max(LEAF_KEEP, math.ceil(LISTED / _tables(bits[space]))) for space in sorted(bits)]
+
+    def best_of(key: tuple, table: pa.Table) -> pa.Table:
+        ids = table.column("id").to_numpy()
+        if len(ids) < 2:
+            return pa.Table.from_batches([_lists(np.empty(0), [], [])])
+        x = _matrix(table.column("code").combine_chunks())
+        s = x @ x.T
+        np.fill_diagonal(s, -3.0)
+        keep = min(keeps[key[0].as_py() >> 48], len(ids) - 1)
+        best = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
+        return pa.Table.from_batches([_lists(ids, list(ids[best]), list(np.take_along_axis(s, best, axis=1)))])
+
+    return best_of
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,10 +203,12 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(owner[heads]), *parts], names=["id", "nbr", "sim", "fresh"])
 
 
-def _joined(graph: DataFrame, codes: DataFrame, iteration: int) -> DataFrame:
+def _joined(graph: DataFrame, codes: DataFrame, iteration: int, quiet: bool = False) -> DataFrame:
     """One NN-descent iteration's improvements, as lists to merge.
 
-    Members of a split point were not all together before, so there they count as fresh.
+    Members of a split point were not all together before, so there they count as fresh.  A point that no
+    fresh edge touches has nothing to score; ``quiet`` leaves such points out before vectors are sent, which
+    pays once most edges are old.
     """
     least = F.when(F.size("nbr") >= LISTED, F.element_at("sim", -1)).otherwise(F.lit(-2.0).cast("float"))
     edges = graph.select(F.col("id").alias("from_id"), F.explode(F.arrays_zip("nbr", "fresh")).alias("to")).select("from_id", F.col("to.nbr").alias("to_id"), F.col("to.fresh").alias("fresh"))
@@ -199,7 +217,11 @@ def _joined(graph: DataFrame, codes: DataFrame, iteration: int) -> DataFrame:
     against = edges.select(F.col("to_id").alias("id"), F.col("from_id").alias("at"), "fresh")
     itself = graph.select("id", F.col("id").alias("at"), F.lit(True).alias("fresh"))
     degree = edges.groupBy(F.col("to_id").alias("at")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MEET_MOST).select("at", F.ceil((F.col("n") + LISTED) / MEET_MOST).cast("int").alias("parts"))
-    meet = along.unionByName(against).unionByName(itself).join(codes.select("id", "code").join(graph.select("id", least.alias("least")), "id"), "id")
+    ends = along.unionByName(against)
+    if quiet:
+        live = ends.filter("fresh").select("at").unionByName(degree.select("at")).distinct()
+        ends, itself = ends.join(live, "at", "left_semi"), itself.join(live, "at", "left_semi")
+    meet = ends.select("id", "at", "fresh").unionByName(itself.select("id", "at", "fresh")).join(codes.select("id", "code").join(graph.select("id", least.alias("least")), "id"), "id")
     split = meet.join(degree, "at", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("at", "id", F.lit(iteration)), "parts")).otherwise(F.lit(0)))
     split = split.withColumn("fresh", F.col("fresh") | F.col("parts").isNotNull())
     rows = F.sort_array(F.collect_list(F.struct("id", "code", "least", "fresh")))
@@ -213,18 +235,19 @@ def neighbour_graph(vectors: DataFrame, stage: Staging, most_iterations: int = M
     sizes = {r["space"]: r["n"] for r in numbered.groupBy("space").agg(F.count(F.lit(1)).alias("n")).collect()}
     bits = {space: max(0, round(math.log2(n / LEAF))) if n > LEAF else 0 for space, n in sizes.items()}
     codes = stage.cut(numbered.select("id", "space", "vector").mapInArrow(_codes, "id long, space string, code binary"))
-    leaves = codes.mapInArrow(_leaf_rows(bits), "leaf string, id long, code binary")
+    leaves = codes.mapInArrow(_leaf_rows(bits), "leaf long, id long, code binary")
     crowded = leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LEAF_MOST).select("leaf", F.ceil(F.col("n") / LEAF).cast("int").alias("parts"))
     placed = leaves.join(crowded, "leaf", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("leaf", "id"), "parts")).otherwise(F.lit(0)))
-    begun = placed.select("leaf", "part", "id", "code").groupBy("leaf", "part").applyInArrow(_leaf_best, _LISTS)
-    graph = stage.cut(_merge(begun))
+    begun = placed.select("leaf", "part", "id", "code").groupBy("leaf", "part").applyInArrow(_leaf_best(bits), _LISTS)
+    graph, share = stage.cut(_merge(begun)), 1.0
     for iteration in range(most_iterations):
         old = graph.select("id", "nbr", "sim", F.transform("fresh", lambda x: F.lit(False)).alias("fresh"))
-        after = stage.cut(_merge(old.unionByName(_joined(graph, codes, iteration))))
+        after = stage.cut(_merge(old.unionByName(_joined(graph, codes, iteration, share < QUIET))))
         stage.drop(graph)
         graph = after
         came = graph.agg(F.sum(F.size(F.filter("fresh", lambda x: x))).alias("new"), F.sum(F.size("nbr")).alias("listed")).first()
-        if (came["new"] or 0) <= SETTLED * (came["listed"] or 0):
+        share = (came["new"] or 0) / max(came["listed"] or 0, 1)
+        if share <= SETTLED:
             break
     return numbered, graph
 

@@ -5,11 +5,14 @@ where the sum of all N(g)^2 grows least: in an open container of some gap g >= s
 rule is sequential and sees a shard's documents from the longest to the shortest, which leaves less unused
 than a random order.  The collection is cut by a hash of the key into shards of about ``SHARD`` documents
 that are packed independently, one task each; what a shard leaves in poorly filled containers (fill below
-``REPACK_BELOW``) is packed again in a second pass over 1/16 as many shards, and the rest of that once more
-in 1/16 of those, until one shard holds all that is left.  A shard's unused space is thus shared by many.
+``REPACK_BELOW``) is packed again over as many shards as those documents need, and so on until one shard
+holds what is left or a pass leaves more than ``STOPS_AT`` of what it was given; then every container stays
+as it is.  A shard's unused space is thus shared by many.
 
-Scale: the shard count follows the row count, so a task's rows, and the last pass, are bounded; per
-document the rule looks at as many gaps as a container has tokens, at most ``capacity``.
+Scale: the shard count of every pass follows its row count, so no task ever gets more than about ``SHARD``
+rows, also where no two documents fit a container; each shard is a partition of its own (the planner would
+join shards of few bytes into one task, though the work is in the rule).  Per document the rule looks at as
+many gaps as a container has tokens, at most ``capacity``.
 
 Defined results: a document above the capacity is split into full containers and a remainder, which is
 placed as an item; part numbers count from 0.  Null and empty texts have 0 tokens and are placed in the
@@ -31,7 +34,7 @@ from mnemospark.plans.staging import Staging
 
 SHARD = 25_000
 REPACK_BELOW = 0.9
-FEWER = 16
+STOPS_AT = 0.8
 
 
 def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -65,13 +68,12 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def _pack_shard(capacity: int, keep_all: bool):
+def _pack_shard(capacity: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["tokens", "mixed", "item", "part"], ascending=[False, True, True, True], kind="stable")
         box = pack(frame["tokens"].to_numpy(), capacity)
         fill = np.bincount(box, weights=frame["tokens"].to_numpy(), minlength=1)
         done = fill[box] >= REPACK_BELOW * capacity
-        done |= keep_all
         label = frame["shard"].astype(str) + "." + pd.Series(box, index=frame.index).astype(str)
         return pd.DataFrame({"item": frame["item"], "part": frame["part"], "tokens": frame["tokens"], "mixed": frame["mixed"], "box": label, "done": done})
 
@@ -89,16 +91,19 @@ def pack_documents(rows: DataFrame, capacity: int) -> DataFrame:
     full = base.filter("whole > 0").select("item", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("part"), F.lit(capacity).cast("long").alias("tokens"), "mixed")
     full = full.select("item", "part", "tokens", F.concat_ws(".", F.lit("full"), F.col("item").cast("string"), F.col("mixed").cast("string"), F.col("part").cast("string")).alias("box"))
     items = stage.cut(base.filter("rest > 0 OR whole = 0").select("item", F.col("whole").alias("part"), F.col("rest").alias("tokens"), "mixed"))
-    shards, turn, parts = max(1, math.ceil(items.count() / SHARD)), 0, [full]
-    while True:
-        last = shards == 1
-        placed = items.withColumn("shard", F.concat_ws("-", F.lit(str(turn)), F.pmod("mixed", F.lit(shards)).cast("string")))
-        packed = stage.cut(placed.groupBy("shard").applyInPandas(_pack_shard(capacity, last), f"item {kind}, part int, tokens long, mixed long, box string, done boolean"))
-        parts.append(packed.filter("done").select("item", "part", "tokens", "box"))
+    left, turn, parts = items.count(), 0, [full]
+    while left:
+        given, shards = left, max(1, math.ceil(left / SHARD))
+        placed = items.withColumn("place", F.pmod("mixed", F.lit(shards)).cast("int")).withColumn("shard", F.concat_ws("-", F.lit(str(turn)), F.col("place").cast("string")))
+        grouped = placed.repartitionById(shards, F.col("place")).groupBy("place", "shard")
+        packed = stage.cut(grouped.applyInPandas(_pack_shard(capacity), f"item {kind}, part int, tokens long, mixed long, box string, done boolean"))
+        left = packed.filter("NOT done").count()
+        last = shards == 1 or left > STOPS_AT * given
+        parts.append((packed if last else packed.filter("done")).select("item", "part", "tokens", "box"))
         if last:
             break
         items = packed.filter("NOT done").select("item", "part", "tokens", F.xxhash64("mixed").alias("mixed"))
-        shards, turn = max(1, shards // FEWER), turn + 1
+        turn += 1
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

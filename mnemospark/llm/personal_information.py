@@ -3,11 +3,14 @@
 Method, weak supervision: wide patterns propose candidate spans of five types; labelers then vote on each
 candidate for, against or not at all: regular expressions for the shape, the gazetteer of name parts, and
 words to the left and right.  No labels are given, so expectation-maximisation estimates each labeler's
-reliability per type from how the votes agree over *all* candidates, and a logistic span classifier is
-trained on the resulting soft labels.  Votes are few and discrete, so both fits need only the number of
-candidates per vote pattern, a table of bounded size (``MOST_PATTERNS`` = 3 ** labelers) that is counted
-with map-side aggregation over the whole corpus; nothing is sampled.  The classifier's scores are then
-broadcast and the spans that win are kept, overlaps going to the type that cannot hold the other.
+reliability per type from how the votes agree over *all* candidates.  Votes are few and discrete, so the fit
+needs only the number of candidates per vote pattern, a table of bounded size (``MOST_PATTERNS`` =
+3 ** labelers a type) that is counted with map-side aggregation over the whole corpus.  A logistic span
+classifier is then trained on the resulting soft labels.  Beside the votes it sees what no labeler does: the
+shape of the span, the words and characters next to it, hashed to ``FEATURES`` weights; it is fitted on at
+most about ``TRAINING_SPANS`` candidates, a sample by hash, and scores all of them.  The spans that win are
+kept, overlaps going to the type that cannot hold the other.  Texts are scanned once: spans are staged with
+a digest of their text, and redaction joins them back.
 
 Positions are 0-based code points.  Defined results: rows with a null id or null text have no spans; an
 empty text has none; texts are processed whole; the same row delivered twice gives the same spans, once.
@@ -21,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +34,10 @@ TYPES = ["email", "phone", "id_number", "address", "name"]
 LABELERS = 8
 MOST_PATTERNS = 3**LABELERS
 
+#: Hashed features of the span classifier, and candidates that it is trained on at most, about.
+FEATURES = 1 << 12
+TRAINING_SPANS = 200_000
+
 #: Full-width digits, letters and signs that mentions are written with; one character for one.
 _WIDE = {0xFF10 + i: 0x30 + i for i in range(10)} | {0xFF21 + i: 0x41 + i for i in range(26)} | {0xFF41 + i: 0x61 + i for i in range(26)}
 _WIDE |= {0xFF0B: ord("+"), 0xFF0D: ord("-"), 0xFF20: ord("@"), 0x2010: ord("-"), 0x2011: ord("-"), 0xA0: 32, 0x3000: 32, 0xFF08: ord("("), 0xFF09: ord(")")}
@@ -56,7 +64,7 @@ _NOT_NAMES = _TITLES | {w.lower() for w in _STREET.split("|")} | {w.lower() for
 _ADDRESS = regex.compile(rf"(?:(?<![A-Za-z])(?:{_UNIT})\.? ?#?\d+[A-Z]?,? )?(?<![A-Za-z0-9.-])\d{{1,5}}[A-Z]? (?:[\w'’-]+ )?(?:\p{{Lu}}[\p{{L}}'’-]+ ){{1,3}}(?:{_STREET})(?![\p{{Latin}}-])", regex.I)
 _ADDRESS_ZH = re.compile(r"(?=((?:[㐀-鿿]{2,4}?市)?(?:[㐀-鿿]{2,3}?[区县])?[㐀-鿿]{1,6}?[路街道巷弄]\d+号(?:\d+(?:栋|幢|号楼))?(?:\d+室)?))")
 _CAP = r"\p{Lu}[\p{Latin}'’]+(?:-\p{Lu}[\p{Latin}'’]+)*"
-_NAME = regex.compile(rf"(?<![\p{{Latin}}\d@.'’-])(?=({_CAP}(?: \p{{Lu}}\.)? {_CAP}|\p{{Lu}}\. {_CAP}|{_CAP}, {_CAP})(?![\p{{Latin}}@-]))")
+_NAME = regex.compile(rf"(?<![\p{{Latin}}\d@.'’-])(?=({_CAP}(?: \p{{Lu}}\.| {_CAP})? {_CAP}|\p{{Lu}}\. {_CAP}|{_CAP}, {_CAP})(?![\p{{Latin}}@-]))")
 _HAN = r"[㐀-鿿]"
 _LEFT_ZH = re.compile(r"(?:联系人|[）)]由|找|收件人)$")
 _RIGHT_ZH = re.compile(r"(?:电话|住在|核对|说|的电话|手机)")
@@ -150,6 +158,10 @@ def candidates(text: str, names: Gazetteer) -> list[tuple[str, int, int, tuple[i
         parts = [p.strip(".,") for p in re.split(r",? ", span)]
         low = [p.lower() for p in parts]
         words = [p for p in low if len(p) > 1]
+        if len(words) == 3 and not all(p in names.given or p in names.family for p in words[:2]):
+            # parts that nobody knows: the first two may still be a name
+            span = span[: span.rindex(" ")]
+            parts, low, words = parts[:2], low[:2], words[:2]
         if any(p in _NOT_NAMES for p in low):
             continue
         given, family = any(p in names.given for p in words), any(p in names.family for p in words)
@@ -160,8 +172,8 @@ def candidates(text: str, names: Gazetteer) -> list[tuple[str, int, int, tuple[i
         else:
             order = _vote(words[-1] not in names.given or words[-1] in names.family, True)
         shout = span.isupper() and len(words) > 1
-        street = bool(re.search(r"\d[A-Z]? (?:[\w'’-]+ )?$", flat[max(0, start - 14) : start])) or bool(re.match(rf" (?:{_STREET})\b", flat[m.end(1) :]))
-        add("name", start, m.end(1), _vote(given), _vote(family), order, _vote(False, street), _vote(swapped and given and family, not (given and family) and shout or swapped and not (given or family or cued)))
+        street = bool(re.search(r"\d[A-Z]? (?:[\w'’-]+ )?$", flat[max(0, start - 14) : start])) or bool(re.match(rf" (?:{_STREET})\b", flat[start + len(span) :]))
+        add("name", start, start + len(span), _vote(given), _vote(family), order, _vote(False, street), _vote(swapped and given and family, not (given and family) and shout or swapped and not (given or family or cued)))
     if names.surname_zh and re.search(_HAN, flat):
         for i, c in enumerate(flat):
             if not "㐀" <= c <= "鿿":
@@ -186,25 +198,53 @@ def candidates(text: str, names: Gazetteer) -> list[tuple[str, int, int, tuple[i
 
 
 _SIGN = {-1: "-", 0: "0", 1: "+"}
+_LAST_WORD, _FIRST_WORD = regex.compile(r"(\p{Latin}+|[㐀-鿿]{1,2}|\p{N}+)[^\p{L}\p{N}]*$"), regex.compile(r"^[^\p{L}\p{N}]*(\p{Latin}+|[㐀-鿿]{1,2}|\p{N}+)")
+_RUNS = [(re.compile(r"\d+"), "9"), (regex.compile(r"\p{Lu}+"), "A"), (regex.compile(r"\p{Ll}+"), "a"), (re.compile(r"[㐀-鿿]+"), "字")]
+
+
+def shape(span: str) -> str:
+    """Runs of one kind of character as one sign; other characters as they are."""
+    for pattern, sign in _RUNS:
+        span = pattern.sub(sign, span)
+    return span[:24]
+
+
+def features(flat: str, kind: str, start: int, end: int) -> list[int]:
+    """Hashed features of a candidate span: its shape and length, and the words and characters beside it."""
+    span, before, after = flat[start:end], flat[max(0, start - 24) : start], flat[end : end + 24]
+    left, right = _LAST_WORD.search(before), _FIRST_WORD.search(after)
+    said = [f"shape {shape(span)}", f"length {min(len(span), 40) // 2}", f"left {left.group(1).lower() if left else ''}", f"right {right.group(1).lower() if right else ''}", f"before {shape(before[-1:])}", f"after {shape(after[:1])}", f"words {len(span.split())}"]
+    return [xxhash.xxh32_intdigest(f"{kind} {x}") % FEATURES for x in said]
+
+
+_SPANS = "row_id string, digest binary, pii_type string, start_pos long, end_pos long, votes string, features array<int>"
 
 
 def _patterns(names: Gazetteer):
-    """(row_id, content) to (row_id, pii_type, start_pos, end_pos, votes)."""
+    """(row_id, content) to candidate spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32())]
         for batch in batches:
-            rows: list[tuple[str, str, int, int, str]] = []
+            rows: list[tuple] = []
             for row_id, text in zip(batch.column("row_id").to_pylist(), batch.column("content").to_pylist()):
-                rows += [(row_id, kind, a, b, "".join(map(_SIGN.get, votes))) for kind, a, b, votes in candidates(text, names)]
-            cols = list(zip(*rows)) or [[]] * 5
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds)], names=["row_id", "pii_type", "start_pos", "end_pos", "votes"])
+                found = candidates(text, names)
+                if found:
+                    flat, digest = text.translate(_WIDE), _digest(text)
+                    rows += [(row_id, digest, kind, a, b, "".join(map(_SIGN.get, votes)), features(flat, kind, a, b)) for kind, a, b, votes in found]
+            cols = list(zip(*rows)) or [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds)], names=["row_id", "digest", "pii_type", "start_pos", "end_pos", "votes", "features"])
 
     return run
 
 
+def _digest(text: str) -> bytes:
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+
+
 def estimate_reliabilities(votes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, float, np.ndarray]:
     """(posterior of each pattern, prior, P(vote | class) of shape labelers x 2 x 3) by expectation-maximisation."""
+    # begun from the votes' own sense, which also says which class is which: labelers that agree more often than not can't be all turned round
     q = 1 / (1 + np.exp(-1.5 * votes.sum(axis=1)))
     prior, table = 0.5, np.zeros((votes.shape[1], 2, 3))
     for _ in range(rounds):
@@ -224,37 +264,53 @@ def estimate_reliabilities(votes: np.ndarray, counts: np.ndarray, rounds: int =
     return q, prior, table
 
 
-def train_classifier(votes: np.ndarray, counts: np.ndarray, soft: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """Weights of a logistic classifier (bias, then for and against each labeler), by weighted gradient steps."""
-    x = np.concatenate([np.ones((len(votes), 1)), votes == 1, votes == -1], axis=1).astype(float)
-    weight = counts / counts.sum()
-    w = np.zeros(x.shape[1])
+def _inputs(votes: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """Indexes of the weights that are on, of shape spans x inputs: the bias, for and against each labeler, hashed features; -1 is none."""
+    j = np.arange(votes.shape[1])
+    on = np.where(votes == 1, 1 + j, np.where(votes == -1, 1 + votes.shape[1] + j, -1))
+    return np.concatenate([np.zeros((len(votes), 1), dtype=np.int64), on, hashed.astype(np.int64) + 1 + 2 * votes.shape[1]], axis=1)
+
+
+def train_classifier(votes: np.ndarray, hashed: np.ndarray, counts: np.ndarray, soft: np.ndarray, rounds: int = 150) -> np.ndarray:
+    """Weights of a logistic classifier of votes and hashed features, by diagonally scaled gradient steps; hashed ones are held back more."""
+    on = _inputs(votes, hashed)
+    size = 1 + 2 * votes.shape[1] + FEATURES
+    flat, weight = np.where(on < 0, size, on), counts / counts.sum()
+    w, total = np.zeros(size + 1), np.full(size + 1, 1e-4)
+    hold = np.r_[np.full(1 + 2 * votes.shape[1], 1e-5), np.full(FEATURES, 5e-4), 0.0]
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (weight * (p - soft)) + 1e-4 * w
-        curvature = (x.T * (weight * p * (1 - p))) @ x + 1e-3 * np.eye(len(w))
-        step = np.linalg.solve(curvature, gradient)
-        w -= 0.5 * step
-        if np.abs(step).max() < 1e-6:
-            break
-    return w
+        p = 1 / (1 + np.exp(-np.clip(w[flat].sum(axis=1), -30, 30)))
+        gradient = np.bincount(flat.ravel(), weights=np.repeat(weight * (p - soft), flat.shape[1]), minlength=size + 1) + hold * w
+        gradient[-1] = 0.0
+        total += gradient**2
+        w -= 0.5 * gradient / np.sqrt(total)
+    return w[:-1]
+
+
+def classify(w: np.ndarray, votes: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """Classifier score of each span."""
+    on = _inputs(votes, hashed)
+    return 1 / (1 + np.exp(-np.clip(np.where(on < 0, 0.0, w[on]).sum(axis=1), -30, 30)))
+
+
+_BACK = {"-": -1, "0": 0, "+": 1}
+
 
+def _votes(texts: list[str]) -> np.ndarray:
+    return np.array([[_BACK[c] for c in v] for v in texts], dtype=np.int64).reshape(-1, LABELERS)
 
-def score_patterns(table: list[tuple[str, str, int]]) -> dict[tuple[str, str], float]:
-    """Classifier score of each (pii_type, votes) pattern from (pii_type, votes, count) rows."""
-    out: dict[tuple[str, str], float] = {}
-    back = {"-": -1, "0": 0, "+": 1}
+
+def fit_types(table: list[tuple[str, str, int]], sample: list[tuple[str, str, list[int], int]]) -> dict[str, np.ndarray]:
+    """Classifier weights of each type from (pii_type, votes, count) of all candidates and (pii_type, votes, features, count) of the sample."""
+    out: dict[str, np.ndarray] = {}
     for kind in TYPES:
         mine = sorted((v, n) for k, v, n in table if k == kind)
-        if not mine:
+        drawn = sorted((v, f, n) for k, v, f, n in sample if k == kind)
+        if not mine or not drawn:
             continue
-        votes = np.array([[back[c] for c in v] for v, _ in mine])
-        counts = np.array([n for _, n in mine], dtype=float)
-        soft, _, _ = estimate_reliabilities(votes, counts)
-        w = train_classifier(votes, counts, soft)
-        x = np.concatenate([np.ones((len(votes), 1)), votes == 1, votes == -1], axis=1).astype(float)
-        for (v, _), s in zip(mine, 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))):
-            out[kind, v] = float(s)
+        soft, _, _ = estimate_reliabilities(_votes([v for v, _ in mine]), np.array([n for _, n in mine], dtype=float))
+        label = {v: q for (v, _), q in zip(mine, soft)}
+        out[kind] = train_classifier(_votes([v for v, _, _ in drawn]), np.array([f for _, f, _ in drawn]), np.array([n for _, _, n in drawn], dtype=float), np.array([label[v] for v, _, _ in drawn]))
     return out
 
 
@@ -273,72 +329,86 @@ def _rows(rows: DataFrame) -> DataFrame:
     return rows.select("row_id", "content").filter("row_id IS NOT NULL AND content IS NOT NULL")
 
 
-class Model:
-    """Scores of the vote patterns and the gazetteer: what a scan of texts needs, of bounded size."""
-
-    def __init__(self, names: Gazetteer, scores: dict[tuple[str, str], float]):
-        self.names, self.scores = names, scores
-
-    def spans(self, text: str) -> list[tuple[str, int, int]]:
-        found = []
-        for kind, a, b, votes in candidates(text, self.names):
-            score = self.scores.get((kind, "".join(map(_SIGN.get, votes))), 0.0)
-            if score >= 0.5:
-                found.append((kind, a, b, score))
-        return resolve(found)
-
-    def redact(self, text: str) -> str:
-        out, at = [], 0
-        for kind, a, b in self.spans(text):
-            out += [text[at:a], f"[{kind.upper()}]"]
-            at = b
-        return "".join(out) + text[at:]
-
-
-def fit(rows: DataFrame, lexicon: DataFrame) -> tuple[Model, DataFrame]:
-    """The model for ``rows(row_id, content)`` and the candidates it was fitted on.
+def fit(rows: DataFrame, lexicon: DataFrame) -> tuple[dict[str, np.ndarray], DataFrame]:
+    """(classifier weights of each type, the candidates of ``rows(row_id, content)``, staged).
 
     ``lexicon(name_part, kind)`` is a fixed table of about a hundred rows.
     """
     names = Gazetteer([(r["name_part"], r["kind"]) for r in lexicon.select("name_part", "kind").collect()])
     stage = Staging(rows.sparkSession, "personal-information")
-    spans = stage.cut(_rows(rows).mapInArrow(_patterns(names), "row_id string, pii_type string, start_pos long, end_pos long, votes string"))
-    table = spans.groupBy("pii_type", "votes").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 5 * MOST_PATTERNS rows
-    return Model(names, score_patterns([(r["pii_type"], r["votes"], r["n"]) for r in table])), spans
+    spans = stage.cut(_rows(rows).mapInArrow(_patterns(names), _SPANS))
+    table = [(r["pii_type"], r["votes"], r["n"]) for r in spans.groupBy("pii_type", "votes").agg(F.count(F.lit(1)).alias("n")).collect()]  # at most 5 * MOST_PATTERNS rows
+    share = min(1.0, TRAINING_SPANS / max(1, sum(n for _, _, n in table)))
+    drawn = spans.filter(F.pmod(F.xxhash64("row_id", "digest", "start_pos", "end_pos"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = drawn.groupBy("pii_type", "votes", "features").agg(F.count(F.lit(1)).alias("n")).collect()  # about TRAINING_SPANS rows at most
+    return fit_types(table, [(r["pii_type"], r["votes"], list(r["features"]), r["n"]) for r in sample]), spans
 
 
-def _resolved(scores: dict[tuple[str, str], float]):
-    """Kept spans of each row; a row's candidates come in one batch row as a list."""
+def _scored(weights: dict[str, np.ndarray]):
+    """Spans to those that the classifier takes, with their score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, kinds, starts, ends = [], [], [], []
-            for row_id, spans in zip(batch.column("row_id").to_pylist(), batch.column("spans").to_pylist()):
-                scored = [(s["pii_type"], s["start_pos"], s["end_pos"], scores.get((s["pii_type"], s["votes"]), 0.0)) for s in spans]
-                for kind, a, b in resolve(list(dict.fromkeys(s for s in scored if s[3] >= 0.5))):
-                    ids.append(row_id), kinds.append(kind), starts.append(a), ends.append(b)
-            cols = [pa.array(ids, pa.string()), pa.array(kinds, pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["row_id", "pii_type", "start_pos", "end_pos"])
+            score = np.zeros(len(batch))
+            kinds = np.array(batch.column("pii_type").to_pylist(), dtype=object)
+            votes = _votes(batch.column("votes").to_pylist())
+            hashed = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+            for kind, w in weights.items():
+                mine = np.flatnonzero(kinds == kind)
+                if len(mine):
+                    score[mine] = classify(w, votes[mine], hashed[mine])
+            names = ["row_id", "digest", "pii_type", "start_pos", "end_pos"]
+            out = pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(score)], names=[*names, "score"])
+            yield out.filter(pa.array(score >= 0.5))
 
     return run
 
 
+def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row_id, digest, spans) to the spans that are left of each text."""
+    kind = pa.list_(pa.struct([("pii_type", pa.string()), ("start_pos", pa.int64()), ("end_pos", pa.int64())]))
+    for batch in batches:
+        kept = []
+        for spans in batch.column("spans").to_pylist():
+            left = resolve([(x["pii_type"], x["start_pos"], x["end_pos"], x["score"]) for x in spans])
+            kept.append([{"pii_type": k, "start_pos": a, "end_pos": b} for k, a, b in left])
+        yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("digest"), pa.array(kept, type=kind)], names=["row_id", "digest", "kept"])
+
+
+def _kept(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(row_id, digest, kept): the mentions of each text that has any, in order."""
+    weights, spans = fit(rows, lexicon)
+    scored = spans.mapInArrow(_scored(weights), "row_id string, digest binary, pii_type string, start_pos long, end_pos long, score double")
+    grouped = scored.groupBy("row_id", "digest").agg(F.collect_set(F.struct("pii_type", "start_pos", "end_pos", "score")).alias("spans"))
+    return grouped.mapInArrow(_resolved, "row_id string, digest binary, kept array<struct<pii_type: string, start_pos: long, end_pos: long>>")
+
+
 def find_spans(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(row_id, pii_type, start_pos, end_pos): each mention once."""
-    model, spans = fit(rows, lexicon)
-    likely = [f"{k}|{v}" for (k, v), s in model.scores.items() if s >= 0.5]
-    kept = spans.filter(F.concat_ws("|", "pii_type", "votes").isin(likely))
-    grouped = kept.groupBy("row_id").agg(F.collect_set(F.struct("pii_type", "start_pos", "end_pos", "votes")).alias("spans"))
-    return grouped.mapInArrow(_resolved(model.scores), "row_id string, pii_type string, start_pos long, end_pos long")
+    """(row_id, pii_type, start_pos, end_pos): each mention once; with several texts of one id, those of each."""
+    return _kept(rows, lexicon).select("row_id", F.inline("kept")).distinct()
 
 
-def redact(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(row_id, content): each text with its mentions replaced by [TYPE]; null texts stay null."""
-    model, _ = fit(rows, lexicon)
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        digest = pa.array([None if t is None else _digest(t) for t in batch.column("content").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns, digest], names=["row_id", "content", "digest"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [None if t is None else model.redact(t) for t in batch.column("content").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(texts, pa.string())], names=["row_id", "content"])
 
-    return rows.select("row_id", "content").mapInArrow(run, "row_id string, content string")
+def _replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column("content").to_pylist()
+        for i, spans in enumerate(batch.column("kept").to_pylist()):
+            if spans and texts[i] is not None:
+                out, at = [], 0
+                for x in spans:
+                    out += [texts[i][at : x["start_pos"]], f"[{x['pii_type'].upper()}]"]
+                    at = x["end_pos"]
+                texts[i] = "".join(out) + texts[i][at:]
+        yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(texts, pa.string())], names=["row_id", "content"])
+
+
+def redact(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(row_id, content): each text with its mentions replaced by [TYPE]; null texts stay null, and texts without an id as they are."""
+    named = rows.select("row_id", "content").mapInArrow(_digests, "row_id string, content string, digest binary")
+    # the found spans grow with the texts, so this is a merge at every size
+    return named.join(_kept(rows, lexicon).hint("merge"), ["row_id", "digest"], "left").select("row_id", "content", "kept").mapInArrow(_replaced, "row_id string, content string")

@@ -40,15 +40,20 @@ def _trust(column):
 
 
 def _ranked(record: DataFrame, fields: list[str], values: bool) -> DataFrame:
-    """The winning member of each group and field, with its value as text if asked for."""
+    """The winning member of each group and field, with a struct of the field's value in its own type if asked for."""
     members = connected_components(consolidation_links(record))
     sure = F.col("confidence").between(0.0, 1.0) & ~F.isnan("confidence")
-    slots = F.array(*[F.struct(F.lit(f).alias("field_name"), (F.col(f).cast("string") if values else F.col(f).isNotNull()).alias("value")) for f in fields])
+    kinds = {f.name: f.dataType.simpleString() for f in record.schema.fields}
+
+    def slot(field: str):
+        """One struct type for all fields: the field's own place holds its value, the others are null."""
+        held = [(F.col(field) if f == field else F.lit(None).cast(kinds[f])).alias(f) for f in fields]
+        return F.struct(F.lit(field).alias("field_name"), F.col(field).isNotNull().alias("has"), *([F.struct(*held).alias("value")] if values else []))
+
     rows = record.filter("memory_id IS NOT NULL AND (status IS NULL OR status <> 'deleted')").select(
-        "memory_id", _trust(F.col("source_type")).alias("trust"), F.when(sure, F.col("confidence")).alias("sure"), "updated_at", slots.alias("slots")
+        "memory_id", _trust(F.col("source_type")).alias("trust"), F.when(sure, F.col("confidence")).alias("sure"), "updated_at", F.array(*[slot(f) for f in fields]).alias("slots")
     )
-    joined = rows.join(members, rows["memory_id"] == members["node"]).select(F.col("component").alias("group_id"), "memory_id", "trust", "sure", "updated_at", F.inline("slots"))
-    joined = joined.filter("value IS NOT NULL" if values else "value")
+    joined = rows.join(members, rows["memory_id"] == members["node"]).select(F.col("component").alias("group_id"), "memory_id", "trust", "sure", "updated_at", F.inline("slots")).filter("has")
     order = Window.partitionBy("group_id", "field_name").orderBy("trust", F.desc_nulls_last("sure"), F.desc_nulls_last("updated_at"), "memory_id")
     return joined.withColumn("place", F.row_number().over(order)).filter("place = 1")
 
@@ -59,10 +64,11 @@ def field_survivors(record: DataFrame, fields: list[str] | None = None) -> DataF
 
 
 def surviving_records(record: DataFrame, fields: list[str] | None = None) -> DataFrame:
-    """One row per group: group_id and for each field its value (text) and the member it is from."""
+    """One row per group: group_id and for each field its value, in its own type, and the member it is from."""
     fields = fields or FIELDS
     won = _ranked(record, fields, True)
     picks = []
     for f in fields:
-        picks += [F.max(F.when(F.col("field_name") == f, F.col("value"))).alias(f), F.max(F.when(F.col("field_name") == f, F.col("memory_id"))).alias(f"{f}_from")]
+        mine = F.col("field_name") == f
+        picks += [F.max(F.when(mine, F.col(f"value.{f}"))).alias(f), F.max(F.when(mine, F.col("memory_id"))).alias(f"{f}_from")]
     return won.groupBy("group_id").agg(*picks)

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemospark.plans.staging import Staging
+
 # Letters of other scripts and the Latin letters they look like.
 LOOKALIKES = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j",
@@ -101,17 +103,27 @@ def consistent_forms(rows: DataFrame) -> DataFrame:
     return rows.select("key", "body").mapInArrow(_forms(True), f"key {kind}, digest string, form string")
 
 
-def look_classes(rows: DataFrame) -> DataFrame:
-    """(key, class_id, n_same): one row per text; class_id is the smallest key that looks the same."""
+def _staged_digests(rows: DataFrame) -> DataFrame:
+    """(key, digest) of the texts, each normalized once and staged, since classes and pairs read it twice."""
     kind = rows.schema["key"].dataType.simpleString()
     forms = rows.select("key", "body").filter("key IS NOT NULL AND body IS NOT NULL").mapInArrow(_forms(False), f"key {kind}, digest string")
+    return Staging(rows.sparkSession, "forms").cut(forms)
+
+
+def look_classes(rows: DataFrame) -> DataFrame:
+    """(key, class_id, n_same): one row per text; class_id is the smallest key that looks the same.
+
+    The compact result: a text copied into a third of all rows is as many rows and no pairs.
+    """
+    forms = _staged_digests(rows)
     size = forms.groupBy("digest").agg(F.min("key").alias("class_id"), F.count(F.lit(1)).alias("n_same"))
     return forms.join(size, "digest").select("key", "class_id", "n_same")
 
 
 def same_look_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b), a < b: keys of texts that look the same."""
-    kind = rows.schema["key"].dataType.simpleString()
-    forms = rows.select("key", "body").filter("key IS NOT NULL AND body IS NOT NULL").mapInArrow(_forms(False), f"key {kind}, digest string")
-    left, right = forms.select("digest", F.col("key").alias("a")), forms.select("digest", F.col("key").alias("b"))
+    """(a, b), a < b: keys of texts that look the same, all pairs of a class; ``look_classes`` says the same in one row a text."""
+    forms = _staged_digests(rows)
+    shared = forms.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
+    kept = forms.join(shared, "digest", "left_semi")  # most texts look like no other and go no further
+    left, right = kept.select("digest", F.col("key").alias("a")), kept.select("digest", F.col("key").alias("b"))
     return left.join(right, "digest").filter("a < b").select("a", "b").distinct()

@@ -2,6 +2,7 @@ import collections
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mnemospark.llm import mixing, packing
 from mnemospark.llm.tokens import TOKENIZER, encoder, with_tokens
@@ -57,6 +58,26 @@ def test_every_token_is_placed_once(spark, monkeypatch, shard):
     assert packing.fill_containers(docs.limit(0), specs).count() == 0
 
 
+def test_documents_of_which_no_two_fit_spread_over_tasks(spark, monkeypatch):
+    """8,000 documents of 0.6 container: no task gets more than a shard, and no pass is made in vain."""
+    monkeypatch.setattr(packing, "SHARD", 500)
+    seen = []
+    kept = packing.Staging.cut
+
+    def cut(self, df, *more):
+        out = kept(self, df, *more)
+        if "box" in out.columns:
+            seen.append([r["n"] for r in out.groupBy(F.regexp_extract("box", r"^([0-9]+-[0-9]+)", 1)).agg(F.countDistinct("item").alias("n")).collect()])
+            seen.append([r["n"] for r in out.groupBy(F.input_file_name()).agg(F.count("item").alias("n")).collect()])
+        return out
+
+    monkeypatch.setattr(packing.Staging, "cut", cut)
+    rows = spark.range(8000).select(F.col("id").alias("item"), F.lit(600).cast("long").alias("n_tokens"))
+    placed = packing.pack_documents(rows, 1000)
+    assert placed.count() == placed.select("box").distinct().count() == 8000
+    assert len(seen) == 2 and all(len(n) == 16 and max(n) < 700 for n in seen)
+
+
 def test_mixture(spark):
     docs = documents(spark, 1200)
     mix = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 3), ("c", 0.2, None), ("absent", 0.4, 2), ("zero", 0.0, 1), (None, 0.1, 1)], "source string, target_weight double, max_repeats long")
@@ -87,6 +108,24 @@ def test_mixture_of_nothing(spark):
     assert mixing.mix_sources(docs, mix.limit(0)).count() == 0
 
 
+def test_shards_of_a_group(monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 100)
+    counts = np.array([700, 250, 0, 50])
+    drawn = list(mixing.shard_counts(counts, 3))
+    assert len(drawn) == 10 and (sum(drawn) == counts).all() and all(d.sum() == 100 and (d >= 0).all() for d in drawn)
+    assert len({tuple(d) for d in drawn}) > 1
+    big = [mixing._hypergeometric(np.random.default_rng(i), 3_000_000_000, 1_000_000_000, 8192) for i in range(40)]
+    assert abs(np.mean(big) - 6144) < 60 and np.std(big) > 5
+
+
+def test_groups_hold_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_GROUPS", 2)
+    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 50)
+    mix = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 3), ("c", 0.2, None)], "source string, target_weight double, max_repeats long")
+    names, counts = mixing.plan_counts({"a": 500, "b": 200, "c": 400}, {"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 1, "b": 3, "c": 1})
+    assert len(counts) == 2 and counts.sum() == 1000
+
+
 def test_counts_and_permutation():
     names, counts = mixing.plan_counts({"a": 100, "b": 10_000, "c": 0}, {"a": 0.5, "b": 0.4, "c": 0.1}, {"a": 2, "b": 1, "c": 1})
     assert names == ["a", "b"] and counts.sum(axis=0)[0] <= 200 and counts.sum() == 360

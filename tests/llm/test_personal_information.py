@@ -87,7 +87,22 @@ def test_expectation_maximisation_finds_the_reliable_labeler():
     also = np.where(rng.random(4000) < 0.8, truth, ~truth)
     votes = np.stack([good, fair, also], axis=1) * 2 - 1
     patterns, counts = np.unique(votes, axis=0, return_counts=True)
-    soft, prior, table = pii.estimate_reliabilities(patterns, counts)
+    _, prior, table = pii.estimate_reliabilities(patterns, counts)
     assert abs(prior - 0.4) < 0.05 and table[0, 1, 2] > table[1, 1, 2] and table[0, 1, 2] > 0.9
-    w = pii.train_classifier(patterns, counts, soft)
-    assert w.shape == (7,)
+    rng_features = np.where(truth[:, None], 7, 9)
+    w = pii.train_classifier(votes, rng_features, np.ones(len(votes)), truth.astype(float))
+    score = pii.classify(w, np.zeros((2, 3), dtype=int), np.array([[7], [9]]))
+    assert score[0] > 0.7 > 0.3 > score[1]  # without votes the span's own features decide
+
+
+def test_other_sentence_frames(spark, corpus):
+    """Frames that no cue list names: the shapes, the gazetteer and the classifier carry them."""
+    rows, _ = corpus
+    told, truth = [], set()
+    frames_of = ["Yesterday ⟦name:Isaura Zarek⟧ rang.", "Write ⟦email:kelda@post.example⟧ tonight.", "Her line, ⟦phone:+44 20 7946 0827⟧, is busy.", "We moved into ⟦address:12 Marsh Street⟧ in May.", "⟦id_number:666-42-8863⟧ was typed twice.", "⟦name:Grace Mark Purvanen⟧ came first."]
+    for k, marked in enumerate(frames_of):
+        text, spans = parse(marked)
+        told.append((f"new{k}", text, "x"))
+        truth |= {(f"new{k}", kind, start) for kind, start in spans}
+    got = {(r.row_id, r.pii_type, r.start_pos) for r in pii.find_spans(*frames(spark, rows + told)).collect() if r.row_id.startswith("new")}
+    assert len(got & truth) >= len(truth) - 1 and len(got - truth) <= 1, (truth - got, got - truth)
