@@ -12,7 +12,7 @@ import pytest
 import __spark_entry__
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"p3_paths", "p3_descendants", "p1_classes", "c0_all_violations"}
+SLOW = {"p3_paths", "p3_descendants", "p1_classes"}
 NAMES = [n for n in __spark_entry__.oracle_sql() if n not in SLOW]
 
 
