@@ -36,6 +36,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,7 +51,7 @@ from mnemospark.plans.staging import Staging
 THRESHOLD = 0.6
 FREQUENCY_BUCKETS = 1 << 20
 COINCIDENCES = 256.0
-HOT_BLOCK = 4096
+HOT_BLOCK = 16384
 ROUNDS = 2
 
 #: Share of the contents that a common word is in, as far as the depth of the paths supposes.
@@ -83,7 +84,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _codes(texts: list[str | None], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Word codes of all texts, one after another, and each text's number of words."""
-    flat: list[int] = []
+    flat = array("Q")
     sizes = np.zeros(len(texts), dtype=np.int64)
     if len(known) > 200_000:
         known.clear()
@@ -92,13 +93,13 @@ def _codes(texts: list[str | None], known: dict[str, int]) -> tuple[np.ndarray,
             found = words(text)
             sizes[i] = len(found)
             try:
-                flat += [known[w] for w in found]
+                flat.extend([known[w] for w in found])
             except KeyError:
                 for w in found:
                     if w not in known:
                         known[w] = xxhash.xxh64_intdigest(w)
-                flat += [known[w] for w in found]
-    return np.array(flat, dtype=np.uint64), sizes
+                flat.extend([known[w] for w in found])
+    return np.frombuffer(flat, dtype=np.uint64) if flat else np.empty(0, dtype=np.uint64), sizes
 
 
 def _segments(sizes: np.ndarray) -> np.ndarray:
@@ -507,12 +508,10 @@ def _prepared(rows: DataFrame, threshold: float, hot_block: int) -> tuple[DataFr
     stage = Staging(rows.sparkSession, "word-sets")
     named = stage.cut(word_sets(rows).withColumn("n", F.monotonically_increasing_id()))
     first = named.groupBy("hash_a", "hash_b").agg(F.min("n").alias("set_id"))
-    placed = stage.cut(named.select("n", "row_id", "hash_a", "hash_b").join(first.hint("merge"), ["hash_a", "hash_b"]).select("n", "row_id", "set_id"))
-    copies = placed.filter("n <> set_id").select("n")
-    sets = stage.cut(named.select("n", "codes").join(copies, "n", "left_anti").select(F.col("n").alias("set_id"), "codes"))
-    member = stage.cut(placed.select("row_id", "set_id").distinct())
+    copies = stage.cut(named.select("n", "hash_a", "hash_b").join(first.hint("merge"), ["hash_a", "hash_b"]).filter("n <> set_id").select("n", "set_id"))
+    sets = stage.cut(named.select("n", "codes").join(copies.select("n"), "n", "left_anti").select(F.col("n").alias("set_id"), "codes"))
+    member = stage.cut(named.select("n", "row_id").join(copies, "n", "left").select("row_id", F.coalesce("set_id", "n").alias("set_id")).distinct())
     stage.drop(named)
-    stage.drop(placed)
     return member, similar_sets(sets, threshold, hot_block)
 
 
