@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime
 import re
-import urllib.parse
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,13 +43,6 @@ def utc(value: str, name: str) -> Column:
     return F.lit(value.removesuffix("Z") + ("" if len(value) == 10 else "+00:00")).cast("timestamp")
 
 
-def web_address(value: str, name: str) -> str:
-    parts = urllib.parse.urlparse(value if isinstance(value, str) else "")
-    if parts.scheme not in ("http", "https") or not parts.netloc:
-        raise InvalidInput(f"{name} must be an http or https address")
-    return value
-
-
 @dataclass(frozen=True)
 class Scope:
     user_id: str

@@ -9,6 +9,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,14 @@ class ProviderConfig:
     batch_size: int = 64
     retries: int = 3
     first_wait_s: float = 0.25
+    endpoint: str = ""
+
+    def __post_init__(self) -> None:
+        if not self.space_id.strip() or self.dimensions < 1 or self.batch_size < 1 or self.retries < 0:
+            raise ValueError("a provider needs a space, dimensions and a batch of at least 1")
+        address = urlparse(self.endpoint)
+        if self.endpoint and (address.scheme not in ("http", "https") or not address.netloc):
+            raise ValueError(f"no http or https address: {self.endpoint}")
 
 
 def embed_batch(provider: Callable[[list[str]], list[tuple[int, list[float]]]], texts: list[str], config: ProviderConfig) -> list[np.ndarray]:

@@ -145,6 +145,9 @@ def test_embedding_connector(spark):
         embedding.embed_batch(Flaky(9), ["a"], config)
     with pytest.raises(embedding.ProviderError):
         embedding.embed_batch(lambda t: [(0, [1.0])], ["a"], config)
+    for bad in (dict(space_id=" ", dimensions=2), dict(space_id="s", dimensions=0), dict(space_id="s", dimensions=2, endpoint="ftp://x"), dict(space_id="s", dimensions=2, endpoint="here")):
+        with pytest.raises(ValueError):
+            embedding.ProviderConfig(**bad)
     rows = spark.createDataFrame([("k1", "aa"), ("k2", None), ("k3", "c")], "key string, body string")
     provider = lambda texts: [(i, [float(len(t)), 1.0]) for i, t in enumerate(texts)]
     assert embedding.embed(rows, provider, config).count() == 3
