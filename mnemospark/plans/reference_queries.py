@@ -438,9 +438,12 @@ def _(t):
     return _hits(t).select("query_id", "memory_id", F.row_number().over(order).alias("place"))
 
 
-@add("u2_repeated_refs", f"WITH {q.EXT} SELECT request_id, client_ref, count(*) AS n FROM ext GROUP BY 1, 2 HAVING count(*) > 1")
+# facts and identities together, and each request's least identity stated again
+@add("u2_repeated_refs", f"WITH {q.EXT}, together AS (SELECT request_id, client_ref FROM ext UNION ALL SELECT request_id, min(client_ref) FROM ext WHERE layer = 'l4_identity' GROUP BY 1) SELECT request_id, client_ref, count(*) AS n FROM together GROUP BY 1, 2 HAVING count(*) > 1")
 def _(t):
-    return ext(t).groupBy("request_id", "client_ref").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = ext(t).filter("layer = 'l4_identity'").groupBy("request_id").agg(F.min("client_ref").alias("client_ref"))
+    together = ext(t).select("request_id", "client_ref").unionByName(again)
+    return together.groupBy("request_id", "client_ref").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
 @add("u4_new_records", _W + "SELECT memory_id FROM rec WHERE memory_id NOT IN (SELECT memory_id FROM memory_record WHERE ingested_at < TIMESTAMPTZ '2025-06-01 00:00:00+00')")
