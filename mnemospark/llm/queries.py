@@ -41,10 +41,10 @@ def p5_found(t):
 _WON = ", ".join(f"max(value) FILTER (field_name = '{f}') AS {f}, max(from_id) FILTER (field_name = '{f}') AS {f}_from" for f in survivorship.FIELDS)
 
 
-@registry.add("p5_survivors", _GROUPS.replace("strftime(occurred_at, '%Y')", "epoch_ms(occurred_at)::VARCHAR").replace("strftime(valid_until, '%Y')", "epoch_ms(valid_until)::VARCHAR") + f"SELECT group_id, {_WON} FROM won GROUP BY group_id")
+@registry.add("p5_survivors", _GROUPS.replace("strftime(occurred_at, '%Y')", "epoch_us(occurred_at)::VARCHAR").replace("strftime(valid_until, '%Y')", "epoch_us(valid_until)::VARCHAR") + f"SELECT group_id, {_WON} FROM won GROUP BY group_id")
 def p5_survivors(t):
     rows = survivorship.surviving_records(t.memory_record)
-    return rows.select("group_id", *[c for f in survivorship.FIELDS for c in ((F.unix_millis(f).cast("string").alias(f) if f in ("occurred_at", "valid_until") else F.col(f)), F.col(f"{f}_from"))])
+    return rows.select("group_id", *[c for f in survivorship.FIELDS for c in ((F.unix_micros(f).cast("string").alias(f) if f in ("occurred_at", "valid_until") else F.col(f)), F.col(f"{f}_from"))])
 
 
 _NEAR = r"""
