@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.operators.retrieval import scope_key
 from mnemospark.operators.rings import on_rings
+from mnemospark.plans.staging import Staging
 
 #: The relation arrays, the layers that are derived from evidence, those that may be stored, and states of predecessors.
 RELATIONS = ["supersedes", "consolidates", "superseded_by"]
@@ -160,15 +161,20 @@ def all_violations(
 
     ``deliveries`` are the distinct contents delivered, before one row an id was chosen; vectors are checked
     where ``embeddings``, ``jobs`` and ``spaces`` are given, at the rank of the layers; ``dataset`` adds the
-    checks of evaluation data.
+    checks of evaluation data.  The columns that checks read are staged once, and each check's result by
+    itself, so that no plan holds all of them.
     """
-    parts = [(rank, check(deliveries if deliveries is not None and check is duplicate_ids else records)) for rank, check in enumerate(CHECKS, 1)]
+    stage = Staging(records.sparkSession, "violations")
+    cols = ["memory_id", "tenant_id", "user_id", "agent_id", "layer", "status", "visibility", "source_type", "chain_id", "revision", *RELATIONS, "source_memory_ids"]
+    deliveries = deliveries if deliveries is not None else records
+    records = stage.cut(records.select(*cols))
+    parts = [(rank, check(deliveries if check is duplicate_ids else records)) for rank, check in enumerate(CHECKS, 1)]
     if embeddings is not None and jobs is not None and spaces is not None:
         parts.append((len(CHECKS), bad_embeddings(records, embeddings, jobs, spaces)))
     if dataset:
         parts.append((len(CHECKS) + 1, dataset_checks(records)))
     out = None
     for rank, found in parts:
-        part = found.withColumn("rank", F.lit(rank))
+        part = stage.cut(found.withColumn("rank", F.lit(rank)))
         out = part if out is None else out.unionByName(part)
     return out
