@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,10 +75,15 @@ def query_pools(queries: DataFrame) -> DataFrame:
 
 
 def document_pools(records: DataFrame, queries: DataFrame) -> DataFrame:
-    """A row per record and asked-for pool it is in, with its channel."""
+    """A row per record and asked-for pool it is in, with its channel and the blocks that the pool's queries are dealt into."""
     pools = F.array(F.lit("*"), F.concat(F.lit("s:"), F.coalesce("source_session_id", F.lit(""))))
     rows = records.withColumn("part", F.explode(pools)).withColumn("pool", F.concat_ws("#", scope_key(), "part")).drop("part")
-    return rows.withColumn("channel", channel(F.col("layer"))).join(queries.select("pool").distinct(), "pool", "left_semi")
+    return rows.withColumn("channel", channel(F.col("layer"))).join(asked_pools(queries), "pool")
+
+
+def asked_pools(queries: DataFrame) -> DataFrame:
+    """(pool, ask_blocks)"""
+    return queries.groupBy("pool").agg(F.ceil(F.count(F.lit(1)) / POOL_BLOCK).cast("int").alias("ask_blocks"))
 
 
 #: A tokenizer that gives more tokens than this, or a longer one, has failed.
@@ -152,7 +158,7 @@ def _cell_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = _Hasher()
     for batch in batches:
         found = [hasher(body) for body in batch.column(batch.num_columns - 1).to_pylist()]
-        lists = [pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))]
+        lists = [pa.array([list(c) for c in found], pa.list_(pa.int16())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))]
         yield pa.RecordBatch.from_arrays(batch.columns[:-1] + lists, names=batch.schema.names[:-1] + ["dims", "cells"])
 
 
@@ -191,7 +197,7 @@ def with_cells(rows: DataFrame, body: str) -> DataFrame:
     """``rows`` with dims and cells, the sparse hash vector, in place of the text column ``body``."""
     kept = [c for c in rows.columns if c != body]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != body)
-    return rows.select(*kept, body).mapInArrow(_cell_lists, f"{kinds}, dims array<int>, cells array<int>")
+    return rows.select(*kept, body).mapInArrow(_cell_lists, f"{kinds}, dims array<smallint>, cells array<int>")
 
 
 def _dense_cells(rows: DataFrame, vector: str, width: int) -> DataFrame:
@@ -230,13 +236,11 @@ def semantic_of(asks: DataFrame, docs: DataFrame, least: float, width: int = tex
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, "query_id string, pool string, channel string, memory_id string, semantic double")
 
 
-def semantic(queries: DataFrame, documents: DataFrame, least: float) -> DataFrame:
-    """(query_id, pool, channel, memory_id, semantic): cosine of hash vectors, at least ``least``.
-
-    Queries and documents of a pool meet in blocks of about ``POOL_BLOCK`` each, and a block pair is one
-    matrix product; a hot owner is many block pairs, not one task.
-    """
-    return semantic_of(with_cells(queries.select("query_id", "pool", "body"), "body"), with_cells(documents.select("pool", "channel", "memory_id", "body"), "body"), least)
+def semantic_topk(ready: Prepared, most: int, config: SearchConfig = SearchConfig()) -> DataFrame:
+    """(query_id, channel, memory_id, semantic, semantic_rank): the first ``most`` of every query and channel by the cosine of hash vectors."""
+    none = F.lit(None).cast("array<string>")
+    hits = fused(ready.asked.withColumn("tokens", none), ready.documents.withColumn("tokens", none), most, config)
+    return hits.select("query_id", "channel", "memory_id", "semantic", "semantic_rank")
 
 
 def _rank(*order: Column) -> Column:
@@ -250,31 +254,155 @@ def weighted(intent: Column, place: int) -> Column:
     return out
 
 
-def fuse(semantic_hits: DataFrame, lexical_hits: DataFrame, queries: DataFrame, updated: DataFrame, rrf_k: float, lexical_breaks_ties: bool = False) -> DataFrame:
-    """(query_id, channel, memory_id, score, matched_by, fused_rank, semantic_rank, lexical_rank) by weighted reciprocal ranks.
+def _table_lists(table: pa.Table, name: str) -> tuple[np.ndarray, pa.Array]:
+    """Lengths of the lists of a column, nulls being empty, and their elements in a row."""
+    lists = table.column(name).combine_chunks()
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten()
+
+
+def _sparse(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, dim, cell, length of each row) of the vectors in dims and cells."""
+    sizes, dims = _table_lists(table, "dims")
+    cells = _table_lists(table, "cells")[1].to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    norms = np.sqrt(np.bincount(row, weights=cells.astype(np.float64) ** 2, minlength=len(sizes)))
+    return row, dims.to_numpy(zero_copy_only=False), cells, norms
+
+
+def _dense(row: np.ndarray, dims: np.ndarray, cells: np.ndarray, norms: np.ndarray, width: int, kind: type) -> np.ndarray:
+    out = np.zeros((len(norms), width), kind)
+    out[row, dims] = cells
+    return out
+
+
+class _Postings:
+    """BM25 gains of the asked terms in the documents of a pool and channel."""
+
+    def __init__(self, asks: pa.Table, docs: pa.Table, k1: float, b: float):
+        ask_sizes, ask_terms = _table_lists(asks, "tokens")
+        sizes, terms = _table_lists(docs, "tokens")
+        known, n = pc.unique(ask_terms.drop_null()), docs.num_rows
+        of = lambda flat: pc.fill_null(pc.index_in(flat, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        term, row = of(terms), np.repeat(np.arange(n), sizes)
+        pairs, tf = np.unique(term[term >= 0] * n + row[term >= 0], return_counts=True)
+        term, self.doc = pairs // n, pairs % n
+        df = np.bincount(term, minlength=len(known))
+        mean = sizes.sum() / n or 1.0
+        self.gain = np.log((n - df + 0.5) / (df + 0.5) + 1)[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[self.doc] / mean))
+        self.ends = np.concatenate([[0], np.cumsum(df)])
+        asked = of(ask_terms)
+        pairs = np.unique(np.repeat(np.arange(asks.num_rows), ask_sizes)[asked >= 0] * max(1, len(known)) + asked[asked >= 0])
+        self.term, self.firsts = pairs % max(1, len(known)), np.searchsorted(pairs // max(1, len(known)), np.arange(asks.num_rows + 1))
+
+    def scores(self, first: int, last: int, n: int) -> np.ndarray:
+        out = np.zeros((last - first, n))
+        for i in range(first, last):
+            for t in self.term[self.firsts[i] : self.firsts[i + 1]]:
+                own = slice(self.ends[t], self.ends[t + 1])
+                out[i - first, self.doc[own]] += self.gain[own]
+        return _units(out)
+
+
+def _units(scores: np.ndarray) -> np.ndarray:
+    """Scores in whole units of their last digit."""
+    return np.rint(np.multiply(scores, 10.0**DIGITS, out=scores), out=scores)
+
+
+def _best(values: np.ndarray, least: float, tie: np.ndarray, most: int) -> np.ndarray:
+    """The first ``most`` of the places with at least ``least``, by descending values, descending tie and place."""
+    hits = np.flatnonzero(values >= (max(least, np.partition(values, len(values) - most)[len(values) - most]) if len(values) > most else least))
+    return hits[np.lexsort((-tie[hits], -values[hits]))][:most]
+
+
+def _ranks(places: np.ndarray, best: np.ndarray, values: np.ndarray, least: float, tie: np.ndarray) -> np.ndarray:
+    """Ranks of ``places`` among all with at least ``least``, 0 for others; ``best`` are the first of them in order."""
+    at = np.argsort(best, kind="stable")
+    found = np.searchsorted(best, places, sorter=at) if len(best) else np.zeros(len(places), np.int64)
+    inside = np.zeros(len(places), bool)
+    inside[found < len(best)] = best[at[found[found < len(best)]]] == places[found < len(best)]
+    out = np.zeros(len(places), np.int64)
+    out[inside] = at[found[inside]] + 1
+    rest = np.flatnonzero(~inside & (values[places] >= least))
+    if len(rest):
+        ordered = np.sort(values)
+        wanted = values[places[rest]]
+        above = np.searchsorted(ordered, wanted, "right")
+        out[rest] = 1 + len(ordered) - above
+        for k in np.flatnonzero(above - np.searchsorted(ordered, wanted, "left") > 1):
+            same, own = np.flatnonzero(values == wanted[k]), places[rest[k]]
+            out[rest[k]] += np.count_nonzero((tie[same] > tie[own]) | ((tie[same] == tie[own]) & (same < own)))
+    return out
+
+
+#: Scores of queries and documents that a task holds at a time.
+SCORES_AT_ONCE = 1_000_000
+
+
+def fused(asks: DataFrame, docs: DataFrame, most: int, config: SearchConfig, width: int = text.HASH_DIMENSIONS, lexical_breaks_ties: bool = False) -> DataFrame:
+    """(query_id, channel, memory_id, score, matched_by, fused_rank, semantic_rank, lexical_rank, semantic): the first ``most`` by weighted reciprocal ranks.
+
+    ``asks(query_id, pool, intent, tokens, dims, cells)``, null tokens closing the lexical channel, and
+    ``docs(pool, channel, memory_id, updated_at, tokens, dims, cells, ask_blocks)``.
 
-    ``queries(query_id, intent)``; ``updated(memory_id, updated_at)``.
+    A task has the documents of a pool and channel and a block of its queries, so both rankings are whole
+    where they are made and only the first hits leave it.  One of the first m by fused score is among the
+    first rrf_k + 2 m of one of the two rankings: past them both parts together are below the share of the m-th of
+    the heavier one.  The ranks of these are counted over all hits, and those that reach the m-th score
+    go to the exact ranking.
     """
-    lexical_hits = lexical_hits.withColumn("lexical_rank", _rank(F.desc("lexical")))
-    if lexical_breaks_ties:
-        ties = lexical_hits.select("query_id", "channel", "memory_id", "lexical_rank")
-        semantic_hits = semantic_hits.join(ties, ["query_id", "channel", "memory_id"], "left").withColumn("semantic_rank", _rank(F.desc("semantic"), F.asc_nulls_last("lexical_rank"))).drop("lexical_rank")
-    else:
-        semantic_hits = semantic_hits.withColumn("semantic_rank", _rank(F.desc("semantic")))
-    none = F.lit(None).cast("int")
-    both = semantic_hits.select("query_id", "channel", "memory_id", "semantic_rank", none.alias("lexical_rank")).unionByName(
-        lexical_hits.select("query_id", "channel", "memory_id", none.alias("semantic_rank"), "lexical_rank")
-    )
-    met = both.groupBy("query_id", "channel", "memory_id").agg(F.max("semantic_rank").alias("semantic_rank"), F.max("lexical_rank").alias("lexical_rank"))
-    met = met.join(queries.select("query_id", "intent"), "query_id").join(updated, "memory_id")
+    keys = ["pool", "channel", "ask_block"]
+    grid = docs.select("pool", "channel", "ask_blocks").distinct()
+    named = [F.col(k).alias(k) for k in keys]  # both sides may stem from one table
+    left = asks.join(grid, "pool").withColumn("ask_block", F.pmod(F.xxhash64("query_id"), F.col("ask_blocks")).cast("int")).select(*named, "query_id", "intent", "tokens", "dims", "cells")
+    right = docs.withColumn("ask_block", F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1))).select(*named, "memory_id", "updated_at", "tokens", "dims", "cells")
+    k1, b, rrf_k, least, near = config.bm25_k1, config.bm25_b, config.rrf_k, config.min_semantic_score, int(np.ceil(config.rrf_k)) + 2 * most + 1
+    floor = np.rint(least * 10.0**DIGITS)
+    kind = docs.schema["updated_at"].dataType.simpleString()
+
+    def score(key: tuple, a: pa.Table, d: pa.Table) -> pa.Table:
+        names = ["query_id", "channel", "intent", "memory_id", "updated_at", "semantic_rank", "lexical_rank", "semantic"]
+        queries, places, ranks, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((2, 0), np.int64)], [np.zeros(0)]
+        n = d.num_rows
+        if a.num_rows and n:
+            d = d.take(pc.sort_indices(d.column("memory_id")))  # so that equal scores are in order of the id
+            postings, one, two = _Postings(a, d, k1, b), _sparse(a), _sparse(d)
+            whole = one[2].dtype.kind == "i" and one[3].max() * two[3].max() < 1 << 24  # products of whole cells are exact then
+            one_m, two_m = (_dense(*x, width, np.float32 if whole else np.float64) for x in (one, two))
+            weights = [WEIGHTS.get(x, WEIGHTS["factual"]) for x in a.column("intent").to_pylist()]
+            step, flat = max(1, SCORES_AT_ONCE // n), np.zeros(n)
+            for first in range(0, a.num_rows, step):
+                last = min(first + step, a.num_rows)
+                lexical = postings.scores(first, last, n)
+                semantic = np.divide(one_m[first:last] @ two_m.T, np.maximum(two[3], 1e-300), dtype=np.float64)
+                semantic = _units(np.divide(semantic, np.maximum(one[3][first:last, None], 1e-300), out=semantic))
+                for i in range(first, last):
+                    s, x = semantic[i - first], lexical[i - first]
+                    s_tie = x if lexical_breaks_ties else flat  # of equal lexical scores the place decides, as in their rank
+                    s_best, x_best = _best(s, floor, s_tie, near), _best(x, 1, flat, near)
+                    near_ones = np.union1d(s_best, x_best)
+                    if not len(near_ones):
+                        continue
+                    r = np.stack([_ranks(near_ones, s_best, s, floor, s_tie), _ranks(near_ones, x_best, x, 1, flat)])
+                    part = np.where(r > 0, np.array(weights[i])[:, None] / (rrf_k + r), 0.0).sum(axis=0)
+                    if len(part) > most:
+                        kept = part >= np.partition(part, len(part) - most)[len(part) - most] - 1e-11
+                        near_ones, r = near_ones[kept], r[:, kept]
+                    queries.append(np.full(len(near_ones), i))
+                    places.append(near_ones)
+                    ranks.append(r)
+                    values.append(s[near_ones] / 10.0**DIGITS)
+        i, j, r, s = pa.array(np.concatenate(queries)), pa.array(np.concatenate(places)), np.concatenate(ranks, axis=1), np.concatenate(values)
+        cols = [a.column("query_id").take(i), pa.array([key[1].as_py()] * len(i), pa.string()), a.column("intent").take(i), d.column("memory_id").take(j), d.column("updated_at").take(j)]
+        return pa.table([*cols, *[pa.array(x.astype(np.int32), mask=x == 0) for x in r], pa.array(s, mask=r[0] == 0)], names=names)
+
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, f"query_id string, channel string, intent string, memory_id string, updated_at {kind}, semantic_rank int, lexical_rank int, semantic double")
     part = lambda place, rank: F.coalesce(weighted(F.col("intent"), place) / (rrf_k + F.col(rank)), F.lit(0.0))
-    score = F.round(part(0, "semantic_rank") + part(1, "lexical_rank"), 12)
+    score_of = F.round(part(0, "semantic_rank") + part(1, "lexical_rank"), 12)
     names = F.array_compact(F.array(F.when(F.col("semantic_rank").isNotNull(), "semantic"), F.when(F.col("lexical_rank").isNotNull(), "lexical"), F.when(F.col("channel") == "profile", "profile")))
-    met = met.withColumn("score", score).withColumn("matched_by", F.array_join(names, ","))
+    met = met.withColumn("score", score_of).withColumn("matched_by", F.array_join(names, ","))
     first = F.coalesce(F.col("semantic_rank").cast("long"), F.lit(1 << 40) + F.col("lexical_rank"))
-    return met.withColumn("fused_rank", _rank(F.desc("score"), F.desc_nulls_last("updated_at"), first)).select(
-        "query_id", "channel", "memory_id", "score", "matched_by", "fused_rank", "semantic_rank", "lexical_rank"
-    )
+    met = met.withColumn("fused_rank", _rank(F.desc("score"), F.desc_nulls_last("updated_at"), first)).filter(F.col("fused_rank") <= most)
+    return met.select("query_id", "channel", "memory_id", "score", "matched_by", "fused_rank", "semantic_rank", "lexical_rank", "semantic")
 
 
 @dataclass(frozen=True)
@@ -311,37 +439,50 @@ def prepare(records: DataFrame, queries: DataFrame, as_of: Column, layers: list[
     if layers is not None:
         pool = pool.filter(F.col("layer").isin(layers))
     asked = stage.cut(with_cells(asked, "body"))
-    documents = document_pools(pool, asked).select("pool", "channel", "memory_id", "updated_at", tokenizer(search_text()).alias("tokens"), F.coalesce("content", F.lit("")).alias("body"))
+    documents = document_pools(pool, asked).select("pool", "channel", "ask_blocks", "memory_id", "updated_at", tokenizer(search_text()).alias("tokens"), F.coalesce("content", F.lit("")).alias("body"))
     return Prepared(asked, stage.cut(with_cells(documents, "body")))
 
 
+def _open(ready: Prepared) -> DataFrame:
+    """The queries, without tokens where the lexical channel is closed."""
+    closed = closed_lexical(ready.asked, ready.documents).withColumn("closed", F.lit(True))
+    return ready.asked.join(closed, "query_id", "left").withColumn("tokens", F.when(F.col("closed").isNull(), F.col("tokens"))).drop("closed")
+
+
 def search_prepared(ready: Prepared, config: SearchConfig = SearchConfig(), space: Space | None = None) -> DataFrame:
     """Ranked hits of ``prepare``, each channel cut at its own quota; queries whose tokenizer failed have no lexical hits."""
-    lexical_hits = bm25_of(ready.asked, ready.documents, config.bm25_k1, config.bm25_b).join(closed_lexical(ready.asked, ready.documents), "query_id", "left_anti")
-    if space is None:
-        semantic_hits = semantic_of(ready.asked.select("query_id", "pool", "dims", "cells"), ready.documents.select("pool", "channel", "memory_id", "dims", "cells"), config.min_semantic_score)
-    else:
-        mine = space.stored.filter(F.col("space_id") == space.space_id)
+    asked, documents, width = _open(ready), ready.documents, text.HASH_DIMENSIONS
+    if space is not None:
+        mine, width = space.stored.filter(F.col("space_id") == space.space_id), space.dimensions
         if not mine.filter((F.col("dimensions") != space.dimensions) | F.col("dimensions").isNull()).isEmpty():
             raise SpaceMismatch(f"space {space.space_id} holds vectors of another width than {space.dimensions}")
-        stored = _dense_cells(mine.select("memory_id", "vector").dropDuplicates(["memory_id"]), "vector", space.dimensions)
-        asked = _dense_cells(ready.asked.select("query_id", "pool").join(space.asked.select("query_id", "vector"), "query_id"), "vector", space.dimensions)
-        semantic_hits = semantic_of(asked, ready.documents.select("pool", "channel", "memory_id").join(stored, "memory_id"), config.min_semantic_score, space.dimensions)
-    updated = ready.documents.select("memory_id", "updated_at").distinct()
-    hits = fuse(semantic_hits, lexical_hits, ready.asked, updated, config.rrf_k)
+        stored = _dense_cells(mine.select("memory_id", "vector").dropDuplicates(["memory_id"]), "vector", width)
+        vectors_of = _dense_cells(space.asked.select("query_id", "vector"), "vector", width)
+        asked, documents = asked.drop("dims", "cells").join(vectors_of, "query_id", "left"), documents.drop("dims", "cells").join(stored, "memory_id", "left")
+    hits = fused(asked, documents, max(config.profile_limit, config.recall_limit), config, width).drop("semantic")
     most = F.when(F.col("channel") == "profile", F.lit(config.profile_limit)).otherwise(F.lit(config.recall_limit))
     return hits.filter(F.col("fused_rank") <= most)
 
 
+def _settled(hits: DataFrame, ready: Prepared) -> DataFrame:
+    """``hits`` staged, and the tables they were made of removed."""
+    stage = Staging(hits.sparkSession, "hits")
+    out = stage.cut(hits)
+    stage.drop(ready.asked)
+    stage.drop(ready.documents)
+    return out
+
+
 def search(
     records: DataFrame, queries: DataFrame, as_of: Column, config: SearchConfig = SearchConfig(), layers: list[str] | None = None, tokenizer: text.Tokenizer = text.tokenize, space: Space | None = None
 ) -> DataFrame:
     """Ranked hits of every query within its owner's records, each channel cut at its own quota.
 
     ``queries(query_id, tenant_id, user_id, agent_id, session_id, session_only, query_text)``; the semantic channel
-    is the hash space, or the trained ``space``.
+    is the hash space, or the trained ``space``.  The hits are staged, and nothing else of the search stays on disk.
     """
-    return search_prepared(prepare(records, queries, as_of, layers, tokenizer), config, space)
+    ready = prepare(records, queries, as_of, layers, tokenizer)
+    return _settled(search_prepared(ready, config, space), ready)
 
 
 def diagnostics(hits: DataFrame, ready: Prepared, rrf_k: float, space: Space | None = None) -> DataFrame:
@@ -415,8 +556,6 @@ def shortlist(extracted: DataFrame, records: DataFrame, as_of: Column, config: S
     asked = extracted.filter(layers).select(F.col("source_id").alias("query_id"), pool, text.intent(F.col("content")).alias("intent"), tokenizer(F.col("content")).alias("tokens"), F.col("content").alias("body"))
     asked = stage.cut(with_cells(asked, "body"))
     documents = recallable(records, as_of).filter(layers).select(pool, F.lit("all").alias("channel"), "memory_id", "updated_at", tokenizer(search_text()).alias("tokens"), F.coalesce("content", F.lit("")).alias("body"))
-    ready = Prepared(asked, stage.cut(with_cells(documents.join(asked.select("pool").distinct(), "pool", "left_semi"), "body")))
-    lexical_hits = bm25_of(ready.asked, ready.documents, config.bm25_k1, config.bm25_b).join(closed_lexical(ready.asked, ready.documents), "query_id", "left_anti")
-    semantic_hits = semantic_of(ready.asked.select("query_id", "pool", "dims", "cells"), ready.documents.select("pool", "channel", "memory_id", "dims", "cells"), config.min_semantic_score)
-    hits = fuse(semantic_hits, lexical_hits, ready.asked, ready.documents.select("memory_id", "updated_at").distinct(), config.rrf_k, lexical_breaks_ties=True)
-    return hits.filter(F.col("fused_rank") <= config.reconcile_limit).select(F.col("query_id").alias("source_id"), "memory_id", "score", F.col("fused_rank").alias("shortlist_rank"))
+    ready = Prepared(asked, stage.cut(with_cells(documents.join(asked_pools(asked), "pool"), "body")))
+    hits = _settled(fused(_open(ready), ready.documents, config.reconcile_limit, config, lexical_breaks_ties=True), ready)
+    return hits.select(F.col("query_id").alias("source_id"), "memory_id", "score", F.col("fused_rank").alias("shortlist_rank"))

@@ -306,10 +306,8 @@ def _(t):
 
 @add("r3_semantic_topk", q.search() + "SELECT query_id, channel, memory_id, r, round(s, 6) AS score FROM semr WHERE r <= 10")
 def _(t):
-    asked = _asked(t)
-    hits = retrieval.semantic(asked, _documents(t, asked).select("pool", "channel", "memory_id", F.col("content").alias("body")), 0.08)
-    order = Window.partitionBy("query_id", "channel").orderBy(F.desc("semantic"), "memory_id")
-    return hits.withColumn("r", F.row_number().over(order)).filter("r <= 10").select("query_id", "channel", "memory_id", "r", F.round("semantic", 6).alias("score"))
+    hits = retrieval.semantic_topk(retrieval.prepare(rec(t), qry(t), as_of()), 10)
+    return hits.select("query_id", "channel", "memory_id", F.col("semantic_rank").alias("r"), F.round("semantic", 6).alias("score"))
 
 
 @add("r6_intent_weights", f"""WITH {q.QRY}, i AS (SELECT query_id, {q.intent('query_text')} AS intent FROM qry)

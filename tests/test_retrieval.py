@@ -1,5 +1,7 @@
 import datetime as dt
 import math
+import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,3 +124,56 @@ def test_lifecycle_rates(spark):
     assert {r.language: (r.total, r.compressed, r.value) for r in metrics.compression(seen).collect()} == {None: (2, 1, 0.5), "zh": (1, 1, 1.0), "en": (1, 0, 0.0)}
     assert {r.fault_scenario: (r.accepted, r.degraded) for r in metrics.degradation(seen).collect()} == {"nominal": (4, 0), "injected_model_failure": (0, 0), "invalid_json": (1, 1), "schema_failure": (0, 0)}
     assert metrics.confusion(seen.limit(0)).count() == 3
+
+
+def _all_pairs(spark, seed, breaks_ties, n_docs=400, n_asks=12):
+    """Random texts of few words, so that many scores tie, and the hits of the whole rankings by plain Python."""
+    rng, words = random.Random(seed), [f"w{i}" for i in range(30)]
+    body = lambda: " ".join(rng.choices(words, k=rng.randint(1, 6)))
+    docs = [("p", "c", f"d{i:04d}", T0 + dt.timedelta(hours=rng.randint(0, 3)), body()) for i in range(n_docs)]
+    asks = [(f"q{i}", "p", rng.choice(["factual", "conceptual", "navigational"]), body()) for i in range(n_asks)]
+    hasher, want = retrieval._Hasher(), []
+    cells = {d[2]: hasher(d[4]) for d in docs}
+    norm = lambda c: math.sqrt(sum(v * v for v in c.values()))
+    mean = sum(len(d[4].split()) for d in docs) / len(docs)
+    for query, _, kind, said in asks:
+        own, lexical, semantic = hasher(said), {}, {}
+        for _, _, key, _, text in docs:
+            dot = sum(v * cells[key].get(k, 0) for k, v in own.items())
+            s = round(dot / (norm(own) * norm(cells[key])), 9) if norm(own) and norm(cells[key]) else 0
+            if s >= 0.08:
+                semantic[key] = s
+            x = 0
+            for w in set(said.split()):
+                f, df = text.split().count(w), sum(w in d[4].split() for d in docs)
+                x += math.log((len(docs) - df + 0.5) / (df + 0.5) + 1) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * len(text.split()) / mean))
+            if round(x, 9) > 0:
+                lexical[key] = round(x, 9)
+        xr = {key: r for r, key in enumerate(sorted(lexical, key=lambda k: (-lexical[k], k)), 1)}
+        sr = {key: r for r, key in enumerate(sorted(semantic, key=lambda k: (-semantic[k], xr.get(k, 1 << 40) if breaks_ties else 0, k)), 1)}
+        ws, wx = retrieval.WEIGHTS[kind]
+        at = {d[2]: d[3].timestamp() for d in docs}
+        score = lambda k: round((ws / (5 + sr[k]) if k in sr else 0) + (wx / (5 + xr[k]) if k in xr else 0), 12)  # noqa: B023, E731
+        first = sorted({*sr, *xr}, key=lambda k: (-score(k), -at[k], sr.get(k, (1 << 40) + xr.get(k, 0)), k))[:8]  # noqa: B023
+        want += [(query, k, r, sr.get(k), xr.get(k)) for r, k in enumerate(first, 1)]
+    docs = spark.createDataFrame(docs, "pool string, channel string, memory_id string, updated_at timestamp, body string")
+    asks = spark.createDataFrame(asks, "query_id string, pool string, intent string, body string")
+    tokens = lambda rows: retrieval.with_cells(rows.withColumn("tokens", F.split("body", " ")), "body")
+    return tokens(asks), tokens(docs.withColumn("ask_blocks", F.lit(3))), sorted(want)
+
+
+@pytest.mark.parametrize("breaks_ties", [False, True])
+def test_first_hits_are_those_of_the_whole_rankings(spark, breaks_ties):
+    """Ranks far down one list count; only the first hits leave the tasks."""
+    asks, docs, want = _all_pairs(spark, 7, breaks_ties)
+    hits = retrieval.fused(asks, docs, 8, retrieval.SearchConfig(rrf_k=5.0), lexical_breaks_ties=breaks_ties)
+    assert sorted((h.query_id, h.memory_id, h.fused_rank, h.semantic_rank, h.lexical_rank) for h in hits.collect()) == want
+    assert any((s or 0) > 22 or (x or 0) > 22 for *_, s, x in want)
+
+
+def test_a_search_leaves_nothing_but_its_hits_on_disk(spark):
+    folder = retrieval.Staging(spark, "probe").root.removeprefix("file://").rsplit("/", 1)[0]
+    before = set(os.listdir(folder))
+    hits = retrieval.search(records(spark, 6), queries(spark, "tea"), F.lit("2025-02-01").cast("timestamp"))
+    left = [d for d in set(os.listdir(folder)) - before if any(os.scandir(f"{folder}/{d}"))]
+    assert hits.count() == 6 and [d.split("-")[0] for d in left] == ["hits"]
