@@ -151,30 +151,76 @@ def dataset_checks(records: DataFrame) -> DataFrame:
     return out
 
 
-CHECKS = [duplicate_ids, missing_targets, crossing_scopes, ambiguous_types, missing_reverse, cycles, revisions_not_rising, predecessor_states, many_heads, deleted_recallable, without_evidence, bad_layers]
+def _linked(records: DataFrame) -> DataFrame:
+    """``edges`` of all relations with the state of both ends; dst_scope is null where the target is missing."""
+    state = lambda end: records.select(F.col("memory_id").alias(end), scope_key().alias(f"{end}_scope"), *[F.col(c).alias(f"{end}_{c}") for c in ("revision", "status", "visibility", "chain_id", "layer")])
+    src = state("src").drop("src_status", "src_visibility", "src_layer")
+    return edges(records, *RELATIONS, "source_memory_ids").join(src, "src").join(state("dst"), "dst", "left")
+
+
+def _marked(rows: DataFrame, marks: list[tuple[int, str, Column, str, str | None]]) -> DataFrame:
+    """(rank, code, memory_id, other_id) of every mark (rank, code, condition, subject, other) that a row meets."""
+    other = lambda c: F.col(c) if c else F.lit(None).cast("string")
+    found = [F.when(met, F.struct(F.lit(rank).alias("rank"), F.lit(code).alias("code"), F.col(subject).alias("memory_id"), other(c).alias("other_id"))) for rank, code, met, subject, c in marks]
+    return rows.select(F.explode(F.array_compact(F.array(*found))).alias("m")).select("m.*")
+
+
+def _link_violations(linked: DataFrame, dataset: bool) -> DataFrame:
+    """c2, c3, c7, c8 and the data set's checks of single links."""
+    there, evidence = F.col("dst_scope").isNotNull(), F.col("relation") == "source_memory_ids"
+    forward = there & F.col("relation").isin("supersedes", "consolidates")
+    crossing, falling = there & (F.col("src_scope") != F.col("dst_scope")), forward & (F.col("src_revision") <= F.col("dst_revision"))
+    left_as = lambda allowed: forward & ~F.coalesce(F.col("dst_status").isin(allowed) & (F.col("dst_visibility") == "source_only"), F.lit(False))
+    apart = forward & (F.col("src_chain_id").isNull() | F.col("dst_chain_id").isNull() | (F.col("src_chain_id") != F.col("dst_chain_id")))
+    marks = [(2, "c2", ~there & ~evidence, "src", "dst"), (3, "c3", crossing & ~evidence, "src", "dst"), (7, "c7", falling, "src", "dst"), (8, "c8", left_as(PREDECESSOR), "dst", "src")]
+    if dataset:
+        raw = F.coalesce(F.col("dst_layer") == "l1_raw", F.lit(False))
+        marks += [(13, "c13_missing", ~there, "src", "dst"), (13, "c13_owner", crossing, "src", "dst"), (13, "c13_evidence", there & evidence & ~raw, "src", "dst")]
+        marks += [(13, "c13_revision", falling, "src", "dst"), (13, "c13_chain", apart, "src", "dst"), (13, "c13_predecessor", left_as(["superseded"]), "dst", "src")]
+    return _marked(linked, marks).distinct()  # a pair may be linked by several relations
+
+
+def _pair_violations(linked: DataFrame, dataset: bool) -> DataFrame:
+    """c4, c5 and the data set's missing links: of a successor and its predecessor which of the three links there are."""
+    back = F.col("relation") == "superseded_by"
+    rows = linked.filter(F.col("dst_scope").isNotNull() & (F.col("relation") != "source_memory_ids"))
+    rows = rows.select(F.when(back, F.col("dst")).otherwise(F.col("src")).alias("head"), F.when(back, F.col("src")).otherwise(F.col("dst")).alias("prior"), "relation")
+    pairs = rows.groupBy("head", "prior").agg(*[F.max(F.col("relation") == r).alias(r) for r in RELATIONS])
+    forward, back = F.col("supersedes") | F.col("consolidates"), F.col("superseded_by")
+    marks = [(4, "c4", F.col("supersedes") & F.col("consolidates"), "head", "prior")]
+    for rank, code in [(5, "c5"), (13, "c13")][: 1 + dataset]:
+        marks += [(rank, f"{code}_forward", forward & ~back, "head", "prior"), (rank, f"{code}_backward", back & ~forward, "prior", "head")]
+    return _marked(pairs, marks)
 
 
 def all_violations(
     records: DataFrame, deliveries: DataFrame | None = None, embeddings: DataFrame | None = None, jobs: DataFrame | None = None, spaces: DataFrame | None = None, dataset: bool = False
 ) -> DataFrame:
-    """(rank, code, memory_id, other_id) of every check over one state.
+    """(code, memory_id, other_id, rank) of every check over one state.
 
     ``deliveries`` are the distinct contents delivered, before one row an id was chosen; vectors are checked
     where ``embeddings``, ``jobs`` and ``spaces`` are given, at the rank of the layers; ``dataset`` adds the
-    checks of evaluation data.  The columns that checks read are staged once, and each check's result by
-    itself, so that no plan holds all of them.
+    checks of evaluation data.  The links and the states of their ends are joined and staged once: the checks
+    of links are conditions on that table, so that no plan joins again what another has joined.
     """
     stage = Staging(records.sparkSession, "violations")
     cols = ["memory_id", "tenant_id", "user_id", "agent_id", "layer", "status", "visibility", "source_type", "chain_id", "revision", *RELATIONS, "source_memory_ids"]
     deliveries = deliveries if deliveries is not None else records
     records = stage.cut(records.select(*cols))
-    parts = [(rank, check(deliveries if check is duplicate_ids else records)) for rank, check in enumerate(CHECKS, 1)]
+    linked = stage.cut(_linked(records))
+    order = ["code", "memory_id", "other_id", "rank"]
+    ranked = lambda found, rank: found.withColumn("rank", F.lit(rank))
+    links = linked.filter("relation = 'superseded_by' AND dst_scope IS NOT NULL").select("src", "dst")
+    heads = stage.cut(ranked(many_heads(records), 9))
+    parts = [ranked(duplicate_ids(deliveries), 1), _link_violations(linked, dataset), _pair_violations(linked, dataset), ranked(_found(on_rings(links), "c6", F.col("node"), F.col("ring")), 6)]
+    parts += [ranked(deleted_recallable(records), 10), ranked(without_evidence(records), 11), ranked(bad_layers(records), 12)]
     if embeddings is not None and jobs is not None and spaces is not None:
-        parts.append((len(CHECKS), bad_embeddings(records, embeddings, jobs, spaces)))
+        parts.append(ranked(bad_embeddings(records, embeddings, jobs, spaces), 12))
+    out = heads.select(*order)
     if dataset:
-        parts.append((len(CHECKS) + 1, dataset_checks(records)))
-    out = None
-    for rank, found in parts:
-        part = stage.cut(found.withColumn("rank", F.lit(rank)))
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(heads.select(F.lit("c13_heads").alias("code"), "memory_id", "other_id", F.lit(13).alias("rank")))
+    for found in parts:
+        out = out.unionByName(stage.cut(found.select(*order)))
+    stage.drop(linked)
+    stage.drop(records)
     return out
