@@ -9,6 +9,7 @@ they are ranked, which makes ties independent of the order of summation, and eve
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -314,28 +315,120 @@ def _best(values: np.ndarray, least: float, tie: np.ndarray, most: int) -> np.nd
     return hits[np.lexsort((-tie[hits], -values[hits]))][:most]
 
 
-def _ranks(places: np.ndarray, best: np.ndarray, values: np.ndarray, least: float, tie: np.ndarray) -> np.ndarray:
-    """Ranks of ``places`` among all with at least ``least``, 0 for others; ``best`` are the first of them in order."""
+def _ranks_in(places: np.ndarray, best: np.ndarray) -> np.ndarray:
+    """Ranks of ``places`` in ``best``, 0 for others."""
     at = np.argsort(best, kind="stable")
     found = np.searchsorted(best, places, sorter=at) if len(best) else np.zeros(len(places), np.int64)
     inside = np.zeros(len(places), bool)
     inside[found < len(best)] = best[at[found[found < len(best)]]] == places[found < len(best)]
     out = np.zeros(len(places), np.int64)
     out[inside] = at[found[inside]] + 1
-    rest = np.flatnonzero(~inside & (values[places] >= least))
-    if len(rest):
-        ordered = np.sort(values)
-        wanted = values[places[rest]]
-        above = np.searchsorted(ordered, wanted, "right")
-        out[rest] = 1 + len(ordered) - above
-        for k in np.flatnonzero(above - np.searchsorted(ordered, wanted, "left") > 1):
-            same, own = np.flatnonzero(values == wanted[k]), places[rest[k]]
-            out[rest[k]] += np.count_nonzero((tie[same] > tie[own]) | ((tie[same] == tie[own]) & (same < own)))
     return out
 
 
-#: Scores of queries and documents that a task holds at a time.
-SCORES_AT_ONCE = 1_000_000
+def _rank_of(place: int, values: np.ndarray, tie: np.ndarray) -> int:
+    """The rank of a place among all, in the order of ``_best``."""
+    above = np.count_nonzero(values > values[place])
+    if np.count_nonzero(values >= values[place]) > above + 1:
+        same = np.flatnonzero(values == values[place])
+        above += np.count_nonzero((tie[same] > tie[place]) | ((tie[same] == tie[place]) & (same < place)))
+    return 1 + above
+
+
+def _first(places: np.ndarray, lists: list[tuple], weights: tuple, rrf_k: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of ``places`` those that reach the m-th score, and their ranks by list; ``lists`` has (best, values, least, tie) of each, and every place is in some best.
+
+    Past the best of a list a rank is above their number, which bounds its part; ranks are counted from the highest
+    bound down, until a bound is below the m-th score.
+    """
+    ranks = np.stack([_ranks_in(places, best) for best, *_ in lists])
+    parts = np.where(ranks > 0, np.array(weights)[:, None] / (rrf_k + ranks), 0.0)
+    uncounted = np.stack([(r == 0) & (values[places] >= least) for r, (_, values, least, _) in zip(ranks, lists, strict=True)])
+    score = parts.sum(axis=0)
+    bound = score + sum(u * w / (rrf_k + len(best) + 1) for u, w, (best, *_) in zip(uncounted, weights, lists, strict=True))
+    bar = lambda: np.partition(score, len(score) - most)[len(score) - most] - 1e-11 if len(score) > most else -1.0
+    least_score, left = bar(), np.flatnonzero(uncounted.any(axis=0))
+    for j in left[np.argsort(-bound[left], kind="stable")]:
+        if bound[j] < least_score:
+            break
+        for k, (_, values, _, tie) in enumerate(lists):
+            if uncounted[k, j]:
+                ranks[k, j] = _rank_of(places[j], values, tie)
+                parts[k, j] = weights[k] / (rrf_k + ranks[k, j])
+        uncounted[:, j] = False
+        score[j] = parts[:, j].sum()
+        if score[j] > least_score:
+            least_score = bar()
+    kept = ~uncounted.any(axis=0) & (score >= least_score)
+    return places[kept], ranks[:, kept]
+
+
+#: Of a packed text: kind and number of the lengths of its tokens, of its dims and of its cells.
+_HEAD = struct.Struct("<cicici")
+
+
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """Whole numbers in the narrowest kind that holds them all, others as float64."""
+    if values.dtype.kind not in "iu":
+        return values.astype("<f8")
+    low, high = (int(values.min()), int(values.max())) if len(values) else (0, 0)
+    return values.astype("b" if -128 <= low and high < 128 else "B" if low >= 0 and high < 256 else "<i4" if -(1 << 31) <= low and high < 1 << 31 else "<i8")
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with tokens, dims and cells last to rows with one packed value in their place; null lists are empty."""
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        n_tokens, tokens = _table_lists(table, "tokens")
+        lengths = pc.fill_null(pc.binary_length(tokens), -1).to_numpy(zero_copy_only=False)
+        said, buffer = tokens.fill_null(""), b""
+        if len(said):
+            first = np.frombuffer(said.buffers()[1], np.int32)[said.offset : said.offset + len(said) + 1].astype(np.int64)
+            buffer = memoryview(said.buffers()[2] or b"")
+        else:
+            first = np.zeros(1, np.int64)
+        parts, kinds, ends = [], [], []
+        for sizes, values in ((n_tokens, lengths), *((n, x.to_numpy(zero_copy_only=False)) for n, x in (_table_lists(table, c) for c in ("dims", "cells")))):
+            values, end = _narrow(values), np.concatenate([[0], np.cumsum(sizes)])
+            parts.append(memoryview(values.tobytes()))
+            kinds.append(values.dtype.char.encode())
+            ends.append((end.tolist(), (end * values.itemsize).tolist()))
+        first = first[np.asarray(ends[0][0], np.int64)].tolist()
+        packed = []
+        for i in range(batch.num_rows):
+            counts = [own[i + 1] - own[i] for own, _ in ends]
+            head = _HEAD.pack(kinds[0], counts[0], kinds[1], counts[1], kinds[2], counts[2])
+            packed.append(b"".join([head, *(x[at[i] : at[i + 1]] for x, (_, at) in zip(parts, ends, strict=True)), buffer[first[i] : first[i + 1]]]))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(packed, pa.binary())], names=[*batch.schema.names[:-3], "packed"])
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """``rows`` with tokens, dims and cells packed into one column, half of their size in a shuffle."""
+    kept = [c for c in rows.columns if c not in ("tokens", "dims", "cells")]
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
+    return rows.select(*kept, "tokens", "dims", "cells").mapInArrow(_pack, f"{kinds}, packed binary")
+
+
+def _unpacked(table: pa.Table) -> pa.Table:
+    """``packed`` undone."""
+    rows, parts, counts, said = table.column("packed").to_pylist(), [[], [], []], [[], [], []], []
+    for row in rows:
+        head, at = _HEAD.unpack_from(row), _HEAD.size
+        for k in range(3):
+            parts[k].append(np.frombuffer(row, np.dtype(head[2 * k].decode()), head[2 * k + 1], at))
+            counts[k].append(head[2 * k + 1])
+            at += parts[k][-1].nbytes
+        said.append(row[at:])
+    lengths, dims, cells = (np.concatenate(x) if x else np.zeros(0, np.int8) for x in parts)
+    offsets = np.concatenate([[0], np.cumsum(np.maximum(lengths.astype(np.int64), 0))])
+    known = pa.array(lengths >= 0).buffers()[1]
+    tokens = pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(offsets), pa.py_buffer(b"".join(said)), known)
+    lists = [pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int64), x) for n, x in zip(counts, (tokens, pa.array(dims), pa.array(cells)), strict=True)]
+    return table.drop_columns("packed").append_column("tokens", lists[0]).append_column("dims", lists[1]).append_column("cells", lists[2])
+
+
+#: Scores of queries and documents that a task holds at a time, and products of their cells.
+SCORES_AT_ONCE, PRODUCTS_AT_ONCE = 1_000_000, 6_000_000
 
 
 def fused(asks: DataFrame, docs: DataFrame, most: int, config: SearchConfig, width: int = text.HASH_DIMENSIONS, lexical_breaks_ties: bool = False) -> DataFrame:
@@ -347,14 +440,14 @@ def fused(asks: DataFrame, docs: DataFrame, most: int, config: SearchConfig, wid
     A task has the documents of a pool and channel and a block of its queries, so both rankings are whole
     where they are made and only the first hits leave it.  One of the first m by fused score is among the
     first rrf_k + 2 m of one of the two rankings: past them both parts together are below the share of the m-th of
-    the heavier one.  The ranks of these are counted over all hits, and those that reach the m-th score
-    go to the exact ranking.
+    the heavier one.  The ranks of these are counted over all hits where they can reach the m-th score, and those that
+    do go to the exact ranking.
     """
     keys = ["pool", "channel", "ask_block"]
     grid = docs.select("pool", "channel", "ask_blocks").distinct()
     named = [F.col(k).alias(k) for k in keys]  # both sides may stem from one table
-    left = asks.join(grid, "pool").withColumn("ask_block", F.pmod(F.xxhash64("query_id"), F.col("ask_blocks")).cast("int")).select(*named, "query_id", "intent", "tokens", "dims", "cells")
-    right = docs.withColumn("ask_block", F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1))).select(*named, "memory_id", "updated_at", "tokens", "dims", "cells")
+    left = packed(asks.select("query_id", "pool", "intent", "tokens", "dims", "cells")).join(grid, "pool").withColumn("ask_block", F.pmod(F.xxhash64("query_id"), F.col("ask_blocks")).cast("int")).select(*named, "query_id", "intent", "packed")
+    right = packed(docs.select("pool", "channel", "ask_blocks", "memory_id", "updated_at", "tokens", "dims", "cells")).withColumn("ask_block", F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1))).select(*named, "memory_id", "updated_at", "packed")
     k1, b, rrf_k, least, near = config.bm25_k1, config.bm25_b, config.rrf_k, config.min_semantic_score, int(np.ceil(config.rrf_k)) + 2 * most + 1
     floor = np.rint(least * 10.0**DIGITS)
     kind = docs.schema["updated_at"].dataType.simpleString()
@@ -365,15 +458,19 @@ def fused(asks: DataFrame, docs: DataFrame, most: int, config: SearchConfig, wid
         n = d.num_rows
         if a.num_rows and n:
             d = d.take(pc.sort_indices(d.column("memory_id")))  # so that equal scores are in order of the id
+            a, d = _unpacked(a), _unpacked(d)
             postings, one, two = _Postings(a, d, k1, b), _sparse(a), _sparse(d)
             whole = one[2].dtype.kind == "i" and one[3].max() * two[3].max() < 1 << 24  # products of whole cells are exact then
             one_m, two_m = (_dense(*x, width, np.float32 if whole else np.float64) for x in (one, two))
             weights = [WEIGHTS.get(x, WEIGHTS["factual"]) for x in a.column("intent").to_pylist()]
             step, flat = max(1, SCORES_AT_ONCE // n), np.zeros(n)
+            many = step * max(1, PRODUCTS_AT_ONCE // SCORES_AT_ONCE)
             for first in range(0, a.num_rows, step):
                 last = min(first + step, a.num_rows)
+                if first % many == 0:  # a product of many rows takes half the time of its parts
+                    products = one_m[first : first + many] @ two_m.T
                 lexical = postings.scores(first, last, n)
-                semantic = np.divide(one_m[first:last] @ two_m.T, np.maximum(two[3], 1e-300), dtype=np.float64)
+                semantic = np.divide(products[first % many : first % many + last - first], np.maximum(two[3], 1e-300), dtype=np.float64)
                 semantic = _units(np.divide(semantic, np.maximum(one[3][first:last, None], 1e-300), out=semantic))
                 for i in range(first, last):
                     s, x = semantic[i - first], lexical[i - first]
@@ -382,11 +479,7 @@ def fused(asks: DataFrame, docs: DataFrame, most: int, config: SearchConfig, wid
                     near_ones = np.union1d(s_best, x_best)
                     if not len(near_ones):
                         continue
-                    r = np.stack([_ranks(near_ones, s_best, s, floor, s_tie), _ranks(near_ones, x_best, x, 1, flat)])
-                    part = np.where(r > 0, np.array(weights[i])[:, None] / (rrf_k + r), 0.0).sum(axis=0)
-                    if len(part) > most:
-                        kept = part >= np.partition(part, len(part) - most)[len(part) - most] - 1e-11
-                        near_ones, r = near_ones[kept], r[:, kept]
+                    near_ones, r = _first(near_ones, [(s_best, s, floor, s_tie), (x_best, x, 1, flat)], weights[i], rrf_k, most)
                     queries.append(np.full(len(near_ones), i))
                     places.append(near_ones)
                     ranks.append(r)

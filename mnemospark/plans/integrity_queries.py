@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.operators import evolution, graph_checks, retrieval
 from mnemospark.plans import common_sql as q
-from mnemospark.plans.reference_queries import SCOPE, _sources, as_of, emb, ext, job, rec
+from mnemospark.plans.reference_queries import SCOPE, _sources, as_of, emb, ext, job, live, rec
 from mnemospark.registry import Registry
 
 registry = Registry()
@@ -401,7 +401,7 @@ UNION SELECT 'target_crosses_layers', wanted.request_id, layered.client_ref, tar
 def _(t):
     asked = ext(t).select("request_id", "client_ref", "speculate", F.col("extract_id").alias("source_id")).join(_sources(t), "source_id").filter(F.col("layer").isin("l2_fact", "l4_identity"))
     layer = rec(t).select("memory_id", "layer")
-    found = retrieval.shortlist(_sources(t), rec(t), as_of()).join(asked.select("source_id", "request_id", "client_ref"), "source_id").select("request_id", "client_ref", "memory_id", "shortlist_rank").join(layer, "memory_id")
+    found = retrieval.shortlist(_sources(t), live(t), as_of()).join(asked.select("source_id", "request_id", "client_ref"), "source_id").select("request_id", "client_ref", "memory_id", "shortlist_rank").join(layer, "memory_id")
     top = found.filter("shortlist_rank = 1").groupBy("request_id", "client_ref").agg(F.min("memory_id").alias("best"))
     keys = ["op_id", "request_id", "type", "source_refs", "target_ids"]
     one = asked.filter("speculate IS NULL").join(top, ["request_id", "client_ref"], "left").select(F.col("source_id").alias("op_id"), "request_id", F.lit("SUPERSEDE").alias("type"), F.array("client_ref").alias("source_refs"), F.array(F.coalesce("best", "raw_memory_id")).alias("target_ids"))

@@ -27,6 +27,11 @@ def rec(t):
     return t.memory_record.drop("ingested_at").dropDuplicates(["memory_id"])
 
 
+def live(t):
+    """Recallable records, each once; copies of a record are recallable alike, so only these rows are shuffled."""
+    return retrieval.recallable(t.memory_record, as_of()).drop("ingested_at").dropDuplicates(["memory_id"])
+
+
 def ext(t):
     return t.extracted_memory.drop("ingested_at").dropDuplicates(["extract_id"])
 
@@ -306,7 +311,7 @@ def _(t):
 
 @add("r3_semantic_topk", q.search() + "SELECT query_id, channel, memory_id, r, round(s, 6) AS score FROM semr WHERE r <= 10")
 def _(t):
-    hits = retrieval.semantic_topk(retrieval.prepare(rec(t), qry(t), as_of()), 10)
+    hits = retrieval.semantic_topk(retrieval.prepare(live(t), qry(t), as_of()), 10)
     return hits.select("query_id", "channel", "memory_id", F.col("semantic_rank").alias("r"), F.round("semantic", 6).alias("score"))
 
 
@@ -318,7 +323,7 @@ def _(t):
 
 
 def _hits(t, **limits):
-    return retrieval.search(rec(t), qry(t), as_of(), retrieval.SearchConfig(**limits))
+    return retrieval.search(live(t), qry(t), as_of(), retrieval.SearchConfig(**limits))
 
 
 _MATCHED = "concat_ws(',', CASE WHEN sr IS NOT NULL THEN 'semantic' END, CASE WHEN lr IS NOT NULL THEN 'lexical' END, CASE WHEN channel = 'profile' THEN 'profile' END)"
@@ -335,7 +340,7 @@ closed AS (SELECT DISTINCT pool FROM dt WHERE len(list_filter(toks, lambda x: le
 SELECT ask.query_id, ask.intent, round(CASE WHEN mean IS NULL THEN 0.0 ELSE least(1.0, mean * 60) END, 6)::DOUBLE AS confidence,
   CASE WHEN pool IN (SELECT pool FROM closed) THEN 'lexical:tokenizer-unavailable,' ELSE '' END || 'semantic:portable-hash,tag:unavailable' AS degraded FROM ask LEFT JOIN top USING (query_id)""")
 def _(t):
-    ready = retrieval.prepare(rec(t), qry(t), as_of())
+    ready = retrieval.prepare(live(t), qry(t), as_of())
     return retrieval.diagnostics(retrieval.search_prepared(ready), ready, 60.0)
 
 
@@ -351,7 +356,7 @@ bad AS (SELECT DISTINCT pool FROM (SELECT pool, unnest({q.tokens('body')}) AS w
 own AS (SELECT DISTINCT query_id FROM (SELECT query_id, unnest({q.tokens('body')}) AS w FROM ask) WHERE length(w) > 14)
 SELECT query_id, CASE WHEN pool IN (SELECT pool FROM bad) OR query_id IN (SELECT query_id FROM own) THEN 'lexical:tokenizer-unavailable,' ELSE '' END || 'semantic:portable-hash,tag:unavailable' AS degraded FROM ask""")
 def _(t):
-    ready = retrieval.prepare(rec(t), qry(t), as_of(), tokenizer=lambda c: _strict(c, 14))
+    ready = retrieval.prepare(live(t), qry(t), as_of(), tokenizer=lambda c: _strict(c, 14))
     return retrieval.diagnostics(retrieval.search_prepared(ready), ready, 60.0).select("query_id", "degraded")
 
 
@@ -366,7 +371,7 @@ doc AS (SELECT scope || '#' || part AS pool, {q.CHANNEL} AS channel, memory_id F
 scored AS (SELECT query_id, channel, memory_id, round(list_dot_product(qv, v) / sqrt(list_dot_product(qv, qv) * list_dot_product(v, v)), 9) AS s FROM ask JOIN doc USING (pool) JOIN usable USING (memory_id))
 SELECT query_id, channel, memory_id, row_number() OVER (PARTITION BY query_id, channel ORDER BY s DESC, memory_id) AS r FROM scored WHERE s >= 0.08 QUALIFY r <= 10""")
 def _(t):
-    ready = retrieval.prepare(rec(t), qry(t), as_of())
+    ready = retrieval.prepare(live(t), qry(t), as_of())
     mine = emb(t).filter(F.col("space_id") == _SPACE[0])
     stored = retrieval._dense_cells(mine.select("memory_id", "vector"), "vector", _SPACE[1])
     first = qry(t).select("query_id", F.explode("relevant_ids").alias("memory_id")).join(stored, "memory_id").groupBy("query_id").agg(F.min("memory_id").alias("memory_id"))
@@ -396,12 +401,12 @@ def _sources(t):
 
 @add("r14_shortlist", q.shortlist() + "SELECT query_id AS source_id, memory_id, round(score, 9) AS score, fused_rank AS shortlist_rank FROM hits")
 def _(t):
-    return retrieval.shortlist(_sources(t), rec(t), as_of()).withColumn("score", F.round("score", 9))
+    return retrieval.shortlist(_sources(t), live(t), as_of()).withColumn("score", F.round("score", 9))
 
 
 @add("r15_catalog", q.shortlist() + "SELECT memory_id, min(query_id) AS first_source, count(*) AS n_sources FROM hits GROUP BY 1")
 def _(t):
-    return retrieval.shortlist(_sources(t), rec(t), as_of()).groupBy("memory_id").agg(F.min("source_id").alias("first_source"), F.count(F.lit(1)).alias("n_sources"))
+    return retrieval.shortlist(_sources(t), live(t), as_of()).groupBy("memory_id").agg(F.min("source_id").alias("first_source"), F.count(F.lit(1)).alias("n_sources"))
 
 
 # ---------------------------------------------------------------- joins and sets
@@ -454,7 +459,7 @@ def _(t):
 SELECT extract_id, CASE WHEN extract_id IN (SELECT query_id FROM has) THEN 'model' ELSE 'ADD' END AS operation FROM ext JOIN rec ON rec.memory_id = ext.raw_memory_id""")
 def _(t):
     sources = _sources(t).select(F.col("source_id").alias("request_id"), F.col("source_id").alias("client_ref"))
-    found = retrieval.shortlist(_sources(t), rec(t), as_of()).select(F.col("source_id").alias("request_id"), F.col("source_id").alias("client_ref")).distinct()
+    found = retrieval.shortlist(_sources(t), live(t), as_of()).select(F.col("source_id").alias("request_id"), F.col("source_id").alias("client_ref")).distinct()
     auto = evolution.automatic_additions(sources, found).select(F.col("client_ref").alias("extract_id"), F.lit("ADD").alias("operation"))
     return auto.unionByName(found.select(F.col("client_ref").alias("extract_id"), F.lit("model").alias("operation")))
 
@@ -542,7 +547,7 @@ def _(t):
 
 
 def _mode_cases(t, tokenizer):
-    hits = retrieval.search(rec(t), qry(t), as_of(), retrieval.SearchConfig(recall_limit=10, profile_limit=10), tokenizer=tokenizer)
+    hits = retrieval.search(live(t), qry(t), as_of(), retrieval.SearchConfig(recall_limit=10, profile_limit=10), tokenizer=tokenizer)
     ranked = hits.join(qry(t).select("query_id", F.col("channel").alias("wanted")), "query_id").filter("channel = wanted")
     return metrics.cases(ranked.select("query_id", F.col("fused_rank").alias("rank"), "memory_id"), _labels(t))
 

@@ -3,6 +3,8 @@ import math
 import os
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +179,44 @@ def test_a_search_leaves_nothing_but_its_hits_on_disk(spark):
     hits = retrieval.search(records(spark, 6), queries(spark, "tea"), F.lit("2025-02-01").cast("timestamp"))
     left = [d for d in set(os.listdir(folder)) - before if any(os.scandir(f"{folder}/{d}"))]
     assert hits.count() == 6 and [d.split("-")[0] for d in left] == ["hits"]
+
+
+def test_bounded_ranks_are_those_of_whole_lists():
+    """Few values, so that many tie: ranks counted below the bounds are those of a sort, also past the best of a list."""
+    rng, counted = np.random.default_rng(3), 0
+    for breaks_ties in (False, True):
+        for n in (5, 60, 400):
+            s, x, flat = rng.integers(0, 90, n).astype(float), rng.integers(0, 40, n).astype(float), np.zeros(n)
+            lists = [(retrieval._best(s, 10, x if breaks_ties else flat, 26), s, 10, x if breaks_ties else flat), (retrieval._best(x, 1, flat, 26), x, 1, flat)]
+            whole = np.zeros((2, n), int)
+            for k, (_, values, least, tie) in enumerate(lists):
+                order = [i for i in sorted(range(n), key=lambda i: (-values[i], -tie[i], i)) if values[i] >= least]  # noqa: B023
+                whole[k, order] = range(1, len(order) + 1)
+            score = np.where(whole > 0, np.array([[1.0], [0.8]]) / (5.0 + whole), 0).sum(axis=0)
+            want = set(np.flatnonzero(score >= np.sort(score)[-min(n, 8)] - 1e-11)) & set(np.flatnonzero(score > 0))
+            places, ranks = retrieval._first(np.union1d(lists[0][0], lists[1][0]), lists, (1.0, 0.8), 5.0, 8)
+            assert set(places) == want or (n < 8 and set(places) == set(np.flatnonzero(score > 0)))
+            assert (ranks == whole[:, places]).all()
+            counted += (ranks > 26).sum()
+    assert counted
+
+
+def test_texts_are_packed_and_unpacked_whole():
+    """Half of the shuffled bytes; wide numbers, empty and null lists and tokens, and texts in any script stay as they are."""
+    schema = pa.schema([("key", pa.string()), ("tokens", pa.list_(pa.string())), ("dims", pa.list_(pa.int16())), ("cells", pa.list_(pa.int32()))])
+    rows = [("a", ["tea", "茶叶", "", None, "x" * 300], [0, 255, 7], [1, -1, 2]), ("b", [], [], []), ("c", None, None, None), ("d", ["é"], [200], [70_000])]
+    table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    batches = [b for at in (0, 1, 2, 3) for b in table.slice(at, 1).to_batches()] + table.slice(1).to_batches() + table.slice(0, 0).to_batches()
+    got = retrieval._unpacked(pa.Table.from_batches(list(retrieval._pack(iter(batches)))))
+    want = [{"key": k, "tokens": t or [], "dims": d or [], "cells": c or []} for k, t, d, c in rows]
+    assert got.to_pylist() == want + want[1:]
+    floats = pa.table({"key": ["e"], "tokens": pa.array([None], pa.list_(pa.string())), "dims": [[0, 1]], "cells": [[0.1, -2.5]]})
+    assert retrieval._unpacked(pa.Table.from_batches(list(retrieval._pack(iter(floats.to_batches()))))).to_pylist() == [{"key": "e", "tokens": [], "dims": [0, 1], "cells": [0.1, -2.5]}]
+    small = pa.table({"key": ["f"], "tokens": [["w%02d" % i for i in range(40)]], "dims": pa.array([list(range(96))], pa.list_(pa.int16())), "cells": pa.array([[1] * 96], pa.list_(pa.int32()))})
+    assert len(next(retrieval._pack(iter(small.to_batches()))).column("packed")[0].as_py()) < 400  # 40 tokens of a Spark array alone take 648 bytes
+
+
+def test_asked_and_stored_rows_are_shuffled_packed(spark):
+    asks, docs, _ = _all_pairs(spark, 5, False, 40, 3)
+    plan = retrieval.fused(asks, docs, 8, retrieval.SearchConfig())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_pack(") == 2
