@@ -382,6 +382,12 @@ def recover_jobs(jobs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- checks of plans and outcomes
 
 
+def named_targets(operations: DataFrame) -> DataFrame:
+    """(request_id, client_ref, memory_id): sources and targets that meet in an operation, the only rows of the shortlists that ``plan_faults`` needs."""
+    pairs = operations.select("request_id", F.explode(F.array_distinct("source_refs")).alias("client_ref"), "target_ids")
+    return pairs.select("request_id", "client_ref", F.explode(F.array_distinct("target_ids")).alias("memory_id"))
+
+
 def plan_faults(sources: DataFrame, operations: DataFrame, shortlists: DataFrame) -> DataFrame:
     """(fault, request_id, client_ref, target_id) of reconciliation plans; an empty result means they may be applied.
 
@@ -399,7 +405,8 @@ def plan_faults(sources: DataFrame, operations: DataFrame, shortlists: DataFrame
     layered = named.join(known.drop("known"), ["request_id", "client_ref"])
     crossing = layered.filter("type = 'CONSOLIDATE'").groupBy("op_id", "request_id").agg(F.countDistinct("layer").alias("n"), F.min("client_ref").alias("client_ref")).filter("n > 1")
     wanted = operations.filter("type <> 'ADD'").select("op_id", "request_id", F.explode(F.array_distinct("target_ids")).alias("target_id"))
-    offered = layered.select("op_id", "request_id", "client_ref").join(shortlists.select("request_id", "client_ref", F.col("memory_id").alias("target_id"), F.col("layer").alias("target_layer")), ["request_id", "client_ref"])
+    offered = wanted.select("op_id", "target_id").join(layered.select("op_id", "request_id", "client_ref"), "op_id")  # not every hit of every operation, only the named ones
+    offered = offered.join(shortlists.select("request_id", "client_ref", F.col("memory_id").alias("target_id"), F.col("layer").alias("target_layer")), ["request_id", "client_ref", "target_id"])
     offered = offered.groupBy("op_id", "target_id").agg(F.min("target_layer").alias("target_layer"))
     strange = wanted.join(offered, ["op_id", "target_id"], "left_anti")
     met = wanted.join(offered, ["op_id", "target_id"]).join(layered.select("op_id", "client_ref", "layer"), "op_id").filter("NOT layer <=> target_layer")

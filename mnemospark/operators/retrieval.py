@@ -311,7 +311,10 @@ def _units(scores: np.ndarray) -> np.ndarray:
 
 def _best(values: np.ndarray, least: float, tie: np.ndarray, most: int) -> np.ndarray:
     """The first ``most`` of the places with at least ``least``, by descending values, descending tie and place."""
-    hits = np.flatnonzero(values >= (max(least, np.partition(values, len(values) - most)[len(values) - most]) if len(values) > most else least))
+    hits = np.flatnonzero(values >= least)
+    if len(hits) > most:
+        own = values[hits]
+        hits = hits[own >= np.partition(own, len(own) - most)[len(own) - most]]
     return hits[np.lexsort((-tie[hits], -values[hits]))][:most]
 
 
@@ -651,4 +654,6 @@ def shortlist(extracted: DataFrame, records: DataFrame, as_of: Column, config: S
     documents = recallable(records, as_of).filter(layers).select(pool, F.lit("all").alias("channel"), "memory_id", "updated_at", tokenizer(search_text()).alias("tokens"), F.coalesce("content", F.lit("")).alias("body"))
     ready = Prepared(asked, stage.cut(with_cells(documents.join(asked_pools(asked), "pool"), "body")))
     hits = _settled(fused(_open(ready), ready.documents, config.reconcile_limit, config, lexical_breaks_ties=True), ready)
-    return hits.select(F.col("query_id").alias("source_id"), "memory_id", "score", F.col("fused_rank").alias("shortlist_rank"))
+    out = hits.select(F.col("query_id").alias("source_id"), "memory_id", "score", F.col("fused_rank").alias("shortlist_rank"))
+    out.staged_path = hits.staged_path
+    return out

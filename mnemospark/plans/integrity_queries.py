@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from mnemospark.operators import evolution, graph_checks, retrieval
 from mnemospark.plans import common_sql as q
 from mnemospark.plans.reference_queries import SCOPE, _sources, as_of, emb, ext, job, live, rec
+from mnemospark.plans.staging import Staging
 from mnemospark.registry import Registry
 
 registry = Registry()
@@ -399,17 +400,23 @@ UNION SELECT 'target_crosses_layers', wanted.request_id, layered.client_ref, tar
 
 @add("t12_plan_faults", _PLANS)
 def _(t):
-    asked = ext(t).select("request_id", "client_ref", "speculate", F.col("extract_id").alias("source_id")).join(_sources(t), "source_id").filter(F.col("layer").isin("l2_fact", "l4_identity"))
-    layer = rec(t).select("memory_id", "layer")
-    found = retrieval.shortlist(_sources(t), live(t), as_of()).join(asked.select("source_id", "request_id", "client_ref"), "source_id").select("request_id", "client_ref", "memory_id", "shortlist_rank").join(layer, "memory_id")
-    top = found.filter("shortlist_rank = 1").groupBy("request_id", "client_ref").agg(F.min("memory_id").alias("best"))
+    stage = Staging(t.spark, "plans")
+    asked = ext(t).select("request_id", "client_ref", "speculate", F.col("extract_id").alias("source_id")).join(_sources(t).drop("content"), "source_id").filter(F.col("layer").isin("l2_fact", "l4_identity"))
+    asked = stage.cut(asked.select("source_id", "request_id", "client_ref", "speculate", "raw_memory_id", "layer"))
+    hits = retrieval.shortlist(_sources(t), live(t), as_of())
+    refs = asked.select("source_id", "request_id", "client_ref")
+    top = hits.filter("shortlist_rank = 1").join(refs, "source_id").groupBy("request_id", "client_ref").agg(F.min("memory_id").alias("best"))
     keys = ["op_id", "request_id", "type", "source_refs", "target_ids"]
     one = asked.filter("speculate IS NULL").join(top, ["request_id", "client_ref"], "left").select(F.col("source_id").alias("op_id"), "request_id", F.lit("SUPERSEDE").alias("type"), F.array("client_ref").alias("source_refs"), F.array(F.coalesce("best", "raw_memory_id")).alias("target_ids"))
     many = asked.groupBy("request_id").agg(F.min("client_ref").alias("a"), F.max("client_ref").alias("b"), F.collect_set("raw_memory_id").alias("target_ids")).filter("a <> b")
     merged = many.select(F.concat(F.lit("all-"), "request_id").alias("op_id"), "request_id", F.lit("CONSOLIDATE").alias("type"), F.array("a", "b").alias("source_refs"), "target_ids")
     ghost = many.select(F.concat(F.lit("ghost-"), "request_id").alias("op_id"), "request_id", F.lit("ADD").alias("type"), F.array(F.lit("ghost")).alias("source_refs"), F.array().cast("array<string>").alias("target_ids"))
-    operations = one.select(*keys).unionByName(merged.select(*keys)).unionByName(ghost.select(*keys))
-    return evolution.plan_faults(asked.select("request_id", "client_ref", "layer"), operations, found.select("request_id", "client_ref", "memory_id", "layer"))
+    operations = stage.cut(one.select(*keys).unionByName(merged.select(*keys)).unionByName(ghost.select(*keys)))
+    named = evolution.named_targets(operations).join(refs, ["request_id", "client_ref"]).select("source_id", "memory_id")
+    found = hits.select("source_id", "memory_id").join(named, ["source_id", "memory_id"], "left_semi").join(refs, "source_id").join(rec(t).select("memory_id", "layer"), "memory_id")
+    found = stage.cut(found.select("request_id", "client_ref", "memory_id", "layer"))
+    stage.drop(hits)
+    return evolution.plan_faults(asked.select("request_id", "client_ref", "layer"), operations, found)
 
 
 @add("t13_sanitize", f"""WITH {q.EXT}, c AS (SELECT *, {q.trim('content[1:200]')} AS cut, count(*) OVER (PARTITION BY request_id, client_ref) > 1 AS repeated_ref FROM ext)

@@ -1,10 +1,14 @@
 """Transitions on small states: what they make, and that the state keeps its invariants."""
 
 import datetime as dt
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from mnemospark.operators import evolution, graph_checks, listing
+from tests.test_oracles import FOLDER
 from tests.test_store_and_streams import records
 
 def at():
@@ -147,3 +151,19 @@ def test_turns_and_messages(spark):
     assert got == {("s", 3), ("v", 2)}
     said = spark.createDataFrame([(1, "user", None), (2, "tool", None), (3, "plugin", "memory"), (4, "plugin", "calendar"), (5, None, None)], "i int, source_kind string, source_plugin string")
     assert {r.i for r in listing.spoken(said).collect()} == {1, 4, 5}
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data here")
+def test_plan_faults_get_the_named_targets_alone(spark, monkeypatch):
+    """Of the whole shortlists only the rows that the operations name go into the checks."""
+    seen, check = {}, evolution.plan_faults
+
+    def spy(sources, operations, shortlists):
+        seen["named"], seen["rows"] = evolution.named_targets(operations), shortlists
+        return check(sources, operations, shortlists)
+
+    monkeypatch.setattr(evolution, "plan_faults", spy)
+    assert __spark_entry__.queries()["t12_plan_faults"](spark, FOLDER).count() > 0
+    keys = ["request_id", "client_ref", "memory_id"]
+    assert seen["rows"].count() > 0
+    assert seen["rows"].join(seen["named"], keys, "left_anti").isEmpty()
